@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from sightline.llm import packing, token_files
+    from sightline.llm import packing, quality_model, quality_rules, token_files
 
-    return [packing, token_files]
+    return [packing, token_files, quality_rules, quality_model]
 
 
 def queries() -> dict:
