@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from sightline.llm import packing, quality_model, quality_rules, token_files
+    from sightline.llm import bpe_codec, packing, quality_model, quality_rules, token_files, topk
 
-    return [packing, token_files, quality_rules, quality_model]
+    return [packing, token_files, quality_rules, bpe_codec, topk, quality_model]
 
 
 def queries() -> dict:

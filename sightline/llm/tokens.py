@@ -10,7 +10,7 @@ import numpy as np
 #: A space that stands between white space (or at the end) belongs to a run that must stay whole.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 #: Cached words a process; beyond it the cache starts anew.
-CACHE = 1_200_000
+CACHE = 700_000
 
 
 def vocabulary(name: str) -> str:
