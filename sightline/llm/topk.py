@@ -21,8 +21,11 @@ to the smaller vec_id; an empty table gives no rows; other columns are left out.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +35,7 @@ NAME = "op7_exact_topk"
 K = 5
 SCALE = 256
 QUERY_STEP = 50
-BLOCK, QUERY_BLOCK = 8_192, 1_024
+BLOCK, QUERY_BLOCK = 4_096, 1_024
 #: Depths at which bounds are compared, as shares of a list.
 DEPTHS = (0.25, 0.5, 0.75)
 
@@ -50,14 +53,17 @@ def _matrix(blob: bytes, n: int) -> np.ndarray:
 
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     """Rows of (dim, block, n, ids, matrix), each of at most `size` vectors of one length."""
+    rows = rows.repartition(max(1, -(-rows.count() // size)))
+
     def run(batches):
         held: dict[int, tuple[list, list]] = {}
+        first, made = TaskContext.get().partitionId() << 32, itertools.count()
 
         def out(dim):
             ids, parts = held.pop(dim)
             return pa.RecordBatch.from_arrays(
-                [pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([b"".join(parts)], pa.binary())],
-                names=["dim", "n", f"{name}_ids", f"{name}_matrix"],
+                [pa.array([dim], pa.int32()), pa.array([first + next(made)], pa.int64()), pa.array([len(ids)], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([b"".join(parts)], pa.binary())],
+                names=["dim", f"{name}_block", f"{name}_n", f"{name}_ids", f"{name}_matrix"],
             )
 
         for batch in batches:
@@ -71,7 +77,7 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
         for dim in list(held):
             yield out(dim)
 
-    return rows.mapInArrow(run, f"dim int, n int, {name}_ids binary, {name}_matrix binary")
+    return rows.mapInArrow(run, f"dim int, {name}_block long, {name}_n int, {name}_ids binary, {name}_matrix binary")
 
 
 def top_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, depths=DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,12 +129,10 @@ def top_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score. Both inputs have vec_id and integer components `v`."""
     scratch = Scratch(queries.sparkSession, "topk")
-    held = scratch.save(_blocks(candidates, block, "c"), "candidates").withColumn("block", F.monotonically_increasing_id())
-    held = scratch.save(held, "numbered")
+    held = scratch.save(_blocks(candidates, block, "c"), "candidates")
     asked = scratch.save(_blocks(queries, query_block, "q"), "queries")
     # each block of queries goes to each block of candidates of its length
-    numbers = held.select("dim", "block")
-    pairs = asked.withColumnRenamed("n", "q_n").join(numbers, "dim").join(held.withColumnRenamed("n", "c_n"), ["dim", "block"])
+    pairs = asked.join(held.select("dim", "c_block"), "dim").join(held, ["dim", "c_block"])
 
     def run(batches):
         for batch in batches:
