@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import itertools
 import tempfile
 import uuid
@@ -41,8 +42,12 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        schema = df.schema
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        del df
+        gc.collect()
+        self.spark._jvm.System.gc()  # shuffle files of what is now written go at once, not at some later collection
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
