@@ -145,16 +145,16 @@ def signatures(sets: np.ndarray, ends: np.ndarray, bands: Bands, frequent: np.nd
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size) and print of every document."""
+    """doc_id, key, n (set size) and print of every document."""
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for a, b in pieces(offsets):
                 lo = offsets[a]
                 sets, ends = shingle_sets(data[lo : offsets[b]], offsets[a : b + 1] - lo, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(ends).astype(np.int64)), pa.array(prints(sets, ends))], names=["doc_id", "n", "print"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(ends).astype(np.int64)), pa.array(prints(sets, ends))], names=["doc_id", "key", "n", "print"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, print long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, "doc_id long, key long, n long, print long")
 
 
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
@@ -300,7 +300,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def join(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+    """doc_id, key (a hash of doc_id and text), n_shingles, print (of the shingle set) and component_id of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -333,8 +333,22 @@ def join(docs: DataFrame, k: int = WORDS) -> DataFrame:
     of_class = scratch.save(named.join(smallest, "label").select(F.col("node").alias("print"), "component_id"), "components")
     scratch.drop("met", "pairs", "held", "links1", "links2", "apart", "classes")
     out = every.join(of_class, "print", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "print", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """One row of each component (that of the smallest doc_id), with all its columns; rows without words all stay."""
+    found = Scratch(docs.sparkSession, "keep").save(join(docs, k), "found")
+    linked = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    chosen = linked.select("first.key").unionByName(found.filter("n_shingles = 0").select("key")).distinct()
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    rows = rows.join(chosen.withColumnRenamed("key", "_key"), "_key", "left_semi")
+    twins = found.filter("n_shingles > 0").groupBy("key").count().join(linked.select("first.key"), "key", "left_semi").filter("count > 1").select(F.col("key").alias("_key"))
+    if twins.limit(1).count():  # whole rows that repeat
+        once = rows.join(twins, "_key", "left_semi").dropDuplicates(["_key"])
+        rows = rows.join(twins, "_key", "left_anti").unionByName(once)
+    return rows.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

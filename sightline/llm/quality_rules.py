@@ -46,10 +46,10 @@ def _count(text: Column, characters: str) -> Column:
     return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts and both histograms; one pass, no shuffle."""
+def counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The key, lang, the base counts and both histograms; one pass, no shuffle."""
     text = F.coalesce("text", F.lit(""))
-    out = docs.select("doc_id", "lang", text.alias("text"))
+    out = docs.select(key, "lang", text.alias("text"))
     bare = F.translate("text", _SPACES, "")
     out = out.select(
         "*",
@@ -63,7 +63,7 @@ def counts(docs: DataFrame) -> DataFrame:
     grams = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, F.lit(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
     tidy = F.transform("words", lambda x: F.lower(F.regexp_replace(x, "[.,]+$", "")))
     out = out.select(
-        "doc_id",
+        key,
         "lang",
         n.cast("long").alias("n_words"),
         "word_chars",
@@ -86,7 +86,7 @@ def counts(docs: DataFrame) -> DataFrame:
     )["n"]
     words = F.transform("list", lambda w: F.size(F.filter("held", lambda x: x == w)).cast("long"))
     return out.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "classes", F.concat(words, F.array(F.col("n_words") - F.size("held"))).alias("commons"),
+        key, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "classes", F.concat(words, F.array(F.col("n_words") - F.size("held"))).alias("commons"),
     )
 
 
@@ -130,10 +130,10 @@ def references(counted: DataFrame) -> DataFrame:
     return found.select("lang", "ref_classes", F.slice("ref_commons", F.lit(1), F.col("n")).alias("ref_commons"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """The base counts of every document, both distances, base_failed and kept."""
+def judge(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The key and base counts of every document, both distances, base_failed and kept."""
     scratch = Scratch(docs.sparkSession, "rules")
-    counted = scratch.save(counts(docs), "counts")
+    counted = scratch.save(counts(docs, key), "counts")
     known = references(counted).withColumnRenamed("lang", "ref_lang")
     joined = counted.join(known, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)
@@ -145,7 +145,14 @@ def judge(docs: DataFrame) -> DataFrame:
         }
     )
     near = (F.coalesce("class_distance", F.lit(0.0)) <= MAX_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return judged.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", (~F.col("base_failed") & near).alias("kept"))
+    return judged.select(key, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", (~F.col("base_failed") & near).alias("kept"))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that are kept, with all their columns."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "lang"))
+    rejected = judge(keyed, "_key").filter(~F.col("kept")).select("_key").distinct()
+    return keyed.join(rejected, "_key", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
