@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 
+def _modules() -> list:
+    from sightline.plans import evaluation
+
+    return [evaluation]
+
+
 def queries() -> dict:
-    return {}
+    return {k: q for m in _modules() for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in _modules() for k, q in m.SQL.items()}
