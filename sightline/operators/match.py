@@ -41,6 +41,11 @@ def top_detections(det: DataFrame, n: int = MAX_DETECTIONS) -> DataFrame:
     return det.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def fixed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once a row: a generator of one row keeps them from being inlined into each use."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def by_image(det: DataFrame, gt: DataFrame, max_det: int | None = MAX_DETECTIONS, images: DataFrame | None = None) -> DataFrame:
     """image_id, ds (detections, best first) and gs (ground truth by box_id); images with only one of them are kept."""
     ds = det.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("ns"), "det_id", "cls", "score", "x1", "y1", "x2", "y2"))).alias("ds"))
@@ -77,7 +82,7 @@ def assign(cs: str, threshold: float, low: float = 0.0, high: float = 1e10) -> C
 def greedy_match(det: DataFrame, gt: DataFrame, thresholds: list[float] | None = None, areas: list[str] | None = None, max_det: int = MAX_DETECTIONS) -> DataFrame:
     """Per detection: image_id, det_id, cls, score, and for each area name an array over thresholds of structs (tp, ign)."""
     thresholds, areas = thresholds or THRESHOLDS, areas or ["all"]
-    rows = by_image(det, gt, max_det).select("image_id", "gs", candidates(min(thresholds)).alias("cs"))
+    rows = fixed(by_image(det, gt, max_det), cs=candidates(min(thresholds))).drop("ds")
     names = {}
     for name in areas:
         low, high = AREAS[name]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from sightline.plans import evaluation
+    from sightline.plans import data, errors, evaluation
 
-    return [evaluation]
+    return [evaluation, errors, data]
 
 
 def queries() -> dict:
