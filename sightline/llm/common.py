@@ -6,6 +6,7 @@ import atexit
 import gc
 import itertools
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -43,10 +44,11 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         schema = df.schema
+        for _ in range(2):  # shuffle files of tables written before go now, not at some later collection
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
         df.write.mode("overwrite").parquet(path)
-        del df
-        gc.collect()
-        self.spark._jvm.System.gc()  # shuffle files of what is now written go at once, not at some later collection
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
