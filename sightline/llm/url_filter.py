@@ -123,7 +123,8 @@ class UrlModel:
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     """rule, verdict, and the rule's host and path."""
-    rows = spark.createDataFrame([(r, v) for r, v in rules], "rule string, rule_verdict string")
+    listed = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("rule_verdict")) for r, v in rules])
+    rows = spark.range(1).select(F.inline(listed))
     cut = F.instr("rule", "/")
     rows = rows.withColumns({"rule_host": F.when(cut > 0, F.expr("substring(rule, 1, instr(rule, '/') - 1)")).otherwise(F.col("rule")), "rule_path": F.when(cut > 0, F.expr("substring(rule, instr(rule, '/'))")).otherwise(F.lit(""))})
     return rows.groupBy("rule", "rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))
