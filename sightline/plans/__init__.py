@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from sightline.plans import data, errors, evaluation
+    from sightline.plans import data, errors, evaluation, failures
 
-    return [evaluation, errors, data]
+    return [evaluation, errors, data, failures]
 
 
 def queries() -> dict:
