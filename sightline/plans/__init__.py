@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from sightline.plans import data, errors, evaluation, failures
+    from sightline.plans import data, errors, evaluation, failures, release
 
-    return [evaluation, errors, data, failures]
+    return [evaluation, errors, data, failures, release]
 
 
 def queries() -> dict:
