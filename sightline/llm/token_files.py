@@ -23,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,40 +83,46 @@ def decode_block(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 def _coded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Each document's ids, end id included, in the same code with the ids themselves as ranks."""
+    """Each document's ids, end id included, in the same code with the ids themselves as ranks, compressed.
+
+    A task adds a last row with its id counts, n of which is null.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(path).encode
+        encode, press, total = encoder(path).encode, zstandard.ZstdCompressor(level=1), np.zeros(1 << 16, np.int64)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a in range(0, batch.num_rows, 500):
                 coded = [np.frombuffer(x + end, "<u4") for x in encode(texts.slice(a, 500).to_pylist())]
-                packed = [encode_ranks(x) for x in coded]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, 500), pa.array([len(x) for x in coded], pa.int64()), pa.array([c + d for c, d in packed], pa.binary())], names=["doc_id", "n", "coded"])
+                got = np.bincount(np.concatenate(coded))
+                if len(got) > len(total):
+                    total = np.pad(total, (0, len(got) - len(total)))
+                total[: len(got)] += got
+                packed = [press.compress(c + d) for c, d in map(encode_ranks, coded)]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, 500), pa.array([len(x) for x in coded], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "coded"])
+        used = np.flatnonzero(total)
+        counts = np.stack([used, total[used]]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([counts], pa.binary())], names=["doc_id", "n", "coded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, coded binary")
 
 
-def _ids(coded: bytes, n: int) -> np.ndarray:
+def _ids(coded: bytes, n: int, unpress) -> np.ndarray:
+    raw = np.frombuffer(unpress.decompress(coded), np.uint8)
     control = -(-n // 4)
-    raw = np.frombuffer(coded, np.uint8)
     return decode_ranks(raw[:control], raw[control:], n)
 
 
 def _frequencies(coded: DataFrame) -> DataFrame:
+    """Sums of the tasks' counts: a row an id and task, at most the vocabulary a task."""
     def run(batches):
-        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for n, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.bincount(_ids(c, n))
-                if len(got) > len(total):
-                    total = np.pad(total, (0, len(got) - len(total)))
-                total[: len(got)] += got
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "count"])
+            for counts in batch.column(0).to_pylist():
+                ids, n = np.frombuffer(counts, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "count"])
 
-    return coded.select("n", "coded").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    return coded.filter("n is null").select("coded").mapInArrow(run, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
 class TokenFiles:
@@ -168,6 +175,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
 
     def run(batches):
         ranks_of, shard, number, size = shared.value, TaskContext.get().partitionId(), 0, 0
+        unpress = zstandard.ZstdDecompressor()
         held: tuple[list, list, list] = ([], [], [])
 
         def block():
@@ -180,7 +188,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
             for doc, n, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 held[0].append(doc)
                 held[1].append(n)
-                held[2].append(ranks_of[_ids(c, n)])
+                held[2].append(ranks_of[_ids(c, n, unpress)])
                 size += n
                 if size >= BLOCK_IDS:
                     yield block()
@@ -188,7 +196,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
         if held[0]:
             yield block()
 
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "coded")
+    ordered = coded.filter("n is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "coded")
     ordered.mapInArrow(run, "shard int, block int, n_ids long, payload binary").write.parquet(f"{root}/blocks")
     scratch.drop("coded", "counts")
     return TokenFiles(spark, root)

@@ -10,7 +10,7 @@ import numpy as np
 #: A space that stands between white space (or at the end) belongs to a run that must stay whole.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 #: Cached words a process; beyond it the cache starts anew.
-CACHE = 700_000
+CACHE = 1_000_000
 
 
 def vocabulary(name: str) -> str:
@@ -32,6 +32,13 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.size = np.zeros(max([*vocab.values(), *added]) + 1, np.int64)  # bytes of each token
+        for token, k in vocab.items():
+            self.size[k] = len(token)  # a character a byte
+        for k, token in added.items():
+            self.size[k] = len(token.content.encode())
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -52,7 +59,11 @@ class ByteEncoder:
         new: set[str] = set()
         for w in seen:
             new.update(w[1:])
-        self._learn(self.later, list(new - self.later.keys()), " ")
+        new -= self.later.keys()
+        led = [w for w in new if w and not w[0].isspace()]
+        self._learn(self.later, [w for w in new if not w or w[0].isspace()], " ")
+        for at in range(0, len(led), 20_000):
+            self._learn_joined(led[at : at + 20_000])
         long = dict(zip(whole, self._bytes([texts[i] for i in whole]), strict=True)) if whole else {}
         first, later = self.first, self.later
         return [long[i] if w is None else first[w[0]] + b"".join([later[x] for x in w[1:]]) for i, w in enumerate(words)]
@@ -63,6 +74,18 @@ class ByteEncoder:
             cache.update(zip(part, self._bytes([lead + w for w in part]), strict=True))
 
 
+    def _learn_joined(self, words: list[str], run: int = 200) -> None:
+        """Space-led words, many to a text: each is cut off at its bytes."""
+        texts = [" " + " ".join(words[a : a + run]) for a in range(0, len(words), run)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        cuts = np.searchsorted(np.cumsum(self.size[ids]), ends, "left") + 1
+        raw, at = ids.tobytes(), 0
+        for word, cut in zip(words, (4 * cuts).tolist(), strict=True):
+            self.later[word] = raw[at:cut]
+            at = cut
+
+
 _ENCODERS: dict[str, ByteEncoder] = {}
 
 
