@@ -9,10 +9,10 @@ at most U = floor(2 (1 - t) / (1 + t) * the band's largest size) shingles. Shing
 in a segment is a signature. A differing shingle spoils one segment, so linked sets agree in m - U segments at least.
 
 Allocation. For each band the cheaper of two exact schemes is taken (rows to send plus expected chance meetings):
-  exact     m = `SPREAD` (U + 1) segments, of which a set sends the U + 1 best. All sets rank signatures by one total order,
-            those with few rare shingles last (empty subsets, and such of frequent passages). As linked sets share m - U = (m - U - 1) + 1
-            signatures, and each leaves out the m - U - 1 last of its own, the best shared one is sent by both. Which shingles count as
-            frequent comes from a bounded sample; it only moves costs.
+  exact     m = `SPREAD` (U + 1) segments, of which a set sends the U + 1 + e best (e = U / `EXTRA`). All sets rank signatures by one total
+            order, those with few rare shingles last (empty subsets, and such of frequent passages). Linked sets share m - U signatures at
+            least, and each leaves out the m - U - 1 - e last of its own, so both send the e + 1 best of the shared ones: pairs
+            that meet less often are no candidates. Which shingles count as frequent comes from a bounded sample; it only moves costs.
   deletion  ceil((U + 1) / 2) segments, sent whole and with each one shingle deleted: some segment differs in at most one.
 
 Meetings. Classes with a common signature are candidates. In the first round each is compared with the smallest class it meets, most
@@ -41,11 +41,14 @@ NAME = "op8_ngram_jaccard_join"
 WORDS = 5
 #: Similarity as a fraction: intersection * DEN >= union * NUM.
 NUM, DEN = 3, 4
-SPREAD = 2
+SPREAD = 4
+EXTRA = 10
 #: Sampled documents, occurrences that make a shingle frequent there, and frequent shingles at most.
-SAMPLE, FREQUENT, MAX_FREQUENT = 4_000, 4, 100_000
+SAMPLE, FREQUENT, MAX_FREQUENT = 20_000, 3, 500_000
+#: Bits of a shingle that look it up among the frequent ones; chance hits move costs alike for all documents.
+LOOKUP = 24
 #: Weight of a chance meeting against a row sent.
-MEETING = 10
+MEETING = 100
 GROUP_BYTES, GROUPS = 8 << 20, 64
 _SEGMENT, _BAND = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 _TAG = np.uint64(0x2545F4914F6CDD1D)
@@ -96,10 +99,15 @@ class Bands:
         middle = (self.edges[:-1] + high) / 2
         exact = SPREAD * (self.differ + 1)
         deletion = (self.differ + 2) // 2
-        cost_exact = (self.differ + 1) * (1 + MEETING * np.exp(-middle / exact))
+        # the fewer shingles a subset has, the likelier a chance meeting; exact subsets are the best of several
+        cost_exact = (self.differ + 1) * (1 + MEETING * np.exp(-middle / (self.differ + 1)))
         cost_deletion = (deletion + middle) * (1 + MEETING * np.exp(1 - middle / deletion))
+        # of several segments some hold one shingle or none, and what deletion leaves of them meets everywhere
+        cost_deletion += np.where(deletion > 1, MEETING**2 * deletion * np.exp(-middle / deletion) * (1 + middle / deletion), 0)
         self.deletes = (cost_deletion < cost_exact) & (self.differ > 0)
         self.segments = np.where(self.deletes, deletion, exact)
+        #: Signatures that linked sets share at least, the larger one being of the band.
+        self.meet = np.where(self.deletes, 1, self.differ // EXTRA + 1)
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, size, "right") - 1
@@ -129,12 +137,12 @@ def signatures(sets: np.ndarray, ends: np.ndarray, bands: Bands, frequent: np.nd
     of_cell = np.repeat(np.arange(len(which)), m)
     salt = band.astype(np.uint64)[of_cell] * _BAND + (np.arange(len(total)) - base[of_cell]).astype(np.uint64) * _SEGMENT
     whole = mix(total + salt)
-    rare = np.bincount(cell, weights=~np.isin(token, frequent) if len(frequent) else None, minlength=len(total))
-    # best first; of an exact band's m segments, U + 1 are sent
+    rare = np.bincount(cell, weights=~frequent[(token >> np.uint64(64 - LOOKUP)).astype(np.int64)], minlength=len(total))
+    # best first; of an exact band's m segments, U + 1 + e are sent
     exact = ~bands.deletes[band]
     order = np.lexsort((whole, -rare, of_cell))
     rank = np.arange(len(total)) - base[of_cell]
-    sent = order[~exact[of_cell] | (rank <= bands.differ[band][of_cell])]
+    sent = order[~exact[of_cell] | (rank < (bands.differ + bands.meet)[band][of_cell])]
     out, of = [whole[sent]], [which[of_cell[sent]]]
     less = ~exact[entry]
     if less.any():
@@ -158,7 +166,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """Frequent shingles of a sample of bounded size, sorted."""
+    """Frequent shingles of a sample of bounded size."""
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
@@ -171,14 +179,16 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     texts = docs.join(F.broadcast(ids), "doc_id").select("text")  # at most SAMPLE ids
     counted = texts.mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= FREQUENT)
     found = counted.orderBy(F.desc("count"), "shingle").limit(MAX_FREQUENT).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
+    return found.view(np.uint64)
 
 
 def _sent(docs: DataFrame, bands: Bands, frequent: np.ndarray, groups: int, k: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((bands, frequent))
 
     def run(batches):
-        bands, frequent = shared.value
+        bands, found = shared.value
+        frequent = np.zeros(1 << LOOKUP, bool)
+        frequent[(found >> np.uint64(64 - LOOKUP)).astype(np.int64)] = True
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             for a, b in pieces(offsets):
@@ -261,42 +271,39 @@ def _members(met: DataFrame) -> DataFrame:
     return met.select("bucket", "size", "classes").mapInArrow(run, "group long, node long")
 
 
-def _links(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. `held` has node, n and the sorted set of each class that may be asked for."""
-    near = pairs.select("a", "b").join(held.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("shingles").alias("bs")), "b")
-    both = near.join(held.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("shingles").alias("xs")), "a")
-    both = both.filter((DEN * F.col("an") >= NUM * F.col("bn")) & (DEN * F.col("bn") >= NUM * F.col("an")))
+def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose set sizes allow a link."""
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}")), side)
+    near = (DEN * F.col("n_a") >= NUM * F.col("n_b")) & (DEN * F.col("n_b") >= NUM * F.col("n_a"))
+    return pairs.filter(near).drop("n_a", "n_b")
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                common = np.concatenate([x, y])
-                common.sort()
-                same = int((common[1:] == common[:-1]).sum())
-                keep.append(DEN * same >= NUM * (len(common) - same))
-            part = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
 
-    return both.select("a", "b", "xs", "bs").mapInArrow(run, "a long, b long")
+def _links(pairs: DataFrame, held: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. `held` has node and a text of each class that may be asked for."""
+    near = pairs.select("a", "b").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = near.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
-
-def _texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, n and shingles of wanted classes (node, doc_id)."""
     def run(batches):
         for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            for a, b in pieces(offsets):
-                lo = offsets[a]
-                sets, ends = shingle_sets(data[lo : offsets[b]], offsets[a : b + 1] - lo, k)
-                parts = [sets[i:j].astype("<u8").tobytes() for i, j in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(prints(sets, ends)), pa.array(np.diff(ends).astype(np.int64)), pa.array(parts, pa.binary())], names=["node", "n", "shingles"])
+            sides = [text_buffers(batch.column(c)) for c in (2, 3)]
+            keep = np.zeros(batch.num_rows, bool)
+            for a, b in pieces(sides[0][1] + sides[1][1]):
+                tokens, pair = [], []
+                for data, offsets in sides:
+                    lo = offsets[a]
+                    sets, ends = shingle_sets(data[lo : offsets[b]], offsets[a : b + 1] - lo, k)
+                    tokens.append(sets)
+                    pair.append(np.repeat(np.arange(b - a), np.diff(ends)))
+                token, of = np.concatenate(tokens), np.concatenate(pair)
+                order = np.lexsort((token, of))
+                token, of = token[order], of[order]
+                same = np.bincount(of[1:][(token[1:] == token[:-1]) & (of[1:] == of[:-1])], minlength=b - a)
+                keep[a:b] = DEN * same >= NUM * (np.bincount(of, minlength=b - a) - same)
+            part = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
 
-    ids = wanted.select(F.col("doc_id").alias("wanted")).distinct()
-    chosen = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    found = chosen.select("text").mapInArrow(run, "node long, n long, shingles binary")
-    return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -307,31 +314,40 @@ def join(docs: DataFrame, k: int = WORDS) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(GROUPS, total // GROUP_BYTES)
     every = scratch.save(_sets(docs, k), "sets")
-    classes = scratch.save(every.filter("n > 0").groupBy(F.col("print").alias("node")).agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id")), "classes")
+    classes = scratch.save(every.filter("n > 0").groupBy(F.col("print").alias("node")).agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key")), "classes")
     largest = classes.agg(F.max("n")).first()[0] or 1
-    met = scratch.save(_met(_sent(docs, Bands(largest), _frequent(docs, k), groups, k)), "met")
-    pairs = scratch.save(_first_pairs(met), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    held = scratch.save(_texts_of(docs, classes.join(nodes, "node", "left_semi"), k), "held")
+    bands = Bands(largest)
+    edges = spark.createDataFrame([(int(lo), int(hi) - 1, int(m)) for lo, hi, m in zip(bands.edges, bands.edges[1:], bands.meet)], "lo long, hi long, meet long")
+    met = scratch.save(_met(_sent(docs, bands, _frequent(docs, k), groups, k)), "met")
+    pairs = scratch.save(_close(_first_pairs(met), classes), "pairs")
+    members = scratch.save(_members(met), "members")
+    scratch.drop("met")
+    nodes = members.select("node").distinct()
+    wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("key").alias("_key"))
+    texts = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    held = scratch.save(texts.join(wanted, "_key").select("node", "text"), "held")
     # first round: each class with the one it meets most
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
-    links = scratch.save(_links(best, held), "links1")
+    best = scratch.save(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    scratch.drop("pairs")
+    links = scratch.save(_links(best, held, k), "links1")
     labels = components(links, scratch, "first")
     # then whoever met and is still apart
     label = labels.select("node", "label")
-    members = _members(met).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = members.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("group")
     rest = scratch.save(members.join(apart, "group", "left_semi").join(classes.select("node", "n"), "node"), "apart")
     left, right = (rest.select("group", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n")]) for x in ("a", "b"))
     more = left.join(right, "group").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")))
     more = more.filter((DEN * F.col("n_a") >= NUM * F.col("n_b")) & (DEN * F.col("n_b") >= NUM * F.col("n_a")))
-    more = more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
-    later = scratch.save(_links(more, held), "links2")
+    more = more.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("n_a", "n_b")).alias("larger"))
+    more = more.join(F.broadcast(edges), F.col("larger").between(F.col("lo"), F.col("hi"))).filter("shared >= meet")  # a row a band: some sixty for any size
+    more = more.select("a", "b").join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    later = scratch.save(_links(more, held, k), "links2")
     labels = components(links.unionByName(later), scratch, "all")
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = scratch.save(named.join(smallest, "label").select(F.col("node").alias("print"), "component_id"), "components")
-    scratch.drop("met", "pairs", "held", "links1", "links2", "apart", "classes")
+    scratch.drop("members", "best", "held", "links1", "links2", "apart", "classes")
     out = every.join(of_class, "print", "left")
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "print", F.coalesce("component_id", "doc_id").alias("component_id"))
 
