@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from sightline.plans import data, errors, evaluation, failures, release
+    from sightline.plans import data, errors, evaluation, failures, release, resampling
 
-    return [evaluation, errors, data, failures, release]
+    return [evaluation, errors, data, failures, release, resampling]
 
 
 def queries() -> dict:
