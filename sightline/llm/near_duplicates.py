@@ -307,7 +307,10 @@ def _links(pairs: DataFrame, held: DataFrame, k: int) -> DataFrame:
 
 
 def join(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, key (a hash of doc_id and text), n_shingles, print (of the shingle set) and component_id of every document."""
+    """doc_id, key (a hash of doc_id and text), n_shingles, print (of the shingle set), label and component_id of every document.
+
+    The label (smallest print of the component; null without shingles) names the component; component_id does not, as doc_ids may be null or repeat.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -346,16 +349,16 @@ def join(docs: DataFrame, k: int = WORDS) -> DataFrame:
     labels = components(links.unionByName(later), scratch, "all")
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_class = scratch.save(named.join(smallest, "label").select(F.col("node").alias("print"), "component_id"), "components")
+    of_class = scratch.save(named.join(smallest, "label").select(F.col("node").alias("print"), "label", "component_id"), "components")
     scratch.drop("members", "best", "held", "links1", "links2", "apart", "classes")
     out = every.join(of_class, "print", "left")
-    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "print", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "print", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """One row of each component (that of the smallest doc_id), with all its columns; rows without words all stay."""
     found = Scratch(docs.sparkSession, "keep").save(join(docs, k), "found")
-    linked = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    linked = found.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
     chosen = linked.select("first.key").unionByName(found.filter("n_shingles = 0").select("key")).distinct()
     rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     rows = rows.join(chosen.withColumnRenamed("key", "_key"), "_key", "left_semi")

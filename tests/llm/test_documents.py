@@ -59,6 +59,14 @@ def test_components_agree_with_all_pairs(spark, docs, seed):
     assert kept.count() == len({c for _, n, c in expected if n}) + sum(not n for _, n, _ in expected)
 
 
+def test_one_stays_of_each_component_whatever_the_ids(spark, docs):
+    text = lambda name, n=30: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (None, text("e")), (8, text("e")), (7, text("f")), (7, text("f")), (9, text("c")), (None, text("g", 40)), (None, text("g", 39))]
+    got = [(r.doc_id, r.text) for r in near_duplicates.keep_one(docs(rows)).collect()]
+    assert sorted(t.split()[0] for _, t in got) == ["a0", "b0", "c0", "d0", "e0", "f0", "g0"]
+    assert {i for i, t in got if t[0] in "cdf"} == {7} and (8, text("e")) in got
+
+
 def test_schemes_guarantee_a_meeting():
     """Sets at the edge of the threshold share as many sent signatures as the band asks for."""
     import numpy as np
