@@ -9,6 +9,9 @@ small labelled table `LABELLED_BLOCKS`, by CART with the Gini index.
 Scripts, styles, templates, comments and the head never become text. Character references are decoded, white space in a block becomes
 one space, and blocks join in page order by an empty line.
 
+The head ends at its end tag, at the body, or at the first tag or text that no head can hold. A silent element whose end tag is missing ends at
+the next block-level tag or at the end of its parent; scripts, styles and comments without end go to the end of the page.
+
 Defined cases: a null or empty page has the empty text; unclosed or stray tags never raise (an element that is still open
 at the end of its parent ends there); text without any markup is one block; repeated rows are extracted each; an
 empty table gives no rows; `extract` keeps other columns unless they are named text or n_chars.
@@ -30,7 +33,13 @@ from sightline.llm.common import table
 NAME = "op4_html_text"
 
 #: Elements whose content is no text of the page.
-SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title", "head", "textarea", "select", "button", "datalist")
+SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title", "textarea", "select", "button", "datalist")
+#: Silent elements that never hold one of their own kind.
+FLAT = {"noscript", "iframe", "title", "textarea", "select", "button", "datalist"}
+#: Tags that a head may hold besides silent elements.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "noframes"}
+#: Tags that begin a block, where a silent element without end tag ends.
+BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that hold no article text.
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 #: Elements that hold the article.
@@ -43,8 +52,7 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|widget|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|respond|reply|replies|discussion|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|pagination|pager|toolbar|copyright|disclaimer|legal|complementary|contentinfo|dialog|skip)(?:$|[\s_-])",
     re.I,
 )
-_SILENT = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({'|'.join(SILENT)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_HEAD_END = re.compile(r"</head\s*>|<body[\s>]", re.I)
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -107,11 +115,69 @@ def _marked(attributes: str) -> bool:
     return False
 
 
+def _tags(page: str, at: int):
+    """The tags from a place on."""
+    while (at := page.find("<", at)) >= 0:
+        m = _TAG.match(page, at) or _LOOSE.match(page, at)
+        if m and m[2]:
+            yield m
+        at = m.end() if m else at + 1
+
+
+def _silent_end(page: str, at: int, name: str, outer: set[str], last: dict[str, int]) -> int:
+    """Where the silent element whose start tag ends at `at` ends; `outer` names the elements it lies in, `last` holds the place of the page's last end tag of a kind."""
+    if name not in last:
+        last[name] = max((m.start() for m in re.finditer(f"</{name}", page, re.I)), default=-1)
+    inner: list[str] = []
+    block = None
+    for m in _tags(page, at):
+        found = m[2].lower()
+        if m[1]:
+            if found in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(found) :]
+            elif found == name:
+                return m.end()
+            elif found in outer:
+                return m.start() if block is None else block
+            continue
+        if block is None and found in BLOCK:
+            block = m.start()
+        if block is not None and last[name] < at:
+            return block
+        if found == "body" or (found == name and name in FLAT):
+            return m.start() if block is None else block
+        if found not in VOID and not m[3].endswith("/"):
+            inner.append(found)
+    return len(page) if block is None else block
+
+
+def _head_end(page: str, at: int, outer: set[str], last: dict[str, int]) -> int:
+    """Where the head whose start tag ends at `at` ends."""
+    text = None
+    while True:
+        m = next(_tags(page, at), None)
+        cut = m.start() if m else len(page)
+        if text is None and page[at:cut].strip():
+            text = at
+        name = m[2].lower() if m else ""
+        if m and m[1]:
+            if name == "head":
+                return m.end()
+            at = m.end()
+        elif name in SILENT or name in IN_HEAD:
+            at = m.end()
+            if name in SILENT and not m[3].endswith("/"):
+                at = _silent_end(page, at, name, outer | {"head"}, last)
+        else:
+            return cut if text is None else text
+
+
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
     """text, words, link share, marked, in_article of each block in page order."""
-    page = _SILENT.sub(" ", page)
+    page = _RAW.sub(" ", page)
     out: list = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, marks its content, holds the article
+    last: dict[str, int] = {}
     marked = article = links = 0
     held: list[str] = []
     linked: list[str] = []
@@ -146,6 +212,11 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
         if not m[2]:
             continue
         name, closing, attributes = m[2].lower(), m[1], m[3]
+        if not closing and not attributes.endswith("/") and (name in SILENT or name == "head"):
+            outer = {n for n, _, _ in stack}
+            at = _head_end(page, at, outer, last) if name == "head" else _silent_end(page, at, name, outer, last)
+            held.append(" ")
+            continue
         if name not in INLINE:
             flush()
         elif name == "br":

@@ -18,6 +18,28 @@ def test_main_text():
     assert all(html_text.is_content(tree, row[:-1]) == row[-1] for row in html_text.LABELLED_BLOCKS)
 
 
+STORY = "<p>This is a story of some length that has no links at all and goes on for a while.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><meta charset=utf-8><body><article>{}</article></body></html>", "<head><title>T</title><link rel=x><article>{}</article>", "<head><noscript><p>no</p></noscript><article>{}</article>", "<html><head><title>T<body><article>{}</article>",
+        "<head><title>T</head><body><article>{}</article>", "<head><script>'</head><p>no</p>'</script><meta name=a></head><article>{}</article>", "<body><button>Go<article>{}</article>", "<body><div><select><option>A<option>B</div><article>{}</article>",
+        "<body><noscript><img src=x><article>{}</article></body>", "<body><button>Go<article>{}</article><button>Stop</button></body>", "<body><svg><path d=x><article>{}</article><svg><g></g></svg></body>",
+        "<body><article><button><div>no</div></button><svg><svg></svg><text>no</text></svg><video><p>no</p></video>{}<textarea>no</textarea></article></body>", "<body><article>{}</article><script>no<p>no</p>", "<body><article>{}</article><!-- no <p>no</p>",
+    ],
+)
+def test_silent_elements_without_end_tag_take_no_text(page):
+    tree = html_text.train()
+    assert html_text.main_text(page.format(STORY), tree) == STORY[3:-4]
+
+
+def test_text_ends_a_head():
+    assert [b[0] for b in html_text.blocks("<head><meta name=a>One two <b>three</b><p>four")] == ["One two three", "four"]
+    assert [b[0] for b in html_text.blocks("<head>stray <meta name=a></head>One")] == ["One"]
+
+
 def test_extract_keeps_columns(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
