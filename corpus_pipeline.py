@@ -3,7 +3,7 @@
 1. quality rules: documents that the rules reject go;
 2. quality classifier: documents scored below `MIN_SCORE` go (the model learns from the labels of `sf_dir` outside its held-out fold);
 3. n-gram Jaccard join: one document of each component stays, that of the smallest doc_id;
-4. substring dedup: words in repeated windows go from the texts, and a document of which nothing is left goes too;
+4. substring dedup: words in repeated windows go from the texts (a text without them stays as it is), and a document of which nothing is left goes too;
 5. best-fit packing: token pieces of what is left, with their ids and their place in sequences.
 
 All stages but the last return the columns of `documents`; n_chars follows the text. SQL cannot express the classifier, so there is
@@ -35,7 +35,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = substring_dedup.dedup(docs).filter(F.col("text") != "")
+    kept = substring_dedup.dedup(docs, as_is=True).filter("n_words > n_removed")
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)

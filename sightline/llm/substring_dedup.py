@@ -193,8 +193,11 @@ def _later(sent: DataFrame, groups: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, exchange.schema("id", "hash", "place"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """All columns, with text reduced to the kept words joined by single spaces, and n_words and n_removed."""
+def dedup(docs: DataFrame, as_is: bool = False) -> DataFrame:
+    """All columns, with text reduced to the kept words joined by single spaces, and n_words and n_removed.
+
+    With `as_is`, a text of which nothing is removed stays as it is, white space and all.
+    """
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_removed", "_id", "_hash", "bucket")
     scratch = Scratch(spark, "substrings")
@@ -231,7 +234,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 keep = np.cumsum(edge)[:-1] == 0
                 words = [words[k] for k in np.flatnonzero(keep).tolist()]
             removed.append(counts[-1] - len(words))
-            kept.append(b" ".join(words).decode())
+            kept.append(text if as_is and not removed[-1] else b" ".join(words).decode())
         columns = [pa.chunked_array([pa.array(kept, pa.string())]) if n == "text" else left.column(n) for n in names]
         return pa.table([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_words", "n_removed"])
 
