@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import itertools
 import tempfile
-import time
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Buckets that a table may have by Spark's own default setting.
+MAX_BUCKETS = 100_000
 #: Word separators of every word-based operator: space and the ASCII controls tab to carriage return.
 SPACE = "[\\x20\\x09-\\x0D]"
 
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all tasks run in this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sightline")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -33,37 +36,54 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors.
 
-    A table that a returned DataFrame still reads stays until the session's driver ends;
-    the others are dropped as soon as the next table is written.
+    They stay until the session's driver ends, unless they are dropped before.
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.root)
+        self.spark, self.label = spark, f"{label}_{uuid.uuid4().hex}"
+        self.root, self.tables = f"{shared_dir(spark)}/{self.label}", []
+        atexit.register(self._end)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         schema = df.schema
-        for _ in range(2):  # shuffle files of tables written before go now, not at some later collection
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.3)
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """Saved in buckets of a column: grouping or joining on it later moves none of these rows."""
+        table_name = f"{self.label}_{name}"
+        writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}")
+        writer.bucketBy(min(buckets, MAX_BUCKETS), key).saveAsTable(table_name)
+        self.tables.append(table_name)
+        return self.spark.table(table_name)
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._remove(f"{self.root}/{name}")
 
+    def _end(self) -> None:
+        self._remove(self.root)
+        for name in self.tables:
+            try:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            except Exception:  # the session may have ended before the interpreter does
+                pass
+
     def _remove(self, where: str) -> None:
         try:
             jvm, jsc = self.spark._jvm, self.spark._jsc
             path = jvm.org.apache.hadoop.fs.Path(where)
             path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session may have ended before the interpreter does
+        except Exception:  # as above
             pass
 
 
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+
+
 # ---------------------------------------------------------------- word hashes
 
 
