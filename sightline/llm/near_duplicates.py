@@ -3,53 +3,57 @@
 A document is the set of its distinct 5-word shingles (hashed to 64 bits). Two sets link if their Jaccard similarity reaches the
 threshold t. Identical sets form one class; the join is between classes.
 
-Universe partition. Sets are dealt to bands by size, so that two linked sets lie in one band or in two
-neighbouring ones; each set works in its own band and, if a larger partner can exist, in the next. Linked sets of a band differ in
-at most U = floor(2 (1 - t) / (1 + t) * the band's largest size) shingles. Shingles are hashed to m segments; a set's subset
-in a segment is a signature. A differing shingle spoils one segment, so linked sets agree in m - U segments at least.
-
-Allocation. For each band the cheaper of two exact schemes is taken (rows to send plus expected chance meetings):
-  exact     m = `SPREAD` (U + 1) segments, of which a set sends the U + 1 + e best (e = U / `EXTRA`). All sets rank signatures by one total
-            order, those with few rare shingles last (empty subsets, and such of frequent passages). Linked sets share m - U signatures at
-            least, and each leaves out the m - U - 1 - e last of its own, so both send the e + 1 best of the shared ones: pairs
-            that meet less often are no candidates. Which shingles count as frequent comes from a bounded sample; it only moves costs.
-  deletion  ceil((U + 1) / 2) segments, sent whole and with each one shingle deleted: some segment differs in at most one.
-
-Meetings. Classes with a common signature are candidates. In the first round each is compared with the smallest class it meets, most
-shared signatures first; links join components; then all candidates that met, were not compared yet, and still lie in different
-components are compared. Pairs within a component need no comparison, so a large family of copies costs
-a few comparisons a member, and no link between components is lost. Comparisons are of whole shingle sets.
+1. Own shingles. Linked sets differ in at most (|A| + |B|) (1 - t) / (1 + t) shingles, and a shingle that no other class holds differs from all. Pieces of the
+   table ask each other which shingles occur elsewhere (see exchange.py). A class with more own shingles than its largest possible partner
+   allows has no link, and neither has a pair whose own shingles add up to more than the pair may differ in.
+2. Universe partition of what is left. Sets are dealt to bands by size, each band twice as wide as the one before. A set works in its own
+   band and, if a larger partner can exist there, in the next. Shingles are hashed to the band's segments; a set's subset in a segment is a signature.
+   For each band the cheaper of two exact schemes is taken (rows to send plus expected chance meetings):
+     exact     m segments, some more than the U + 1 that pigeonholes ask for (U: shingles that two sets of the band differ in at most). A differing
+               shingle spoils one segment, so linked sets share m - U signatures at least. In one order of all signatures (those of common shingles last)
+               they share one of the first U + 1 of each: these are sent, without those that hold an own shingle.
+     deletion  ceil((U + 1) / 2) segments, sent whole and with each one shingle deleted: some segment differs in at most one.
+3. Meetings. The best connected class of a signature leads it. Each class is compared with the leader it meets most; links join
+   components. Where a signature's classes still lie in different components, all of them are compared across components by sketches: a sketch holds the
+   parities of the set's shingles by hash, and two sets differ in as many shingles at least as their sketches do in bits. Signatures with
+   many classes are dealt in blocks. Pairs that sketches and own shingles allow are verified.
+4. Verification compares whole shingle sets.
+
+No pair within a component is compared after the first round, so a large family of copies costs a comparison a member, and no link between components is lost.
 
 Defined cases: texts with fewer words than a shingle have the whole sequence as one; null texts and texts without words have the empty
 set, no link, and themselves as component; identical rows, and rows of one doc_id, are documents of their own with
 the same result where their sets are equal; a null doc_id belongs to its set's component and counts last; an empty
-table gives no rows; other columns are left out.
+table gives no rows; other columns are left out of `join` and kept by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.llm import exchange
-from sightline.llm.common import Scratch, Words, mix, pieces, table, text_buffers, windows
+from sightline.llm.common import Scratch, Words, mix, pieces, table, text_buffers, text_bytes, windows
 from sightline.llm.components import components
 
 NAME = "op8_ngram_jaccard_join"
 WORDS = 5
 #: Similarity as a fraction: intersection * DEN >= union * NUM.
 NUM, DEN = 3, 4
-SPREAD = 4
-EXTRA = 10
-#: Sampled documents, occurrences that make a shingle frequent there, and frequent shingles at most.
-SAMPLE, FREQUENT, MAX_FREQUENT = 20_000, 3, 500_000
-#: Bits of a shingle that look it up among the frequent ones; chance hits move costs alike for all documents.
-LOOKUP = 24
+#: Segments of an exact band, as a multiple of those that pigeonholes ask for.
+SPREAD = 1.5
 #: Weight of a chance meeting against a row sent.
 MEETING = 100
-GROUP_BYTES, GROUPS = 8 << 20, 64
+#: Bits of the largest sketch.
+SKETCH = 4096
+#: Bytes that a row counts in a piece besides its text, and bits of a row's number there.
+ROW_BYTES, ROW_BITS = 16, 21
+#: Classes of a signature that are compared in one block.
+BLOCK = 2048
 _SEGMENT, _BAND = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 _TAG = np.uint64(0x2545F4914F6CDD1D)
 
@@ -77,57 +81,59 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple
     return out, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
-def prints(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 63-bit fingerprint of each set; 0 for the empty set."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ _TAG))])
-    size = np.diff(ends).astype(np.uint64)
-    found = mix(total[ends[1:]] - total[ends[:-1]] + size * _SEGMENT) >> np.uint64(1)
-    return np.where(size == 0, 0, np.maximum(found, np.uint64(1))).astype(np.int64)
+def prints(sets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit fingerprints of each set."""
+    out = []
+    for salt in (_TAG, _BAND):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ salt))])
+        out.append(mix(total[ends[1:]] - total[ends[:-1]] + np.diff(ends).astype(np.uint64) * _SEGMENT).view(np.int64))
+    return out[0], out[1]
+
+
+def may_differ(a, b):
+    """Shingles that linked sets of these sizes differ in at most."""
+    return ((DEN - NUM) * (a + b)) // (DEN + NUM)
 
 
 class Bands:
-    """Edges of the size bands, and U, segments and scheme of each."""
-
-    def __init__(self, largest: int):
-        edges = [1]
-        while edges[-1] <= largest:
-            edges.append(edges[-1] * DEN // NUM + 1)
-        edges.append(edges[-1] * DEN // NUM + 1)
-        self.edges = np.array(edges)
-        high = self.edges[1:] - 1
-        self.differ = (2 * (DEN - NUM) * high) // (DEN + NUM)
-        middle = (self.edges[:-1] + high) / 2
-        exact = SPREAD * (self.differ + 1)
+    """Band k holds the sizes from 2^k to 2^(k+1) - 1."""
+
+    def __init__(self, n: int = 40):
+        high = (2 << np.arange(n)) - 1
+        self.differ = may_differ(high, high)
+        middle = 0.75 * (high + 1)
+        exact = np.ceil(SPREAD * (self.differ + 1)).astype(np.int64)
         deletion = (self.differ + 2) // 2
-        # the fewer shingles a subset has, the likelier a chance meeting; exact subsets are the best of several
-        cost_exact = (self.differ + 1) * (1 + MEETING * np.exp(-middle / (self.differ + 1)))
+        # the fewer shingles a subset has, the likelier a chance meeting
+        cost_exact = (self.differ + 1) * (1 + MEETING * np.exp(-middle / exact))
         cost_deletion = (deletion + middle) * (1 + MEETING * np.exp(1 - middle / deletion))
         # of several segments some hold one shingle or none, and what deletion leaves of them meets everywhere
         cost_deletion += np.where(deletion > 1, MEETING**2 * deletion * np.exp(-middle / deletion) * (1 + middle / deletion), 0)
         self.deletes = (cost_deletion < cost_exact) & (self.differ > 0)
         self.segments = np.where(self.deletes, deletion, exact)
-        #: Signatures that linked sets share at least, the larger one being of the band.
-        self.meet = np.where(self.deletes, 1, self.differ // EXTRA + 1)
 
-    def of(self, size: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.edges, size, "right") - 1
+    @staticmethod
+    def of(size: np.ndarray) -> np.ndarray:
+        return np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
+
+
+BANDS = Bands()
 
 
-def signatures(sets: np.ndarray, ends: np.ndarray, bands: Bands, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures sent for a run of sets, and the set of each."""
+def signatures(sets: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures sent for a run of sets, and the set of each. `kind` has for each shingle 0 if it is the set's own, else how common it is."""
     size = np.diff(ends)
-    own = bands.of(size)
-    up = NUM * bands.edges[np.minimum(own + 1, len(bands.edges) - 1)] <= DEN * size
-    # a set in the next band meets larger partners only if one may exist there
-    which = np.concatenate([np.flatnonzero(size > 0), np.flatnonzero((size > 0) & up)])
-    band = np.concatenate([own[size > 0], own[(size > 0) & up] + 1])
-    single = bands.differ[band] == 0  # only equal sets link, and those are one class
+    own = Bands.of(size)
+    largest = size * DEN // NUM  # of a partner
+    up = largest >= 2 << own
+    which = np.concatenate([np.flatnonzero(size > 0), np.flatnonzero(up)])
+    band = np.concatenate([own[size > 0], own[up] + 1])
+    single = BANDS.differ[band] == 0  # only equal sets link, and those are one class
     which, band = which[~single], band[~single]
     if not len(which):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    m = bands.segments[band]
+    m, count = BANDS.segments[band], size[which]
     base = np.cumsum(m) - m
-    count = size[which]
     entry = np.repeat(np.arange(len(which)), count)
     at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(ends[which], count)
     token = sets[at]
@@ -137,12 +143,16 @@ def signatures(sets: np.ndarray, ends: np.ndarray, bands: Bands, frequent: np.nd
     of_cell = np.repeat(np.arange(len(which)), m)
     salt = band.astype(np.uint64)[of_cell] * _BAND + (np.arange(len(total)) - base[of_cell]).astype(np.uint64) * _SEGMENT
     whole = mix(total + salt)
-    rare = np.bincount(cell, weights=~frequent[(token >> np.uint64(64 - LOOKUP)).astype(np.int64)], minlength=len(total))
-    # best first; of an exact band's m segments, U + 1 + e are sent
-    exact = ~bands.deletes[band]
-    order = np.lexsort((whole, -rare, of_cell))
+    common = np.zeros(len(total), np.uint8)
+    np.maximum.at(common, cell, kind[at])
+    common[np.bincount(cell, minlength=len(total)) == 0] = 4  # all sets of the band share it
+    lonely = np.bincount(cell, weights=kind[at] == 0, minlength=len(total)) > 0
+    exact = ~BANDS.deletes[band]
+    # a set differs from a partner in so many shingles at most, and of the first as many signatures and one more they share one
+    first = may_differ(count, np.minimum(largest[which], (2 << band) - 1)) + 1
+    order = np.lexsort((whole, np.where(lonely, 0, common + 1), of_cell))
     rank = np.arange(len(total)) - base[of_cell]
-    sent = order[~exact[of_cell] | (rank < (bands.differ + bands.meet)[band][of_cell])]
+    sent = order[(~exact[of_cell] | (rank < first[of_cell])) & ~(lonely[order] & exact[of_cell])]
     out, of = [whole[sent]], [which[of_cell[sent]]]
     less = ~exact[entry]
     if less.any():
@@ -152,137 +162,126 @@ def signatures(sets: np.ndarray, ends: np.ndarray, bands: Bands, frequent: np.nd
     return np.concatenate(out), np.concatenate(of)
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, key, n (set size) and print of every document."""
-    def run(batches):
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for a, b in pieces(offsets):
-                lo = offsets[a]
-                sets, ends = shingle_sets(data[lo : offsets[b]], offsets[a : b + 1] - lo, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(ends).astype(np.int64)), pa.array(prints(sets, ends))], names=["doc_id", "key", "n", "print"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, "doc_id long, key long, n long, print long")
-
+def sketch(sets: np.ndarray) -> bytes:
+    """The sketch of one set: its band's number of bits, and as many of the next band's."""
+    own = int(Bands.of(np.array([len(sets)]))[0])
+    out = []
+    for band in (own, own + 1):
+        bits = min(SKETCH, max(64, 4 << band))
+        parity = np.bincount((mix(sets ^ _SEGMENT) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(parity.astype(bool)).tobytes())
+    return b"".join(out)
 
-def _frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """Frequent shingles of a sample of bounded size."""
-    def run(batches):
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            for a, b in pieces(offsets):
-                lo = offsets[a]
-                sets, _ = shingle_sets(data[lo : offsets[b]], offsets[a : b + 1] - lo, k)
-                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64))], names=["shingle"])
-
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    texts = docs.join(F.broadcast(ids), "doc_id").select("text")  # at most SAMPLE ids
-    counted = texts.mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= FREQUENT)
-    found = counted.orderBy(F.desc("count"), "shingle").limit(MAX_FREQUENT).select("shingle").toPandas()["shingle"].to_numpy(np.int64)
-    return found.view(np.uint64)
 
-
-def _sent(docs: DataFrame, bands: Bands, frequent: np.ndarray, groups: int, k: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((bands, frequent))
+def _pieces(docs: DataFrame, scratch: Scratch, k: int, total: int) -> DataFrame:
+    """The table of pieces: piece, at (place there), doc_id, n (set size), h and g (fingerprints), text and row (all other columns)."""
+    rest = [c for c in docs.columns if c != "text"]
+    shaped = docs.select(F.col("doc_id").cast("long"), "text", F.struct(*rest).alias("row"))
+    names = ["piece", "at", "doc_id", "n", "h", "g", "text", "row"]
 
     def run(batches):
-        bands, found = shared.value
-        frequent = np.zeros(1 << LOOKUP, bool)
-        frequent[(found >> np.uint64(64 - LOOKUP)).astype(np.int64)] = True
+        piece, at, size = TaskContext.get().partitionId() << 12, 0, 0
         for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
+            data, offsets = text_buffers(batch.column(1))
             for a, b in pieces(offsets):
-                lo = offsets[a]
+                if size >= exchange.PIECE_BYTES:
+                    piece, at, size = piece + 1, 0, 0
+                lo, part = offsets[a], batch.slice(a, b - a)
                 sets, ends = shingle_sets(data[lo : offsets[b]], offsets[a : b + 1] - lo, k)
-                names = prints(sets, ends)
-                # of equal sets in a run, one sends
-                _, first = np.unique(names, return_index=True)
-                once = np.zeros(len(names), bool)
-                once[first] = True
-                size = np.diff(ends)
-                keep = np.repeat(once, size)
-                sets, size = sets[keep], size[once]
-                names, ends = names[once], np.concatenate([[0], np.cumsum(size)])
-                sig, of = signatures(sets, ends, bands, frequent)
-                used = np.unique(of)
-                number = np.zeros(len(names), np.int64)
-                number[used] = np.arange(len(used))
-                bucket = (sig % np.uint64(groups)).astype(np.int64)
-                # 40 bits within a bucket: chance meetings are compared like others
-                short = (mix(sig) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                packed = np.ascontiguousarray(short).view("V5").reshape(-1)
-                found = exchange.cut(bucket, groups, {"sig": packed, "set": number[of].astype("<u4" if len(used) >= 1 << 16 else "<u2")}, {"sets": names[used].astype("<i8").tobytes()})
-                if found is not None:
-                    yield found
-
-    return docs.select("text").mapInArrow(run, exchange.schema("sig", "set", "sets"))
-
-
-def _met(sent: DataFrame) -> DataFrame:
-    """Groups of classes with a common signature: arrays of group sizes and of class prints, in ascending order in each group."""
-    def run(key, got):
-        raw = np.frombuffer(b"".join(got.column("sig").to_pylist()), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        sig = wide.view("<u8").reshape(-1)
-        sets = []
-        for known, numbers, s in zip(got.column("sets").to_pylist(), got.column("set").to_pylist(), got.column("sig").to_pylist(), strict=True):
-            kind = "<u2" if len(numbers) * 5 == 2 * len(s) else "<u4"
-            sets.append(np.frombuffer(known, "<i8")[np.frombuffer(numbers, kind)])
-        of = np.concatenate(sets)
-        order = np.lexsort((of, sig))
-        sig, of = sig[order], of[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (of[1:] != of[:-1])
-        sig, of = sig[new], of[new]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        size = np.diff(np.append(first, len(sig)))
-        many = size > 1
-        keep = np.repeat(many, size)
-        bucket = key[0].as_py()
-        return pa.table({"bucket": pa.array([bucket] * bool(many.any()), pa.int32()), "size": pa.array([size[many].astype("<u4").tobytes()] * bool(many.any()), pa.binary()), "classes": pa.array([of[keep].tobytes()] * bool(many.any()), pa.binary())})
-
-    return sent.groupBy("bucket").applyInArrow(run, exchange.schema("size", "classes"))
-
-
-def _first_pairs(met: DataFrame) -> DataFrame:
-    """Each class with the smallest class of each of its groups, and the number of such groups."""
-    def run(batches):
-        for batch in batches:
-            for size, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                size, of = np.frombuffer(size, "<u4").astype(np.int64), np.frombuffer(classes, "<i8")
-                lead = np.repeat(of[np.cumsum(size) - size], size)
-                pair = np.stack([lead, of], axis=1)[lead != of]
-                pair, count = np.unique(pair, axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(count.astype(np.int64))], names=["a", "b", "shared"])
-
-    return met.select("size", "classes").mapInArrow(run, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-
-
-def _members(met: DataFrame) -> DataFrame:
-    """Rows of group and class."""
-    def run(batches):
-        for batch in batches:
-            for bucket, size, classes in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                size = np.frombuffer(size, "<u4").astype(np.int64)
-                group = (bucket << 40) + np.repeat(np.arange(len(size)), size)
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.frombuffer(classes, "<i8"))], names=["group", "node"])
-
-    return met.select("bucket", "size", "classes").mapInArrow(run, "group long, node long")
-
-
-def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose set sizes allow a link."""
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}")), side)
-    near = (DEN * F.col("n_a") >= NUM * F.col("n_b")) & (DEN * F.col("n_b") >= NUM * F.col("n_a"))
-    return pairs.filter(near).drop("n_a", "n_b")
-
-
-def _links(pairs: DataFrame, held: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. `held` has node and a text of each class that may be asked for."""
-    near = pairs.select("a", "b").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = near.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+                h, g = prints(sets, ends)
+                columns = [pa.array(np.full(b - a, piece)), pa.array(np.arange(at, at + b - a, dtype=np.int32)), part.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(h), pa.array(g), part.column(1), part.column(2)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                at, size = at + b - a, size + int(offsets[b] - lo) + ROW_BYTES * (b - a)
+
+    types = [T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.LongType(), T.LongType(), T.StringType(), shaped.schema["row"].dataType]
+    schema = T.StructType([T.StructField(*f) for f in zip(names, types, strict=True)])
+    return scratch.bucketed(shaped.mapInArrow(run, schema), "pieces", "piece", max(1, total // exchange.PIECE_BYTES))
+
+
+class _Classes:
+    """The classes that one piece speaks for: their sets, and the answers about their shingles."""
+
+    def __init__(self, left: pa.Table, right: pa.Table, k: int, buckets: int):
+        self.piece = left.column("piece")[0].as_py()
+        at = left.column("at").to_numpy()
+        said = right.to_pydict()
+        chosen = np.array(sorted(x for b, x in zip(said["bucket"], said["at"], strict=True) if b < 0), np.int64)
+        self.at = chosen
+        where = np.argsort(at)[np.searchsorted(np.sort(at), chosen)]
+        self.texts = left.column("text").combine_chunks().take(pa.array(where))
+        data, offsets = text_buffers(self.texts)
+        found, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for a, b in pieces(offsets):
+            lo = offsets[a]
+            sets, ends = shingle_sets(data[lo : offsets[b]], offsets[a : b + 1] - lo, k)
+            found.append(sets)
+            sizes.append(np.diff(ends))
+        self.sets = np.concatenate(found)
+        self.ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        self.known, self.where, self.times = np.unique(self.sets, return_inverse=True, return_counts=True)
+        self.said, self.buckets = said, buckets
+
+    def node(self) -> np.ndarray:
+        return (self.piece << ROW_BITS) + self.at
+
+    def kinds(self) -> np.ndarray:
+        """0 for a shingle that no other class holds, else 1 to 3 as more pieces hold it."""
+        answers = [(b, x) for b, x in zip(self.said["bucket"], self.said["bits"], strict=True) if b >= 0]
+        kind = exchange.read(self.known, self.buckets, [b for b, _ in answers], [x for _, x in answers], planes=2)
+        return np.maximum(kind, self.times > 1)[self.where]
+
+
+def _kept(held: DataFrame, chosen: DataFrame, scratch: Scratch, k: int, buckets: int) -> DataFrame:
+    """Classes that may have a link: node, n, own (shingles), sketch, signatures, text."""
+    def ask(left, right):
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int32()), "piece": pa.array([], pa.int64()), "low": pa.array([], pa.binary())})
+        found = _Classes(left, right, k, buckets)
+        return exchange.cut(found.piece, found.known, buckets, low=exchange.low_bytes(found.known, 3))
+
+    def keep(left, right):
+        rows = []
+        if left.num_rows and right.num_rows:
+            found = _Classes(left, right, k, buckets)
+            kind, n, node = found.kinds(), np.diff(found.ends), found.node()
+            own = np.diff(np.concatenate([[0], np.cumsum(kind == 0)])[found.ends])
+            stay = own <= may_differ(n, n * DEN // NUM)
+            for a, b in pieces(found.ends * 8):
+                some = np.flatnonzero(stay[a:b])
+                if not len(some):
+                    continue
+                pick = np.repeat(stay[a:b], n[a:b])
+                sets, kinds = found.sets[found.ends[a] : found.ends[b]][pick], kind[found.ends[a] : found.ends[b]][pick]
+                ends = np.concatenate([[0], np.cumsum(n[a:b][some])])
+                sig, of = signatures(sets, ends, kinds)
+                order = np.argsort(of, kind="stable")
+                sig, cuts = sig[order].view(np.int64), np.searchsorted(of[order], np.arange(len(some) + 1))
+                for q, x in enumerate((some + a).tolist()):
+                    if cuts[q] < cuts[q + 1]:
+                        rows.append((node[x], n[x], own[x], sketch(sets[ends[q] : ends[q + 1]]), np.unique(sig[cuts[q] : cuts[q + 1]]), found.texts[x].as_py()))
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        kinds_of = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+        return pa.table({name: pa.array(list(c), t) for name, c, t in zip(("node", "n", "own", "sketch", "signatures", "text"), columns, kinds_of, strict=True)})
+
+    rows = held.select("piece", "at", "text").groupBy("piece")
+    none = F.lit(None).cast("binary").alias("bits")
+    named = chosen.select("piece", F.lit(-1).alias("bucket"), "at", none)
+    answers = scratch.save(exchange.kinds(rows.cogroup(named.groupBy("piece")).applyInArrow(ask, exchange.sent_schema("low"))), "shingles")
+    told = named.unionByName(answers.select("piece", "bucket", F.lit(None).cast("int").alias("at"), "bits"))
+    return rows.cogroup(told.groupBy("piece")).applyInArrow(keep, "node long, n long, own long, sketch binary, signatures array<long>, text string")
+
+
+def _allowed(a: str = "a", b: str = "b"):
+    """The own shingles of both sets leave room for a link, and so do their sizes."""
+    n, own = F.col(f"n_{a}") + F.col(f"n_{b}"), F.col(f"own_{a}") + F.col(f"own_{b}")
+    sizes = (DEN * F.col(f"n_{a}") >= NUM * F.col(f"n_{b}")) & (DEN * F.col(f"n_{b}") >= NUM * F.col(f"n_{a}"))
+    return sizes & ((DEN + NUM) * own <= (DEN - NUM) * n)
+
+
+def _links(pairs: DataFrame, kept: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    near = pairs.select("a", "b").join(kept.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = near.join(kept.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches):
         for batch in batches:
@@ -306,67 +305,101 @@ def _links(pairs: DataFrame, held: DataFrame, k: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a signature's classes of different components that own shingles, sizes and sketches allow."""
+    def run(got):
+        node, label, n, own, side = (got.column(c).to_numpy() for c in ("node", "label", "n", "own", "side"))
+        raw = got.column("sketch").to_pylist()
+        band, same = Bands.of(n), bool((side == 3).all())
+        out = [np.zeros((2, 0), np.int64)]
+        for top in np.unique(band).tolist():
+            # this band's sets among themselves, and the sets of the one below with this one's
+            bits = min(SKETCH, max(64, 4 << top)) // 8
+            below = min(SKETCH, max(64, 4 << (top - 1))) // 8 if top else 0
+            use = np.flatnonzero((band == top) | (band == top - 1))
+            words = np.frombuffer(b"".join(raw[i][:bits] if band[i] == top else raw[i][below : below + bits] for i in use.tolist()), np.uint8).reshape(len(use), -1).view("<u8")
+            left = np.flatnonzero((side[use] & 1) > 0)
+            right = np.flatnonzero((side[use] & 2) > 0)
+            for i in left.tolist():
+                x, others = use[i], right[right > i] if same else right
+                others = others[(label[use[others]] != label[x]) & (node[use[others]] != node[x])]
+                if band[x] < top:
+                    others = others[band[use[others]] == top]
+                y = use[others]
+                fits = (DEN * n[x] >= NUM * n[y]) & (DEN * n[y] >= NUM * n[x]) & (own[x] + own[y] <= may_differ(n[x], n[y]))
+                others, y = others[fits], y[fits]
+                apart = np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64)
+                y = y[apart <= may_differ(n[x], n[y])]
+                out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.table({"a": a, "b": b})
+
+    return rows.groupBy("signature", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _labels(kept: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """node and label (the smallest node of its component) of all classes that have a link."""
+    one = kept.select("node", F.explode("signatures").alias("signature"), F.size("signatures").alias("score"))
+    leads = one.groupBy("signature").agg(F.max(F.struct("score", (-F.col("node")).alias("order"), "node")).alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    leads = scratch.save(leads.select("signature", F.col("lead.node").alias("a"), "members"), "leads")
+    members = scratch.save(one.select("signature", F.col("node").alias("b")).join(leads, "signature"), "members")
+    # first round: each class with the leader that it meets most
+    facts = scratch.save(kept.select("node", "n", "own"), "facts")
+    side = lambda c: facts.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("own").alias(f"own_{c}"))
+    met = members.filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    met = met.join(side("a"), "a").join(side("b"), "b").filter(_allowed())
+    best = met.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+    links = scratch.save(_links(best, kept, k), "links1")
+    label = components(links, scratch, "first")
+    # then whoever met and is still apart
+    named = members.select("signature", "members", F.col("b").alias("node")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = named.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("signature")
+    rest = named.join(apart, "signature", "left_semi").join(kept.select("node", "n", "own", "sketch"), "node")
+    # blocks i <= j of a signature; side 1: left, 2: right, 3: both
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    rest = rest.withColumn("k", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    rest = rest.select("signature", "node", "label", "n", "own", "sketch", "k", others)
+    rest = rest.select("signature", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), F.when(F.col("k") == F.col("other"), 3).when(F.col("k") < F.col("other"), 1).otherwise(2).alias("side"), "node", "label", "n", "own", "sketch")
+    later = scratch.save(_across(rest).distinct(), "apart")
+    return components(links.unionByName(_links(later, kept, k)), scratch, "all")
+
+
+def _found(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, Scratch]:
+    """The table of pieces, and (h, g, n, label, component_id) of each class of sets."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    total = text_bytes(docs)
+    held = _pieces(docs, scratch, k, total)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "piece", "at")
+    classes = held.filter("n > 0").groupBy("h", "g", "n").agg(F.min(F.struct("piece", "at")).alias("at"), F.min(place).alias("first"))
+    classes = classes.select("h", "g", "n", F.col("at.piece").alias("piece"), F.col("at.at").alias("at"), F.col("first.doc_id").alias("doc_id"), "first")
+    classes = scratch.save(classes.withColumn("node", F.shiftleft("piece", ROW_BITS) + F.col("at")), "classes")
+    kept = scratch.save(_kept(held, classes.select("piece", "at"), scratch, k, exchange.buckets_for(total)), "kept")
+    labels = _labels(kept, scratch, k)
+    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("chosen"))
+    return held, scratch.save(named.select("h", "g", "n", "label").join(smallest, "label"), "components"), scratch
+
+
 def join(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, key (a hash of doc_id and text), n_shingles, print (of the shingle set), label and component_id of every document.
+    """doc_id, n_shingles, label and component_id of every document.
 
-    The label (smallest print of the component; null without shingles) names the component; component_id does not, as doc_ids may be null or repeat.
+    The label names the component (null without shingles); component_id, its smallest doc_id, does not, as doc_ids may be null or repeat.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(GROUPS, total // GROUP_BYTES)
-    every = scratch.save(_sets(docs, k), "sets")
-    classes = scratch.save(every.filter("n > 0").groupBy(F.col("print").alias("node")).agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("key").alias("key")), "classes")
-    largest = classes.agg(F.max("n")).first()[0] or 1
-    bands = Bands(largest)
-    edges = spark.createDataFrame([(int(lo), int(hi) - 1, int(m)) for lo, hi, m in zip(bands.edges, bands.edges[1:], bands.meet)], "lo long, hi long, meet long")
-    met = scratch.save(_met(_sent(docs, bands, _frequent(docs, k), groups, k)), "met")
-    pairs = scratch.save(_close(_first_pairs(met), classes), "pairs")
-    members = scratch.save(_members(met), "members")
-    scratch.drop("met")
-    nodes = members.select("node").distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("key").alias("_key"))
-    texts = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    held = scratch.save(texts.join(wanted, "_key").select("node", "text"), "held")
-    # first round: each class with the one it meets most
-    best = scratch.save(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "best")
-    scratch.drop("pairs")
-    links = scratch.save(_links(best, held, k), "links1")
-    labels = components(links, scratch, "first")
-    # then whoever met and is still apart
-    label = labels.select("node", "label")
-    members = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = members.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("group")
-    rest = scratch.save(members.join(apart, "group", "left_semi").join(classes.select("node", "n"), "node"), "apart")
-    left, right = (rest.select("group", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n")]) for x in ("a", "b"))
-    more = left.join(right, "group").filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")))
-    more = more.filter((DEN * F.col("n_a") >= NUM * F.col("n_b")) & (DEN * F.col("n_b") >= NUM * F.col("n_a")))
-    more = more.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("n_a", "n_b")).alias("larger"))
-    more = more.join(F.broadcast(edges), F.col("larger").between(F.col("lo"), F.col("hi"))).filter("shared >= meet")  # a row a band: some sixty for any size
-    more = more.select("a", "b").join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    later = scratch.save(_links(more, held, k), "links2")
-    labels = components(links.unionByName(later), scratch, "all")
-    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_class = scratch.save(named.join(smallest, "label").select(F.col("node").alias("print"), "label", "component_id"), "components")
-    scratch.drop("members", "best", "held", "links1", "links2", "apart", "classes")
-    out = every.join(of_class, "print", "left")
-    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "print", "label", F.coalesce("component_id", "doc_id").alias("component_id"))
+    held, found, _ = _found(docs.select("doc_id", "text"), k)
+    out = held.select("doc_id", "n", "h", "g").join(found, ["h", "g", "n"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "label", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """One row of each component (that of the smallest doc_id), with all its columns; rows without words all stay."""
-    found = Scratch(docs.sparkSession, "keep").save(join(docs, k), "found")
-    linked = found.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
-    chosen = linked.select("first.key").unionByName(found.filter("n_shingles = 0").select("key")).distinct()
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    rows = rows.join(chosen.withColumnRenamed("key", "_key"), "_key", "left_semi")
-    twins = found.filter("n_shingles > 0").groupBy("key").count().join(linked.select("first.key"), "key", "left_semi").filter("count > 1").select(F.col("key").alias("_key"))
-    if twins.limit(1).count():  # whole rows that repeat
-        once = rows.join(twins, "_key", "left_semi").dropDuplicates(["_key"])
-        rows = rows.join(twins, "_key", "left_anti").unionByName(once)
-    return rows.select(*docs.columns)
+    held, found, scratch = _found(docs, k)
+    chosen = found.select("chosen.piece", "chosen.at").distinct().unionByName(held.filter("n = 0").select("piece", "at"))
+    # for each piece, which of its rows stay: the pieces need not move
+    every = held.select("piece", "at").join(chosen.withColumn("stays", F.lit(True)), ["piece", "at"], "left")
+    flags = every.groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("stays", F.lit(False)).alias("stays"))))["stays"].alias("stays"))
+    rows = held.join(scratch.save(flags, "stays"), "piece").filter(F.col("stays")[F.col("at")])
+    return rows.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
