@@ -35,10 +35,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = substring_dedup.dedup(docs, as_is=True).filter("n_words > n_removed")
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    found = substring_dedup.reduced(docs, as_is=True).filter("n_words > n_removed")
+    changed = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("int")}
+    return found.select(*[(changed[c] if c in changed else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
