@@ -54,6 +54,8 @@ SKETCH = 4096
 ROW_BYTES, ROW_BITS = 16, 21
 #: Classes of a signature that are compared in one block.
 BLOCK = 2048
+#: Rows of signature and class in a group, about.
+GROUP_ROWS = 16_384
 _SEGMENT, _BAND = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 _TAG = np.uint64(0x2545F4914F6CDD1D)
 
@@ -305,36 +307,47 @@ def _links(pairs: DataFrame, kept: DataFrame, k: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _sketches(raw: list[bytes], band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of all rows in their own and in the next band, as 64-bit words, with zeros after the shorter ones."""
+    size = np.minimum(SKETCH, np.maximum(64, 4 << np.arange(int(band.max()) + 2))) // 8
+    own, up = (np.zeros((len(raw), int(size[-1])), np.uint8) for _ in range(2))
+    for k, (x, b) in enumerate(zip(raw, band.tolist(), strict=True)):
+        own[k, : size[b]] = np.frombuffer(x, np.uint8, size[b])
+        up[k, : size[b + 1]] = np.frombuffer(x, np.uint8, size[b + 1], size[b])
+    return own.view("<u8"), up.view("<u8")
+
+
 def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a signature's classes of different components that own shingles, sizes and sketches allow."""
+    """Pairs (a, b) of a signature's classes of different components that own shingles, sizes and sketches allow.
+
+    A group holds whole blocks of many signatures. Its rows are sorted by signature, and each is compared with the first, second, ... row after it.
+    """
     def run(got):
-        node, label, n, own, side = (got.column(c).to_numpy() for c in ("node", "label", "n", "own", "side"))
-        raw = got.column("sketch").to_pylist()
-        band, same = Bands.of(n), bool((side == 3).all())
+        got = got.take(np.argsort(got.column("signature").to_numpy(), kind="stable"))
+        sig, node, label, n, own, side = (got.column(c).to_numpy() for c in ("signature", "node", "label", "n", "own", "side"))
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(first, len(sig)))
+        left = np.repeat(first + size, size) - 1 - np.arange(len(sig))  # rows of the signature after each one
+        band = Bands.of(n)
+        low, high = _sketches(got.column("sketch").to_pylist(), band)
         out = [np.zeros((2, 0), np.int64)]
-        for top in np.unique(band).tolist():
-            # this band's sets among themselves, and the sets of the one below with this one's
-            bits = min(SKETCH, max(64, 4 << top)) // 8
-            below = min(SKETCH, max(64, 4 << (top - 1))) // 8 if top else 0
-            use = np.flatnonzero((band == top) | (band == top - 1))
-            words = np.frombuffer(b"".join(raw[i][:bits] if band[i] == top else raw[i][below : below + bits] for i in use.tolist()), np.uint8).reshape(len(use), -1).view("<u8")
-            left = np.flatnonzero((side[use] & 1) > 0)
-            right = np.flatnonzero((side[use] & 2) > 0)
-            for i in left.tolist():
-                x, others = use[i], right[right > i] if same else right
-                others = others[(label[use[others]] != label[x]) & (node[use[others]] != node[x])]
-                if band[x] < top:
-                    others = others[band[use[others]] == top]
-                y = use[others]
-                fits = (DEN * n[x] >= NUM * n[y]) & (DEN * n[y] >= NUM * n[x]) & (own[x] + own[y] <= may_differ(n[x], n[y]))
-                others, y = others[fits], y[fits]
-                apart = np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64)
-                y = y[apart <= may_differ(n[x], n[y])]
-                out.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]))
+        x, step = np.arange(len(sig)), 0
+        while len(x := x[left[x] > step]):
+            step += 1
+            y = x + step
+            fits = (label[x] != label[y]) & ((side[x] | side[y]) == 3) & (DEN * n[x] >= NUM * n[y]) & (DEN * n[y] >= NUM * n[x]) & (own[x] + own[y] <= may_differ(n[x], n[y]))
+            p, q = x[fits], y[fits]
+            p, q = np.where(n[p] <= n[q], p, q), np.where(n[p] <= n[q], q, p)
+            for a in range(0, len(p), BLOCK):
+                u, v = p[a : a + BLOCK], q[a : a + BLOCK]
+                mine = np.where((band[u] == band[v])[:, None], low[u], high[u])
+                apart = np.bitwise_count(mine ^ low[v]).sum(axis=1, dtype=np.int64)
+                u, v = (c[apart <= may_differ(n[u], n[v])] for c in (u, v))
+                out.append(np.stack([np.minimum(node[u], node[v]), np.maximum(node[u], node[v])]))
         a, b = np.unique(np.concatenate(out, axis=1), axis=1)
         return pa.table({"a": a, "b": b})
 
-    return rows.groupBy("signature", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _labels(kept: DataFrame, scratch: Scratch, k: int) -> DataFrame:
@@ -354,13 +367,15 @@ def _labels(kept: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     # then whoever met and is still apart
     named = members.select("signature", "members", F.col("b").alias("node")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = named.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("signature")
-    rest = named.join(apart, "signature", "left_semi").join(kept.select("node", "n", "own", "sketch"), "node")
+    rest = scratch.save(named.join(apart, "signature", "left_semi"), "rest")
+    buckets = rest.count() // GROUP_ROWS + 1
+    rest = rest.join(kept.select("node", "n", "own", "sketch"), "node").withColumn("bucket", F.pmod(F.xxhash64("signature"), F.lit(buckets)))
     # blocks i <= j of a signature; side 1: left, 2: right, 3: both
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rest = rest.withColumn("k", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     others = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    rest = rest.select("signature", "node", "label", "n", "own", "sketch", "k", others)
-    rest = rest.select("signature", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), F.when(F.col("k") == F.col("other"), 3).when(F.col("k") < F.col("other"), 1).otherwise(2).alias("side"), "node", "label", "n", "own", "sketch")
+    rest = rest.select("bucket", "signature", "node", "label", "n", "own", "sketch", "k", others)
+    rest = rest.select("bucket", "signature", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), F.when(F.col("k") == F.col("other"), 3).when(F.col("k") < F.col("other"), 1).otherwise(2).alias("side"), "node", "label", "n", "own", "sketch")
     later = scratch.save(_across(rest).distinct(), "apart")
     return components(links.unionByName(_links(later, kept, k)), scratch, "all")
 

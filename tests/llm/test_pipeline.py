@@ -92,7 +92,7 @@ def test_run_agrees_with_brute_force(spark, docs, tmp_path):
     assert all(a > b for a, b in zip(sizes, sizes[1:])) and any("\n" in t for _, t in stages[3]) and None in {i for i, _ in stages[3]}
     at = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for (name, stage), expected in zip(corpus_pipeline.STAGES, stages):
-        at = stage(spark, at, str(tmp_path)).localCheckpoint()
+        at = stage(spark, at, str(tmp_path)).checkpoint()
         assert order((x.doc_id, x.text) for x in at.collect()) == order(expected), name
         assert at.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert at.filter(F.col("n_chars") != F.char_length("text")).count() == 0
