@@ -3,7 +3,7 @@
 A shard is a run of documents in ascending doc_id order, kept as blocks of about `BLOCK_IDS` ids. A block is
 one binary value:
 
-    magic "RVB1" | documents u32 | ids u64 | control bytes u64 | data bytes u64
+    magic "RVB2" | documents u32 | of these without doc_id (the first ones) u32 | ids u64 | control bytes u64 | data bytes u64
     doc ids i64[] | ids per document u32[] | control bytes | data bytes
 
 Ids are replaced by their frequency rank over all documents (ties: smaller id first). Four ranks share a control byte, two bits
@@ -11,9 +11,9 @@ each: the bytes of the rank less one. Decoding looks the four lengths up by cont
 table. The ranks are a dictionary file beside the blocks. Both are Parquet tables with a binary column, so
 that Spark's committer covers lost executors and any file system that Spark reaches will do.
 
-Defined cases: a null or empty text has the end id alone; documents of one doc_id lie next to each other,
-the order of their texts' ids deciding; a null doc_id comes first and is null when read; an empty table gives no blocks;
-other columns are left out.
+Defined cases: a null or empty text has the end id alone; documents of one doc_id lie next to each other, in the
+order of a hash of their ids (repeated rows each take their place); a null doc_id comes first and is null when read; an empty table gives no blocks;
+other columns are left out; a very long text is one document of one block.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,9 +33,10 @@ from sightline.llm.tokens import encoder, vocabulary
 NAME = "op2_token_files"
 END_ID = 2
 BLOCK_IDS = 1_000_000
-MAGIC = b"RVB1"
-_HEAD = struct.Struct("<4sIQQQ")
-_NULL = -(1 << 63)
+MAGIC = b"RVB2"
+_HEAD = struct.Struct("<4sIIQQQ")
+#: Bytes of ids in a shard, about, and shards at least.
+SHARD_BYTES, SHARDS = 16 << 20, 8
 #: The four byte lengths of each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -64,14 +64,16 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 
 def encode_block(doc_ids: list, counts: list[int], ranks: np.ndarray) -> bytes:
+    """Documents without id come first."""
     control, data = encode_ranks(ranks)
-    ids = np.array([_NULL if d is None else d for d in doc_ids], "<i8")
-    return b"".join([_HEAD.pack(MAGIC, len(ids), len(ranks), len(control), len(data)), ids.tobytes(), np.array(counts, "<u4").tobytes(), control, data])
+    nulls = sum(d is None for d in doc_ids)
+    ids = np.array([0] * nulls + doc_ids[nulls:], "<i8")
+    return b"".join([_HEAD.pack(MAGIC, len(ids), nulls, len(ranks), len(control), len(data)), ids.tobytes(), np.array(counts, "<u4").tobytes(), control, data])
 
 
 def decode_block(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """Doc ids, ids per document, ranks."""
-    magic, docs, n, control, data = _HEAD.unpack_from(block)
+    magic, docs, nulls, n, control, data = _HEAD.unpack_from(block)
     if magic != MAGIC:
         raise ValueError("not a block of ranked ids")
     at = _HEAD.size
@@ -79,28 +81,32 @@ def decode_block(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     counts = np.frombuffer(block, "<u4", docs, at + 8 * docs)
     at += 12 * docs
     ranks = decode_ranks(np.frombuffer(block, np.uint8, control, at), np.frombuffer(block, np.uint8, data, at + control), n)
-    return [None if d == _NULL else d for d in ids.tolist()], counts, ranks
+    return [None] * nulls + ids[nulls:].tolist(), counts, ranks
 
 
 def _coded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Each document's ids, end id included, in the same code with the ids themselves as ranks, compressed.
+    """Each document's ids, end id included, two bytes each where all ids of the vocabulary fit.
 
     A task adds a last row with its id counts, n of which is null.
     """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode, press, total = encoder(path).encode, zstandard.ZstdCompressor(level=1), np.zeros(1 << 16, np.int64)
+        own = encoder(path)
+        kind, total = _kind(len(own.size), end_id), np.zeros(1 << 16, np.int64)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a in range(0, batch.num_rows, 500):
-                coded = [np.frombuffer(x + end, "<u4") for x in encode(texts.slice(a, 500).to_pylist())]
-                got = np.bincount(np.concatenate(coded))
+                coded = [x + end for x in own.encode(texts.slice(a, 500).to_pylist())]
+                n = np.array([len(x) for x in coded], np.int64) // 4
+                flat = np.frombuffer(b"".join(coded), "<u4")
+                got = np.bincount(flat)
                 if len(got) > len(total):
                     total = np.pad(total, (0, len(got) - len(total)))
                 total[: len(got)] += got
-                packed = [press.compress(c + d) for c, d in map(encode_ranks, coded)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, 500), pa.array([len(x) for x in coded], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n", "coded"])
+                offsets = (np.concatenate([[0], np.cumsum(n)]) * np.dtype(kind).itemsize).astype(np.int64)
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.astype(kind).tobytes())])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, 500), pa.array(n), packed.cast(pa.binary())], names=["doc_id", "n", "coded"])
         used = np.flatnonzero(total)
         counts = np.stack([used, total[used]]).astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([counts], pa.binary())], names=["doc_id", "n", "coded"])
@@ -108,10 +114,8 @@ def _coded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, coded binary")
 
 
-def _ids(coded: bytes, n: int, unpress) -> np.ndarray:
-    raw = np.frombuffer(unpress.decompress(coded), np.uint8)
-    control = -(-n // 4)
-    return decode_ranks(raw[:control], raw[control:], n)
+def _kind(vocabulary_size: int, end_id: int) -> str:
+    return "<u2" if max(vocabulary_size, end_id + 1) <= 1 << 16 else "<u4"
 
 
 def _frequencies(coded: DataFrame) -> DataFrame:
@@ -138,9 +142,11 @@ class TokenFiles:
         # the dictionary is as large as the vocabulary, whatever the input
         id_of = np.array([r.id for r in self.ranks.orderBy("rank").collect()], np.uint32)
         by_rank = self.spark.sparkContext.broadcast(id_of)
-        # a row for each block of a million ids; the running sum reads the block headers only
-        before = Window.orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-        starts = self.blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("block_start"))
+        # running sums within each shard, on top of those over the shards (a row for each); both read the block headers only
+        before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        shards = self.blocks.groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).select("shard", before(Window.orderBy("shard")).alias("shard_start"))
+        starts = self.blocks.select("shard", "block", before(Window.partitionBy("shard").orderBy("block")).alias("in_shard")).join(shards, "shard")
+        starts = starts.select("shard", "block", (F.col("in_shard") + F.col("shard_start")).alias("block_start"))
 
         def run(batches):
             table_of_ids = by_rank.value
@@ -175,7 +181,6 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
 
     def run(batches):
         ranks_of, shard, number, size = shared.value, TaskContext.get().partitionId(), 0, 0
-        unpress = zstandard.ZstdDecompressor()
         held: tuple[list, list, list] = ([], [], [])
 
         def block():
@@ -188,7 +193,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
             for doc, n, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 held[0].append(doc)
                 held[1].append(n)
-                held[2].append(ranks_of[_ids(c, n, unpress)])
+                held[2].append(ranks_of[np.frombuffer(c, f"<u{len(c) // n}")])
                 size += n
                 if size >= BLOCK_IDS:
                     yield block()
@@ -196,7 +201,9 @@ def write_token_files(docs: DataFrame, path: str | None = None, end_id: int = EN
         if held[0]:
             yield block()
 
-    ordered = coded.filter("n is not null").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "coded")
+    rows = coded.filter("n is not null").withColumn("order", F.xxhash64("coded"))
+    shards = max(SHARDS, (coded.agg(F.sum("n")).first()[0] or 0) * 2 // SHARD_BYTES)
+    ordered = rows.repartitionByRange(shards, "doc_id", "order").sortWithinPartitions("doc_id", "order").select("doc_id", "n", "coded")
     ordered.mapInArrow(run, "shard int, block int, n_ids long, payload binary").write.parquet(f"{root}/blocks")
     scratch.drop("coded", "counts")
     return TokenFiles(spark, root)

@@ -61,11 +61,26 @@ def test_packing_places_every_piece_once(spark, docs):
 
 
 def test_token_files_read_back(spark, docs):
-    rows = list(enumerate(ODD))
-    got = {r.doc_id: r for r in token_files.write_token_files(docs(rows)).documents().collect()}
-    library, start = tokenizer("byte_bpe_50k.json"), 0
-    for i, t in rows:
-        ids = library.encode(t or "", add_special_tokens=False).ids + [2]
-        assert (got[i].start, got[i].n_tokens, np.frombuffer(got[i].ids, "<u4").tolist()) == (start, len(ids), ids)
-        start += len(ids)
+    library, least = tokenizer("byte_bpe_50k.json"), -(1 << 63)
+    encode = lambda t: library.encode(t or "", add_special_tokens=False).ids + [2]
+    rows = [*enumerate(ODD), (None, "no id"), (None, None), (least, "the least id"), (3, "again"), (3, "again"), (99, "long " * 60_000)]
+    got = token_files.write_token_files(docs(rows)).documents().collect()
+    read = sorted((r.start, r.n_tokens, r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got)
+    assert sorted((d is not None, d or 0, ids) for _, _, d, ids in read) == sorted((i is not None, i or 0, tuple(encode(t))) for i, t in rows)
+    assert [(d is not None, d or 0) for _, _, d, _ in read] == sorted((i is not None, i or 0) for i, _ in rows)
+    assert [s for s, _, _, _ in read] == [sum(n for _, n, _, _ in read[:k]) for k in range(len(read))] and all(r.ids_crc32 == zlib.crc32(r.ids) for r in got)
     assert token_files.write_token_files(docs([])).documents().count() == 0
+
+
+def test_packing_goes_on_over_rounds_of_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 40)
+    r = np.random.default_rng(3)
+    sizes = r.integers(1, 900, 400).tolist()
+    items = spark.createDataFrame([(k, n, "keep") for k, n in enumerate(sizes)], "k int, size long, sequence string").repartition(8)
+    got = packing.pack(items, "size", 1000).collect()
+    assert sorted(x.k for x in got) == list(range(400)) and all(x.size == sizes[x.k] and x.sequence == "keep" for x in got)
+    bins = {}
+    for x in sorted(got, key=lambda x: x.sequence_offset):
+        assert x.sequence_offset == bins.get(x.sequence_id, 0)
+        bins[x.sequence_id] = x.sequence_offset + x.size
+    assert max(bins.values()) <= 1000 and len(bins) <= 1.1 * sum(sizes) / 1000
