@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,14 @@ NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|widget|related|recommend\w*|share|sharing|social|comments?|commentlist|disqus|respond|reply|replies|discussion|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|pagination|pager|toolbar|copyright|disclaimer|legal|complementary|contentinfo|dialog|skip)(?:$|[\s_-])",
     re.I,
 )
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>")
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>")
+_SCRIPT = re.compile(r"<(script|style)(?=[\s/>])", re.I)
+_SCRIPT_END, _STYLE_END = re.compile(r"</script\s*>", re.I), re.compile(r"</style\s*>", re.I)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"[^>\"']*")
+#: Tags of a page whose quotes do not close, after which quotes count for nothing there; and scans of the page for ends of silent elements.
+BROKEN, SCANS = 20, 4
+#: Open elements within a silent one that are told apart.
+DEPTH = 1_000
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "marked", "in_article")
@@ -115,106 +121,189 @@ def _marked(attributes: str) -> bool:
     return False
 
 
-def _tags(page: str, at: int):
-    """The tags from a place on."""
-    while (at := page.find("<", at)) >= 0:
-        m = _TAG.match(page, at) or _LOOSE.match(page, at)
-        if m and m[2]:
-            yield m
-        at = m.end() if m else at + 1
+class Tag:
+    """A tag: its place, the one after it, whether it is an end tag, its name in lower case, and its attributes. Declarations have no name."""
 
+    __slots__ = ("attributes", "closing", "end", "name", "start")
 
-def _silent_end(page: str, at: int, name: str, outer: set[str], last: dict[str, int]) -> int:
-    """Where the silent element whose start tag ends at `at` ends; `outer` names the elements it lies in, `last` holds the place of the page's last end tag of a kind."""
-    if name not in last:
-        last[name] = max((m.start() for m in re.finditer(f"</{name}", page, re.I)), default=-1)
+    def __init__(self, start: int, end: int, closing: bool = False, name: str = "", attributes: str = ""):
+        self.start, self.end, self.closing, self.name, self.attributes = start, end, closing, name, attributes
+
+
+class Page:
+    """A page's text and its tags. Every step goes forward, so that a page of broken tags takes no more than a few passes."""
+
+    def __init__(self, text: str):
+        self.broken = self.scanned = 0
+        self.text = text
+        self.last = text.rfind(">")
+        self.text = self._without_raw()
+        self.last, self.broken = self.text.rfind(">"), 0
+        self.ends: dict[str, int] = {}
+
+    def tag(self, at: int) -> Tag | None:
+        """The tag that begins at a `<`; None for a lone sign."""
+        text = self.text
+        if at >= self.last:
+            return None
+        if text[at + 1] in "!?":
+            return Tag(at, text.find(">", at) + 1)
+        m = _NAME.match(text, at)
+        if not m:
+            return None
+        end = self._end(m.end())
+        return Tag(at, end + 1, bool(m[1]), m[2].lower(), text[m.end() : end])
+
+    def _end(self, at: int) -> int:
+        """Where the `>` of a tag is: outside quotes, or the next one where quotes do not close."""
+        text, begun = self.text, at
+        if self.broken < BROKEN:
+            while (at := _QUOTED.match(text, at).end()) < len(text):
+                if text[at] == ">":
+                    return at
+                at = text.find(text[at], at + 1) + 1
+                if not at:
+                    break
+            self.broken += 1
+        return text.find(">", begun)
+
+    def _without_raw(self) -> str:
+        """The text with a space for each comment, script and style; those without end go to the end of the page."""
+        text, out, done, at = self.text, [], 0, 0
+        while (at := text.find("<", at)) >= 0:
+            if text.startswith("<!--", at):
+                end = text.find("-->", at + 4)
+                end = len(text) if end < 0 else end + 3
+            elif text.startswith("<![CDATA[", at):
+                end = text.find("]]>", at)
+                end = len(text) if end < 0 else end + 3
+            elif (m := _SCRIPT.match(text, at)) and (tag := self.tag(at)) and not tag.attributes.endswith("/"):
+                close = (_SCRIPT_END if m[1].lower() == "script" else _STYLE_END).search(text, tag.end)
+                end = close.end() if close else len(text)
+            else:
+                at += 1
+                continue
+            out += [text[done:at], " "]
+            done = at = end
+        return "".join([*out, text[done:]])
+
+    def tags(self, at: int):
+        """The tags from a place on."""
+        while (at := self.text.find("<", at)) >= 0:
+            tag = self.tag(at)
+            if tag and tag.name:
+                yield tag
+            at = tag.end if tag else at + 1
+
+    def last_end(self, name: str) -> int:
+        """The place of the page's last end tag of a kind."""
+        if name not in self.ends:
+            self.ends[name] = max((m.start() for m in re.finditer(f"</{re.escape(name)}", self.text, re.I)), default=-1)
+        return self.ends[name]
+
+
+def _silent_end(page: Page, at: int, name: str, outer: set[str]) -> int:
+    """Where the silent element whose start tag ends at `at` ends; `outer` names the elements it lies in."""
     inner: list[str] = []
-    block = None
-    for m in _tags(page, at):
-        found = m[2].lower()
-        if m[1]:
+    block, ended = None, page.last_end(name) >= at and page.scanned < SCANS * len(page.text)
+    begun = at
+    for tag in page.tags(at):
+        found = tag.name
+        if tag.closing:
             if found in inner:
                 del inner[len(inner) - 1 - inner[::-1].index(found) :]
             elif found == name:
-                return m.end()
+                return tag.end
             elif found in outer:
-                return m.start() if block is None else block
+                page.scanned += tag.start - begun
+                return tag.start if block is None else block
             continue
         if block is None and found in BLOCK:
-            block = m.start()
-        if block is not None and last[name] < at:
+            block = tag.start
+        if block is not None and not ended:
             return block
         if found == "body" or (found == name and name in FLAT):
-            return m.start() if block is None else block
-        if found not in VOID and not m[3].endswith("/"):
+            page.scanned += tag.start - begun
+            return tag.start if block is None else block
+        if found not in VOID and not tag.attributes.endswith("/") and len(inner) < DEPTH:
             inner.append(found)
-    return len(page) if block is None else block
+    page.scanned += len(page.text) - begun
+    return len(page.text) if block is None else block
 
 
-def _head_end(page: str, at: int, outer: set[str], last: dict[str, int]) -> int:
+def _head_end(page: Page, at: int, outer: set[str]) -> int:
     """Where the head whose start tag ends at `at` ends."""
     text = None
     while True:
-        m = next(_tags(page, at), None)
-        cut = m.start() if m else len(page)
-        if text is None and page[at:cut].strip():
+        tag = next(page.tags(at), None)
+        cut = tag.start if tag else len(page.text)
+        if text is None and page.text[at:cut].strip():
             text = at
-        name = m[2].lower() if m else ""
-        if m and m[1]:
+        name = tag.name if tag else ""
+        if tag and tag.closing:
             if name == "head":
-                return m.end()
-            at = m.end()
+                return tag.end
+            at = tag.end
         elif name in SILENT or name in IN_HEAD:
-            at = m.end()
-            if name in SILENT and not m[3].endswith("/"):
-                at = _silent_end(page, at, name, outer | {"head"}, last)
+            at = tag.end
+            if name in SILENT and not tag.attributes.endswith("/"):
+                at = _silent_end(page, at, name, outer | {"head"})
         else:
             return cut if text is None else text
 
 
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
     """text, words, link share, marked, in_article of each block in page order."""
-    page = _RAW.sub(" ", page)
+    page = Page(page)
+    text = page.text
     out: list = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, marks its content, holds the article
-    last: dict[str, int] = {}
+    opened: Counter[str] = Counter()
     marked = article = links = 0
     held: list[str] = []
     linked: list[str] = []
 
     def flush():
         if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            if text:
-                words = text.count(" ") + 1
+            line = " ".join(html.unescape("".join(held)).split())
+            if line:
+                words = line.count(" ") + 1
                 in_links = len(html.unescape(" ".join(linked)).split())
-                out.append((text, words, min(1.0, in_links / words), marked > 0, article > 0))
+                out.append((line, words, min(1.0, in_links / words), marked > 0, article > 0))
             held.clear()
             linked.clear()
 
+    def leave(k: int):
+        """Closes the open elements from the k-th on."""
+        nonlocal marked, article, links
+        for n, a, b in stack[k:]:
+            marked, article, links = marked - a, article - b, links - (n == "a")
+            opened[n] -= 1
+        del stack[k:]
+
     at = 0
     while True:
-        cut = page.find("<", at)
+        cut = text.find("<", at)
         if cut < 0:
-            cut = len(page)
+            cut = len(text)
         if cut > at:
-            held.append(page[at:cut])
+            held.append(text[at:cut])
             if links:
-                linked.append(page[at:cut])
-        if cut == len(page):
+                linked.append(text[at:cut])
+        if cut == len(text):
             break
-        m = _TAG.match(page, cut) or _LOOSE.match(page, cut)
-        if not m:  # a lone sign
+        tag = page.tag(cut)
+        if not tag:  # a lone sign
             held.append("<")
             at = cut + 1
             continue
-        at = m.end()
-        if not m[2]:
+        at = tag.end
+        if not tag.name:
             continue
-        name, closing, attributes = m[2].lower(), m[1], m[3]
+        name, closing, attributes = tag.name, tag.closing, tag.attributes
         if not closing and not attributes.endswith("/") and (name in SILENT or name == "head"):
-            outer = {n for n, _, _ in stack}
-            at = _head_end(page, at, outer, last) if name == "head" else _silent_end(page, at, name, outer, last)
+            outer = {n for n, k in opened.items() if k}
+            at = _head_end(page, at, outer) if name == "head" else _silent_end(page, at, name, outer)
             held.append(" ")
             continue
         if name not in INLINE:
@@ -224,25 +313,19 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
         if name in VOID or (attributes.endswith("/") and name not in INLINE and not closing and name not in ARTICLE):
             continue
         if not closing:
-            if name == "p" or name == "li" or name == "a":  # these end an open one of their kind
-                closing_to = _open_at(stack, name)
-            else:
-                closing_to = None
-            if closing_to is not None:
-                for _, a, b in stack[closing_to:]:
-                    marked, article = marked - a, article - b
-                links -= sum(n == "a" for n, _, _ in stack[closing_to:])
-                del stack[closing_to:]
+            if name in ("p", "li", "a") and opened[name]:  # these end an open one of their kind
+                k = _open_at(stack, name)
+                if k is not None:
+                    leave(k)
             is_marked = name in BOILERPLATE or ("=" in attributes or "hidden" in attributes) and name not in ("html", "body") and _marked(attributes)
             holds = name in ARTICLE
             stack.append((name, bool(is_marked), holds))
+            opened[name] += 1
             marked, article, links = marked + bool(is_marked), article + holds, links + (name == "a")
-        else:
+        elif opened[name]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for n, a, b in stack[k:]:
-                        marked, article, links = marked - a, article - b, links - (n == "a")
-                    del stack[k:]
+                    leave(k)
                     break
                 if name in INLINE and stack[k][0] not in INLINE:
                     break  # a stray inline end tag closes no block

@@ -137,10 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, max_traini
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """All columns of `docs` but any of that name, with `score` added."""
+def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """All columns of `docs` but any of that name, with the score added."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    docs = docs.drop("score")
+    docs = docs.drop(name)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -153,11 +153,11 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 doc, bucket, value = features(data[lo : offsets[b]], offsets[a : b + 1] - lo, len(w) - 1)
                 total[a:b] = np.bincount(doc, weights=value * w[bucket], minlength=b - a)
             out = 1 / (1 + np.exp(-np.clip(total + w[-1], -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, name])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields] + [T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

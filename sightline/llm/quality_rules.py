@@ -149,10 +149,14 @@ def judge(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text", "lang"))
-    rejected = judge(keyed, "_key").filter(~F.col("kept")).select("_key").distinct()
-    return keyed.join(rejected, "_key", "left_anti").select(*docs.columns)
+    """The rows of `docs` that are kept, with all their columns. Rows are told apart by 128 bits of hashes of what the rules read."""
+    key = "_key"
+    while key in docs.columns:
+        key += "_"
+    hashes = F.struct(F.xxhash64("doc_id", "text", "lang").alias("a"), F.xxhash64(F.lit(1), "doc_id", "text", "lang").alias("b"))
+    keyed = docs.withColumn(key, hashes)
+    rejected = judge(keyed, key).filter(~F.col("kept")).select(key).distinct()
+    return keyed.join(rejected, key, "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Main text, URL verdicts and top-k search."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -35,6 +37,15 @@ def test_silent_elements_without_end_tag_take_no_text(page):
     assert html_text.main_text(page.format(STORY), tree) == STORY[3:-4]
 
 
+@pytest.mark.parametrize("bad", ["<a ", "<", '<a "', "<a '\">", "<svg><p>", "<div>", "</b>", "<script ", "<button>", "<!--", "<i><li></i>", "&amp;"])
+def test_long_broken_pages_take_a_few_passes(bad):
+    tree = html_text.train()
+    began = time.process_time()
+    html_text.main_text(bad * (300_000 // len(bad)), tree)
+    assert time.process_time() - began < 10
+    assert html_text.main_text(f"<article>{STORY}</article>" + bad * 3, tree).startswith(STORY[3:-4])
+
+
 def test_text_ends_a_head():
     assert [b[0] for b in html_text.blocks("<head><meta name=a>One two <b>three</b><p>four")] == ["One two three", "four"]
     assert [b[0] for b in html_text.blocks("<head>stray <meta name=a></head>One")] == ["One"]
@@ -44,6 +55,7 @@ def test_extract_keeps_columns(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
     assert got[1].n_chars == len(got[1].text) and got[2].text == "" and got[1].url == "u"
+    assert html_text.extract(pages.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize(
