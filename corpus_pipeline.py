@@ -27,7 +27,10 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weights = quality_model.train(table(spark, sf_dir, "documents"), quality_model.training_labels(spark, sf_dir))
-    return quality_model.score(docs, weights).filter(F.col("score") >= MIN_SCORE).select(*docs.columns)
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return quality_model.score(docs, weights, name).filter(F.col(name) >= MIN_SCORE).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
