@@ -31,6 +31,10 @@ CAPACITY = 2048
 END_ID = 0
 #: Items that one task packs at most, once the first round has read them.
 ITEMS_PER_TASK = 200_000
+#: The same for tokens, as items may carry their ids.
+TOKENS_PER_TASK = 10_000_000
+#: Bins sent at a time, which bounds what a batch weighs when items carry their ids; and documents encoded at a time.
+ROWS, ENCODED = 256, 500
 #: A bin with this many free places or fewer is final.
 SLACK = 8
 
@@ -63,19 +67,23 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return order[by_bin], bins[by_bin]
 
 
-def pack(items: DataFrame, length: str, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
-    """Adds sequence_id, sequence_offset and sequence_length to items of 1 to `capacity` tokens."""
+def pack(items: DataFrame, length: str, capacity: int = CAPACITY, slack: int = SLACK, made_by=None, schema: T.StructType | None = None) -> DataFrame:
+    """Adds sequence_id, sequence_offset and sequence_length to items of 1 to `capacity` tokens.
+
+    With `made_by`, the rows of `items` become items of `schema` by that function of Arrow batches, in the tasks of the first round.
+    """
     spark = items.sparkSession
     scratch = Scratch(spark, "packing")
-    fields = T.StructType([T.StructField(f.name, f.dataType, True) for f in items.schema.fields])
-    schema = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("fill", T.IntegerType()), T.StructField("items", T.ArrayType(fields))])
+    fields = T.StructType([T.StructField(f.name, f.dataType, True) for f in (schema or items.schema).fields])
+    binned = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("fill", T.IntegerType()), T.StructField("items", T.ArrayType(fields))])
 
     def round_of(number: int, nested: bool):
         def run(batches):
-            batches = [b for b in batches if b.num_rows]
+            batches = [b for b in (made_by(batches) if made_by and not nested else batches) if b.num_rows]
             if not batches:
                 return
             got = pa.Table.from_batches(batches).combine_chunks()
+            batches.clear()
             if nested:
                 held = got.column("items").combine_chunks()
                 counts = np.diff(held.offsets.to_numpy())
@@ -93,27 +101,27 @@ def pack(items: DataFrame, length: str, capacity: int = CAPACITY, slack: int = S
             size = np.bincount(bins, weights=counts[order], minlength=n).astype(np.int64)
             first = np.concatenate([[0], np.cumsum(size)])
             ids = (number << 56) + (TaskContext.get().partitionId() << 32) + np.arange(n, dtype=np.int64)
-            for a in range(0, n, 4096):
-                b = min(n, a + 4096)
+            for a in range(0, n, ROWS):
+                b = min(n, a + ROWS)
                 part = flat.take(pa.array(take[first[a] : first[b]]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(fill[a:b]), list_array(part, size[a:b])], names=["sequence_id", "fill", "items"])
 
         return run
 
     done, number = [], 0
-    now = scratch.save(items.mapInArrow(round_of(0, False), schema), "round0")
+    now = scratch.save(items.mapInArrow(round_of(0, False), binned), "round0")
     left = None
     while True:
         full, rest = now.filter(F.col("fill") >= capacity - slack), now.filter(F.col("fill") < capacity - slack)
-        count = rest.count()
-        tasks = math.ceil(count / ITEMS_PER_TASK)
+        count, tokens = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum("fill"), F.lit(0))).first()
+        tasks = max(math.ceil(count / ITEMS_PER_TASK), math.ceil(tokens / TOKENS_PER_TASK))
         settled = left is not None and (left[0] == 1 or count > 0.95 * left[1])
         if not count or settled:
             done.append(now)
             break
         done.append(full)
         number += 1
-        now = scratch.save(rest.repartition(tasks).mapInArrow(round_of(number, True), schema), f"round{number}")
+        now = scratch.save(rest.repartition(tasks).mapInArrow(round_of(number, True), binned), f"round{number}")
         left = (tasks, count)
     bins = done[0]
     for more in done[1:]:
@@ -125,19 +133,20 @@ def pack(items: DataFrame, length: str, capacity: int = CAPACITY, slack: int = S
             if not batch.num_rows:
                 continue
             held, fill = batch.column(2), batch.column(1).to_numpy().astype(np.int64)
-            counts = np.diff(held.offsets.to_numpy())
-            flat, of = held.flatten(), np.repeat(np.arange(len(counts)), counts)
-            size = flat.field(length).to_numpy(zero_copy_only=False).astype(np.int64)
-            before = np.cumsum(size) - size
-            at = before - np.repeat(np.cumsum(fill) - fill, counts)
-            yield pa.RecordBatch.from_arrays([*flat.flatten(), batch.column(0).take(pa.array(of)), pa.array(at), pa.array(fill[of])], names=placed.names)
+            for a in range(0, batch.num_rows, ROWS):
+                part, own = held.slice(a, ROWS), fill[a : a + ROWS]
+                counts = np.diff(part.offsets.to_numpy())
+                flat, of = part.flatten(), np.repeat(np.arange(len(counts)), counts)
+                size = flat.field(length).to_numpy(zero_copy_only=False).astype(np.int64)
+                before = np.cumsum(size) - size
+                at = before - np.repeat(np.cumsum(own) - own, counts)
+                yield pa.RecordBatch.from_arrays([*flat.flatten(), batch.column(0).slice(a, ROWS).take(pa.array(of)), pa.array(at), pa.array(own[of])], names=placed.names)
 
     return bins.mapInArrow(flatten, placed)
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """The token pieces of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian 32 bits)."""
-    path = path or vocabulary("byte_bpe_50k.json")
+def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
+    """The function from batches of (doc_id, text) to batches of pieces, and their schema."""
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
@@ -146,9 +155,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
         encode = encoder(path).encode
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a in range(0, len(ids), 500):
+            for a in range(0, len(ids), ENCODED):
                 out = []
-                for doc, coded in zip(ids[a : a + 500], encode(texts.slice(a, 500).to_pylist()), strict=True):
+                for doc, coded in zip(ids[a : a + ENCODED], encode(texts.slice(a, ENCODED).to_pylist()), strict=True):
                     coded += end
                     n, at, k = len(coded) // 4, 0, 0
                     while at < n:
@@ -158,13 +167,19 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                         at, k = at + size, k + 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    kinds = [T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.LongType()] + [T.BinaryType()] * with_ids
+    return run, T.StructType([T.StructField(n, t) for n, t in zip(names, kinds, strict=True)])
+
+
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """The token pieces of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian 32 bits)."""
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(*_cut(path or vocabulary("byte_bpe_50k.json"), capacity, end_id, with_ids))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with the sequence and the place there."""
-    return pack(pieces(docs, path, capacity, end_id, with_ids), "length", capacity)
+    made_by, schema = _cut(path or vocabulary("byte_bpe_50k.json"), capacity, end_id, with_ids)
+    return pack(docs.select(F.col("doc_id").cast("long"), "text"), "length", capacity, made_by=made_by, schema=schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ import numpy as np
 
 #: A space that stands between white space (or at the end) belongs to a run that must stay whole.
 _RUN = re.compile(r"\s (?:\s|\Z)")
-#: Cached words a process; beyond it the cache starts anew.
-CACHE = 1_000_000
+#: Cached words a process, and bytes of them and their ids; beyond these the cache starts anew.
+CACHE, CACHE_BYTES = 700_000, 32 << 20
 
 
 def vocabulary(name: str) -> str:
@@ -39,6 +39,7 @@ class ByteEncoder:
             self.size[k] = len(token)  # a character a byte
         for k, token in added.items():
             self.size[k] = len(token.content.encode())
+        self.held = 0
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -51,9 +52,10 @@ class ByteEncoder:
         whole = [i for i, t in enumerate(texts) if _RUN.search(t)]
         odd = set(whole)
         words = [None if i in odd else t.split(" ") for i, t in enumerate(texts)]
-        if len(self.later) > CACHE or len(self.first) > CACHE:
+        if len(self.later) + len(self.first) > CACHE or self.held > CACHE_BYTES:
             self.first.clear()
             self.later.clear()
+            self.held = 0
         seen = [w for w in words if w is not None]
         self._learn(self.first, list({w[0] for w in seen} - self.first.keys()), "")
         new: set[str] = set()
@@ -71,8 +73,9 @@ class ByteEncoder:
     def _learn(self, cache: dict[str, bytes], words: list[str], lead: str) -> None:
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            cache.update(zip(part, self._bytes([lead + w for w in part]), strict=True))
-
+            ids = self._bytes([lead + w for w in part])
+            cache.update(zip(part, ids, strict=True))
+            self.held += sum(map(len, part)) + sum(map(len, ids))
 
     def _learn_joined(self, words: list[str], run: int = 200) -> None:
         """Space-led words, many to a text: each is cut off at its bytes."""
@@ -81,6 +84,7 @@ class ByteEncoder:
         ends = np.cumsum([len(w.encode()) + 1 for w in words])
         cuts = np.searchsorted(np.cumsum(self.size[ids]), ends, "left") + 1
         raw, at = ids.tobytes(), 0
+        self.held += len(raw) + int(ends[-1])
         for word, cut in zip(words, (4 * cuts).tolist(), strict=True):
             self.later[word] = raw[at:cut]
             at = cut
