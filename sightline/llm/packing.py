@@ -1,6 +1,6 @@
 """Best-fit packing of token pieces into sequences of bounded length.
 
-Hierarchical residual packing: every partition packs its items best-fit (longest first), nearly full
+Hierarchical residual packing: every partition packs its items best-fit (longest first; a large one a run of items at a time), nearly full
 bins are final, and the underfull bins of all partitions are items of the next, narrower round. A round's
 partitions hold at most `ITEMS_PER_TASK` items, and rounds end when one partition holds what is left
 or a round no longer frees bins, so no task grows with the input.
@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ END_ID = 0
 ITEMS_PER_TASK = 200_000
 #: The same for tokens, as items may carry their ids.
 TOKENS_PER_TASK = 10_000_000
+#: Tokens that the first round packs at a time, whatever the size of a partition.
+FIRST_TOKENS = 4_000_000
 #: Bins sent at a time, which bounds what a batch weighs when items carry their ids; and documents encoded at a time.
 ROWS, ENCODED = 256, 500
 #: A bin with this many free places or fewer is final.
@@ -79,9 +82,21 @@ def pack(items: DataFrame, length: str, capacity: int = CAPACITY, slack: int = S
 
     def round_of(number: int, nested: bool):
         def run(batches):
-            batches = [b for b in (made_by(batches) if made_by and not nested else batches) if b.num_rows]
-            if not batches:
-                return
+            held, tokens, made, rows = [], 0, 0, 0
+            for batch in made_by(batches) if made_by and not nested else batches:
+                if not batch.num_rows:
+                    continue
+                held.append(batch)
+                rows += batch.num_rows
+                tokens += pc.sum(batch.column(batch.schema.get_field_index("fill" if nested else length))).as_py()
+                if not nested and tokens >= FIRST_TOKENS:
+                    yield from packed(held, made)
+                    made, held, tokens = made + rows, [], 0
+                    rows = 0
+            if held:
+                yield from packed(held, made)
+
+        def packed(batches, made):
             got = pa.Table.from_batches(batches).combine_chunks()
             batches.clear()
             if nested:
@@ -100,7 +115,7 @@ def pack(items: DataFrame, length: str, capacity: int = CAPACITY, slack: int = S
             fill = np.bincount(bins, weights=fills[order], minlength=n).astype(np.int32)
             size = np.bincount(bins, weights=counts[order], minlength=n).astype(np.int64)
             first = np.concatenate([[0], np.cumsum(size)])
-            ids = (number << 56) + (TaskContext.get().partitionId() << 32) + np.arange(n, dtype=np.int64)
+            ids = (number << 56) + (TaskContext.get().partitionId() << 32) + made + np.arange(n, dtype=np.int64)
             for a in range(0, n, ROWS):
                 b = min(n, a + ROWS)
                 part = flat.take(pa.array(take[first[a] : first[b]]))
