@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.functions.hashing import seeded, uniform
+
 MIN_TARGET_GAIN, MAX_OVERALL_DROP, MAX_SLICE_DROP = 0.02, 0.005, 0.02
 
 
@@ -93,3 +95,39 @@ def latency(samples: DataFrame, group: str, column: str, batch: int = 1) -> Data
     """p50, p90, p99, mean and throughput of each group."""
     p = lambda q: F.percentile(column, F.lit(q))
     return samples.groupBy(group).agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.avg(column).alias("mean"), (batch * 1000.0 / F.avg(column)).alias("throughput"), F.count(F.lit(1)).alias("runs"))
+
+
+def trigger(reports: DataFrame) -> DataFrame:
+    """Adds reasons (in this order) and whether to act. `reports` has drifted, violated and forced."""
+    why = F.array_compact(F.array(*[F.when(F.col(c), F.lit(n)) for c, n in (("drifted", "drift"), ("violated", "slo"), ("forced", "forced"))]))
+    return reports.withColumns({"reasons": why, "triggered": F.size(why) > 0})
+
+
+def latest_runs(runs: DataFrame) -> DataFrame:
+    """The newest run of each name; runs have name, started and run (ties go to the larger run)."""
+    newest = F.max_by(F.struct("started", "run"), F.struct("started", "run")).alias("r")
+    return runs.groupBy("name").agg(newest, F.count(F.lit(1)).alias("runs")).select("name", "r.started", "r.run", "runs")
+
+
+def headline(maps: DataFrame, slices: list[str]) -> DataFrame:
+    """One row with the mean average precision of the named slices, each name once and in its first place."""
+    names = list(dict.fromkeys(slices))
+    return maps.agg(*[F.max(F.when(F.col("slice") == n, F.col("map"))).alias(n) for n in names])
+
+
+def require_same_images(a: DataFrame, b: DataFrame) -> None:
+    """Two models compared in pairs must have been run on the same images."""
+    one, two = (x.select("image_id").distinct().withColumn(n, F.lit(True)) for x, n in ((a, "a"), (b, "b")))
+    odd = one.join(two, "image_id", "full").filter(F.col("a").isNull() | F.col("b").isNull()).limit(1).collect()
+    if odd:
+        raise ValueError(f"image {odd[0].image_id} was evaluated by one model only")
+
+
+def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows by hash order of a key: the same ones for any partitioning."""
+    return rows.orderBy(seeded(seed, F.col(key)), key).limit(n)
+
+
+def replay_sample(rows: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
+    """The rows whose hash of the key lies below a share: no sort, no shuffle."""
+    return rows.filter(uniform(seed, F.col(key)) < share)

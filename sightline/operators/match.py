@@ -47,10 +47,13 @@ def fixed(rows: DataFrame, **columns: Column) -> DataFrame:
 
 
 def by_image(det: DataFrame, gt: DataFrame, max_det: int | None = MAX_DETECTIONS, images: DataFrame | None = None) -> DataFrame:
-    """image_id, ds (detections, best first) and gs (ground truth by box_id); images with only one of them are kept."""
-    ds = det.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("ns"), "det_id", "cls", "score", "x1", "y1", "x2", "y2"))).alias("ds"))
+    """image_id, ds (detections, best first) and gs (ground truth by box_id); images with only one of them are kept.
+
+    With `max_det`, an image's other detections are left out before its rows are gathered to an array.
+    """
     if max_det:
-        ds = ds.withColumn("ds", F.slice("ds", 1, max_det))
+        det = top_detections(det, max_det)
+    ds = det.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("ns"), "det_id", "cls", "score", "x1", "y1", "x2", "y2"))).alias("ds"))
     gs = gt.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("box_id", "cls", "x1", "y1", "x2", "y2"))).alias("gs"))
     out = ds.join(gs, "image_id", "full")
     if images is not None:

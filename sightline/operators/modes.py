@@ -80,3 +80,25 @@ def targets(modes: DataFrame, classes: DataFrame, top: int = TOP_MODES) -> DataF
     order = Window.partitionBy("cluster").orderBy(F.desc("n"), "cls")
     four = counts.withColumn("r", F.row_number().over(order)).filter("r <= 4").groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("r", "cls"))).alias("c"))
     return chosen.join(four, "cluster", "left").select("cluster", "condition", F.transform("c", lambda x: x["cls"]).alias("classes"), "excess_errors", "name", "rank")
+
+
+def cluster_counts(items: DataFrame, *columns: str, top: int | None = None) -> DataFrame:
+    """cluster, column, value, n and rank (most frequent first, ties by value) of the errors of each cluster; with `top`, the first ranks only."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("?")).alias("value")) for c in columns]))
+    rows = items.filter(F.col("is_error") & (F.col("cluster") != -1)).select("cluster", pairs.alias("p"))
+    counts = rows.groupBy("cluster", "p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("cluster", "column").orderBy(F.desc("n"), "value")  # a row a value
+    counts = counts.withColumn("rank", F.row_number().over(order))
+    return counts.filter(F.col("rank") <= top) if top else counts
+
+
+def examples(items: DataFrame, key: str, n: int = 12) -> DataFrame:
+    """The first n errors of each cluster by key; a task keeps n rows a cluster before they meet."""
+    order = Window.partitionBy("cluster").orderBy(key)
+    rows = items.filter(F.col("is_error") & (F.col("cluster") != -1)).select("cluster", key)
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+
+def mean_features(items: DataFrame, columns: list[str]) -> DataFrame:
+    """Mean of standardized columns in each cluster."""
+    return items.filter(F.col("cluster") != -1).groupBy("cluster").agg(*[F.avg(c).alias(c) for c in columns])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sightline.functions.lineage import cut
 from sightline.operators import average_precision as ap
 from sightline.operators import match
 from sightline.plans.oracle import IOU, views
@@ -111,9 +112,9 @@ def _ap(v: Views, model: str, thresholds: list[float], weights=None, area: str =
     return ap.ap_table(m, npos, weights if weights is not None else ap.slice_membership(v.samples()), thresholds, area)
 
 
-@plan("ap_table", views("samples", "gt", "det_baseline", recursive=True) + f", {sql_slices()}," + sql_match("baseline", TWO) + f", {WEIGHTS}," + SQL_AP + " SELECT scope AS slice, cls, thr, round(ap, 9) AS ap FROM ap")
+@plan("ap_table", views("samples", "gt", "det_baseline", recursive=True) + f", {sql_slices()}," + sql_match("baseline", THRESHOLDS) + f", {WEIGHTS}," + SQL_AP + " SELECT scope AS slice, cls, thr, round(ap, 9) AS ap FROM ap")
 def ap_table(v: Views):
-    return _ap(v, "baseline", TWO).withColumn("ap", F.round("ap", 9))
+    return _ap(v, "baseline", THRESHOLDS).withColumn("ap", F.round("ap", 9))
 
 
 @plan("map_by_slice", views("samples", "gt", "det_baseline", recursive=True) + f", {sql_slices()}," + sql_match("baseline", THRESHOLDS) + f", {WEIGHTS}," + SQL_AP + " SELECT scope AS slice, round(avg(ap), 9) AS map, round(avg(ap) FILTER (WHERE thr = 0.5e0), 9) AS map50, round(avg(ap) FILTER (WHERE thr = 0.75e0), 9) AS map75 FROM ap GROUP BY scope")
@@ -122,27 +123,27 @@ def map_by_slice(v: Views):
     return out.select("slice", *[F.round(c, 9).alias(c) for c in ("map", "map50", "map75")])
 
 
-@plan("map_by_size", views("gt", "det_baseline", recursive=True) + "," + sql_match("baseline", TWO, ["small", "medium", "large"]) + ", weights AS (SELECT 'overall' AS scope, o_orderkey AS image_id FROM orders)," + SQL_AP + " SELECT area, round(avg(ap), 9) AS map FROM ap GROUP BY area")
+@plan("map_by_size", views("gt", "det_baseline", recursive=True) + "," + sql_match("baseline", THRESHOLDS, ["small", "medium", "large"]) + ", weights AS (SELECT 'overall' AS scope, o_orderkey AS image_id FROM orders)," + SQL_AP + " SELECT area, round(avg(ap), 9) AS map FROM ap GROUP BY area")
 def map_by_size(v: Views):
     names = ["small", "medium", "large"]
-    m = match.greedy_match(v.det(), v.gt(), TWO, names)
+    m = cut(match.greedy_match(v.det(), v.gt(), THRESHOLDS, names))  # each area reads it
     everyone = v.samples().select("image_id", F.lit("overall").alias("slice"))
     out = None
     for name in names:
-        t = ap.ap_table(m, match.positives(v.gt(), [name]).select("cls", "image_id", "n"), everyone, TWO, name)
+        t = ap.ap_table(m, match.positives(v.gt(), [name]).select("cls", "image_id", "n"), everyone, THRESHOLDS, name)
         t = t.agg(F.round(F.avg("ap"), 9).alias("map")).select(F.lit(name).alias("area"), "map")
         out = t if out is None else out.unionByName(t)
     return out
 
 
-@plan("summary_per_class", views("gt", "det_baseline", recursive=True) + "," + sql_match("baseline", TWO) + ", weights AS (SELECT 'overall' AS scope, o_orderkey AS image_id FROM orders)," + SQL_AP + " SELECT cls, round(avg(ap), 9) AS ap, CAST(max(npos) AS BIGINT) AS n_gt FROM ap JOIN total USING (scope, area, cls) GROUP BY cls")
+@plan("summary_per_class", views("gt", "det_baseline", recursive=True) + "," + sql_match("baseline", THRESHOLDS) + ", weights AS (SELECT 'overall' AS scope, o_orderkey AS image_id FROM orders)," + SQL_AP + " SELECT cls, round(avg(ap), 9) AS ap, CAST(max(npos) AS BIGINT) AS n_gt FROM ap JOIN total USING (scope, area, cls) GROUP BY cls")
 def summary_per_class(v: Views):
     everyone = v.samples().select("image_id", F.lit("overall").alias("slice"))
     counts = v.gt().groupBy("cls").agg(F.count(F.lit(1)).alias("n_gt"))
-    return _ap(v, "baseline", TWO, everyone).groupBy("cls").agg(F.round(F.avg("ap"), 9).alias("ap")).join(counts, "cls")
+    return _ap(v, "baseline", THRESHOLDS, everyone).groupBy("cls").agg(F.round(F.avg("ap"), 9).alias("ap")).join(counts, "cls")
 
 
-@plan("eval_gated", views("samples", "gt", "det_candidate", recursive=True) + f", {sql_slices()}," + sql_match("candidate", TWO) + f", {WEIGHTS}," + SQL_AP + f""",
+@plan("eval_gated", views("samples", "gt", "det_candidate", recursive=True) + f", {sql_slices()}," + sql_match("candidate", THRESHOLDS) + f", {WEIGHTS}," + SQL_AP + f""",
 m AS (SELECT scope AS slice, round(avg(ap), 9) AS map FROM ap GROUP BY scope),
 c AS (SELECT slice, count(*) AS n_images FROM slices GROUP BY slice), b AS (SELECT slice, count(*) AS n_gt FROM slices JOIN gt USING (image_id) GROUP BY slice)
 SELECT slice, map, n_images, n_gt, n_images >= {GATED_IMAGES} AS gated FROM m JOIN c USING (slice) JOIN b USING (slice)""")
@@ -150,12 +151,12 @@ def eval_gated(v: Views):
     members = ap.slice_membership(v.samples())
     images = members.groupBy("slice").agg(F.count(F.lit(1)).alias("n_images"))
     boxes = v.gt().groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).join(members, "image_id").groupBy("slice").agg(F.sum("n").alias("n_gt"))
-    out = ap.mean_ap(_ap(v, "candidate", TWO)).select("slice", F.round("map", 9).alias("map"))
+    out = ap.mean_ap(_ap(v, "candidate", THRESHOLDS)).select("slice", F.round("map", 9).alias("map"))
     return out.join(images, "slice").join(boxes, "slice").withColumn("gated", F.col("n_images") >= GATED_IMAGES)
 
 
 def _sql_arm(model: str) -> str:
-    own = views("samples", "gt", f"det_{model}", recursive=True) + f", {sql_slices()}," + sql_match(model, TWO) + f", {WEIGHTS}," + SQL_AP
+    own = views("samples", "gt", f"det_{model}", recursive=True) + f", {sql_slices()}," + sql_match(model, THRESHOLDS) + f", {WEIGHTS}," + SQL_AP
     return f"(SELECT '{model}' AS arm, " + ", ".join(f"round(avg(ap) FILTER (WHERE scope = '{x}'), 9) AS {x}" for x in ("overall", "day", "night", "dawn")) + f" FROM ({own} SELECT * FROM ap))"
 
 
@@ -163,6 +164,6 @@ def _sql_arm(model: str) -> str:
 def ablation(v: Views):
     rows = None
     for arm in ("baseline", "candidate"):
-        t = ap.mean_ap(_ap(v, arm, TWO)).select(F.lit(arm).alias("arm"), "slice", "map")
+        t = ap.mean_ap(_ap(v, arm, THRESHOLDS)).select(F.lit(arm).alias("arm"), "slice", "map")
         rows = t if rows is None else rows.unionByName(t)
     return rows.groupBy("arm").pivot("slice", ["overall", "day", "night", "dawn"]).agg(F.round(F.first("map"), 9))

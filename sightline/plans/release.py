@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sightline.functions.lineage import cut
 from sightline.operators import average_precision as ap
 from sightline.operators import decisions, synthesis
-from sightline.plans.evaluation import SQL_AP, TWO, WEIGHTS, _ap, sql_match, sql_slices
+from sightline.plans.evaluation import SQL_AP, WEIGHTS, _ap, sql_match, sql_slices
 from sightline.plans.oracle import IOU, views
+from sightline.schema import THRESHOLDS
 from sightline.sources.tables import Views
 
 QUERIES, SQL = {}, {}
@@ -132,7 +134,7 @@ def kid(v: Views):
 
 
 def _sql_maps(model: str) -> str:
-    return f"({views('samples', 'gt', f'det_{model}', recursive=True)}, {sql_slices()}, {sql_match(model, TWO)}, {WEIGHTS}, {SQL_AP} SELECT scope AS slice, avg(ap) AS map FROM ap GROUP BY scope)"
+    return f"({views('samples', 'gt', f'det_{model}', recursive=True)}, {sql_slices()}, {sql_match(model, THRESHOLDS)}, {WEIGHTS}, {SQL_AP} SELECT scope AS slice, avg(ap) AS map FROM ap GROUP BY scope)"
 
 
 SLOS = {"night": 0.5, "overall": 0.4, "dawn": 0.6}
@@ -141,12 +143,13 @@ TARGETS = ["night", "fog"]
 
 @plan("slo_violations", f"SELECT slice, round(map, 9) AS map, threshold FROM {_sql_maps('baseline')} JOIN (VALUES " + ", ".join(f"('{k}', {x!r}::DOUBLE)" for k, x in SLOS.items()) + ") t(slice, threshold) USING (slice) WHERE map < threshold")
 def slo_violations(v: Views):
-    return decisions.slo_violations(ap.mean_ap(_ap(v, "baseline", TWO)), SLOS).withColumn("map", F.round("map", 9))
+    return decisions.slo_violations(ap.mean_ap(_ap(v, "baseline", THRESHOLDS)), SLOS).withColumn("map", F.round("map", 9))
 
 
 def _gate(v: Views):
     counts = ap.slice_membership(v.samples()).groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
-    base, cand = (ap.mean_ap(_ap(v, m, TWO)).select("slice", "map") for m in ("baseline", "candidate"))
+    # a row a slice each; several checks read them
+    base, cand = (cut(ap.mean_ap(_ap(v, m, THRESHOLDS)).select("slice", "map")) for m in ("baseline", "candidate"))
     deltas = cand.join(base.withColumnRenamed("map", "before"), "slice").select("slice", (F.col("map") - F.col("before")).alias("delta")).withColumn("ci_low", F.col("delta") - 0.05)
     gated = cand.join(counts, "slice").withColumn("gated", F.col("n") >= 25)
     return decisions.gate_checks(deltas, base, gated, TARGETS)
