@@ -68,8 +68,14 @@ def test_one_stays_of_each_component_whatever_the_ids(spark, docs):
     assert {i for i, t in got if t[0] in "cdf"} == {7} and (8, text("e")) in got
 
 
-def test_linked_sets_meet_and_sketches_allow_them():
-    """Sets at the edge of the threshold share a sent signature, and their sketches do not tell them apart."""
+@pytest.mark.parametrize("deletes", [False, True])
+def test_linked_sets_meet_and_sketches_allow_them(monkeypatch, deletes):
+    """Sets at the edge of the threshold share a sent signature by either scheme, and their sketches do not tell them apart."""
+    bands = near_duplicates.Bands()
+    if deletes:
+        bands.deletes = bands.differ > 0
+        bands.segments = (bands.differ + 2) // 2
+    monkeypatch.setattr(near_duplicates, "BANDS", bands)
     r = np.random.default_rng(1)
     for n in [4, 5, 6, 7, 9, 12, 15, 16, 20, 33, 57, 63, 100, 300, 1000, 4096]:
         for cut in sorted({0, 1, n // 8, n // 4 - 1, n // 4} & set(range(n // 4 + 1))):
