@@ -20,21 +20,26 @@ CUMULATIVE = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k
 
 
 def resample(images: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
-    """image_id, replicate (0: the images as they are), w."""
-    rows = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate"))
+    """The rows of `images` for each replicate (0: as they are), with their weight w; rows of weight 0 are left out. An image has the same weight in all its rows."""
+    rows = images.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     u = uniform(seed, F.concat_ws(":", "replicate", "image_id"))
     drawn = F.size(F.filter(F.array(*map(F.lit, CUMULATIVE)), lambda c: c <= u))
     rows = rows.withColumn("w", F.when(F.col("replicate") == 0, 1).otherwise(drawn).cast("double"))
     return rows.filter("w > 0")
 
 
-def bootstrap_delta(base: DataFrame, cand: DataFrame, npos: DataFrame, images: DataFrame, thresholds: list[float], replicates: int = 1000, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """delta, ci_low, ci_high, p_le_zero. `base` and `cand` are match tables, `images` the slice to resample."""
-    weights = resample(images, replicates, seed)
-    maps = [ap.ap_table(m, npos, weights, thresholds, group="replicate").groupBy("replicate").agg(F.avg("ap").alias(n)) for m, n in ((base, "before"), (cand, "after"))]
-    deltas = maps[0].join(maps[1], "replicate").select("replicate", (F.col("after") - F.col("before")).alias("delta"))
+def bootstrap_delta(
+    base: DataFrame, cand: DataFrame, npos: DataFrame, images: DataFrame, thresholds: list[float], replicates: int = 1000, seed: int = 0, level: float = 0.95
+) -> DataFrame:
+    """slice, delta, ci_low, ci_high, p_le_zero. `base` and `cand` are match tables, `images` has image_id and slice."""
+    weights = resample(images.select("image_id", "slice"), replicates, seed).select("image_id", F.struct("slice", "replicate").alias("scope"), "w")
+    maps = [ap.ap_table(m, npos, weights, thresholds, group="scope").groupBy("scope").agg(F.avg("ap").alias(n)) for m, n in ((base, "before"), (cand, "after"))]
+    deltas = maps[0].join(maps[1], "scope").select("scope.*", (F.col("after") - F.col("before")).alias("delta"))
     drawn = F.when(F.col("replicate") > 0, F.col("delta"))
     tail = (1 - level) / 2
-    return deltas.agg(
-        F.max(F.when(F.col("replicate") == 0, F.col("delta"))).alias("delta"), F.percentile(drawn, F.lit(tail)).alias("ci_low"), F.percentile(drawn, F.lit(1 - tail)).alias("ci_high"), F.avg((drawn <= 0).cast("double")).alias("p_le_zero")
+    return deltas.groupBy("slice").agg(
+        F.max(F.when(F.col("replicate") == 0, F.col("delta"))).alias("delta"),
+        F.percentile(drawn, F.lit(tail)).alias("ci_low"),
+        F.percentile(drawn, F.lit(1 - tail)).alias("ci_high"),
+        F.avg((drawn <= 0).cast("double")).alias("p_le_zero"),
     )

@@ -26,35 +26,6 @@ def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -
     return counts.agg(F.when(F.max("n") < 3, 0.0).otherwise(F.sum((F.col("c") - F.col("r")) * F.log(F.col("c") / F.col("r")))).alias("psi"))
 
 
-def squared_distances(a: DataFrame, b: DataFrame) -> DataFrame:
-    """ka, kb, d2 of all pairs of two samples of bounded size (drift windows of some hundred vectors)."""
-    left, right = (x.select(F.col("vec_id").alias(f"k{s}"), F.col("embedding").alias(f"e{s}")) for x, s in ((a, "a"), (b, "b")))
-    pairs = left.join(F.broadcast(right))  # windows are limited by their caller
-    d2 = F.aggregate(F.zip_with("ea", "eb", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2))), F.lit(0.0), lambda s, x: s + x)
-    return pairs.select("ka", "kb", d2.alias("d2"))
-
-
-def mmd2(x: DataFrame, y: DataFrame, gamma: float) -> DataFrame:
-    """The unbiased squared maximum mean discrepancy with a Gaussian kernel."""
-    return _discrepancy(x, y, lambda d: F.exp(-gamma * d["d2"]), squared_distances, "mmd2")
-
-
-def kid(x: DataFrame, y: DataFrame, dim: int) -> DataFrame:
-    """The same with the cubic kernel (a . b / dim + 1)^3."""
-    def products(a, b):
-        left, right = (t.select(F.col("vec_id").alias(f"k{s}"), F.col("embedding").alias(f"e{s}")) for t, s in ((a, "a"), (b, "b")))
-        dot = F.aggregate(F.zip_with("ea", "eb", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-        return left.join(F.broadcast(right)).select("ka", "kb", dot.alias("dot"))
-
-    return _discrepancy(x, y, lambda d: F.pow(d["dot"] / dim + 1, F.lit(3)), products, "kid")
-
-
-def _discrepancy(x, y, kernel, pairs, name: str) -> DataFrame:
-    own = lambda t: pairs(t, t).filter("ka <> kb").agg(F.avg(kernel({c: F.col(c) for c in ("d2", "dot")})).alias("m"))
-    both = pairs(x, y).agg(F.avg(kernel({c: F.col(c) for c in ("d2", "dot")})).alias("m"))
-    return own(x).withColumnRenamed("m", "a").crossJoin(own(y).withColumnRenamed("m", "b")).crossJoin(both).select((F.col("a") + F.col("b") - 2 * F.col("m")).alias(name))
-
-
 def slo_violations(values: DataFrame, slos: dict[str, float]) -> DataFrame:
     """slice, map, threshold of slices below their service level; a slice without value does not count."""
     listed = F.create_map(*[F.lit(x) for kv in slos.items() for x in kv])

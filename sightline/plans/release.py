@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from sightline.functions.lineage import cut
 from sightline.operators import average_precision as ap
-from sightline.operators import decisions, synthesis
+from sightline.operators import decisions, drift, match, synthesis
+from sightline.plans import resampling
 from sightline.plans.evaluation import SQL_AP, WEIGHTS, _ap, sql_match, sql_slices
 from sightline.plans.oracle import IOU, views
+from sightline.plans.resampling import TARGETS
 from sightline.schema import THRESHOLDS
 from sightline.sources.tables import Views
 
@@ -110,27 +112,56 @@ def psi(v: Views):
     return decisions.psi(orders.filter("early"), orders.filter("not early").select((F.col("x") * F.col("x")).alias("x")), "x").select(F.round("psi", 9).alias("psi"))
 
 
-_PAIR = "SELECT avg(exp(-0.5e0 * list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]) * (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]))))) AS m"
+_D2 = "list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]) * (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i])))"
+_HASH = "CAST(('0x' || substr(sha256('0:' || vec_id), 1, 8)) AS BIGINT) / 4294967296.0e0"
+SQL_MMD = f"""WITH k AS (SELECT greatest(ceil(max(n) / {drift.BLOCK}.0e0), 1) AS k FROM (SELECT count(*) AS n FROM embeddings GROUP BY vec_id % 5 < 3)),
+z AS (SELECT vec_id, embedding, vec_id % 5 >= 3 AS cur, floor({_HASH} * k) AS block FROM embeddings, k),
+p AS (SELECT block, a.cur AS ca, b.cur AS cb, {_D2} AS d2 FROM z a JOIN z b USING (block) WHERE a.vec_id < b.vec_id),
+g AS (SELECT 1 / greatest(median(m), 1e-12) AS gamma FROM (SELECT median(d2) AS m FROM p GROUP BY block)),
+s AS (SELECT ca::INT AS i, cb::INT AS j, exp(-gamma * d2) AS v FROM p, g)
+SELECT round(avg(v) FILTER (WHERE i + j = 0) + avg(v) FILTER (WHERE i + j = 2) - 2 * avg(v) FILTER (WHERE i + j = 1), 9) AS mmd2 FROM s"""
 _DOT = "SELECT avg(pow(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * b.embedding[i])) / 64 + 1, 3)) AS m"
-
-
-def _sql_discrepancy(pair: str, name: str) -> str:
-    return f"WITH x AS (SELECT * FROM embeddings WHERE vec_id < 300 AND vec_id % 5 < 3), y AS (SELECT * FROM embeddings WHERE vec_id < 300 AND vec_id % 5 >= 3) SELECT round(p.m + q.m - 2 * r.m, 9) AS {name} FROM ({pair} FROM x a, x b WHERE a.vec_id <> b.vec_id) p, ({pair} FROM y a, y b WHERE a.vec_id <> b.vec_id) q, ({pair} FROM x a, y b) r"
+SQL_KID = f"""WITH x AS (SELECT * FROM embeddings WHERE vec_id % 5 < 3), y AS (SELECT * FROM embeddings WHERE vec_id % 5 >= 3)
+SELECT round(p.m + q.m - 2 * r.m, 9) AS kid
+FROM ({_DOT} FROM x a, x b WHERE a.vec_id <> b.vec_id) p, ({_DOT} FROM y a, y b WHERE a.vec_id <> b.vec_id) q, ({_DOT} FROM x a, y b) r"""
 
 
 def _windows(v: Views):
-    e = v.table("embeddings").filter("vec_id < 300").select("vec_id", "embedding")  # the drift windows: some hundred vectors
+    """Reference and current vectors: three and two fifths of the whole table."""
+    e = v.table("embeddings").select("vec_id", "embedding")
     return e.filter("vec_id % 5 < 3"), e.filter("vec_id % 5 >= 3")
 
 
-@plan("mmd2_observed", _sql_discrepancy(_PAIR, "mmd2"))
+@plan("mmd2_observed", SQL_MMD)
 def mmd2_observed(v: Views):
-    return decisions.mmd2(*_windows(v), 0.5).select(F.round("mmd2", 9).alias("mmd2"))
+    return drift.mmd2(*_windows(v)).select(F.round("mmd2", 9).alias("mmd2"))
+
+
+PERMUTATIONS = 500
+SQL_MMD_TEST = SQL_MMD[: SQL_MMD.index("p AS (")] + f"""
+p AS MATERIALIZED (SELECT block, a.vec_id AS va, b.vec_id AS vb, {_D2} AS d2 FROM z a JOIN z b USING (block) WHERE a.vec_id < b.vec_id),
+g AS (SELECT 1 / greatest(median(m), 1e-12) AS gamma FROM (SELECT median(d2) AS m FROM p GROUP BY block)),
+k2 AS MATERIALIZED (SELECT va, vb, exp(-gamma * d2) AS v FROM p, g),
+n AS (SELECT block, count(*) FILTER (WHERE NOT cur) AS nx FROM z GROUP BY block),
+lab AS MATERIALIZED (SELECT r, vec_id, CASE WHEN r = 0 THEN cur::INT
+    ELSE (row_number() OVER (PARTITION BY r, block ORDER BY substr(sha256('0:' || r || ':' || vec_id), 1, 16), vec_id) > nx)::INT END AS c
+    FROM z JOIN n USING (block), range(0, {PERMUTATIONS + 1}) t(r)),
+s AS (SELECT r, a.c + b.c AS kind, avg(v) AS m FROM k2 JOIN lab a ON a.vec_id = va JOIN lab b USING (r) WHERE b.vec_id = vb GROUP BY r, a.c + b.c),
+t AS (SELECT r, sum(CASE WHEN kind = 1 THEN -2 * m ELSE m END) AS v FROM s GROUP BY r),
+o AS (SELECT v AS obs FROM t WHERE r = 0)
+SELECT round(max(obs), 9) AS mmd2, round((1 + count(*) FILTER (WHERE r > 0 AND v >= obs)) / {PERMUTATIONS + 1}.0e0, 9) AS p_value,
+    round(avg(v) FILTER (WHERE r > 0), 9) AS null_mean, round(quantile_cont(v, 0.95) FILTER (WHERE r > 0), 9) AS null_p95 FROM t, o"""
+
+
+@plan("mmd_test", SQL_MMD_TEST)
+def mmd_test(v: Views):
+    out = drift.mmd_test(*_windows(v), PERMUTATIONS)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
-@plan("kid", _sql_discrepancy(_DOT, "kid"))
+@plan("kid", SQL_KID)
 def kid(v: Views):
-    return decisions.kid(*_windows(v), 64).select(F.round("kid", 9).alias("kid"))
+    return drift.kid(*_windows(v), 64).select(F.round("kid", 9).alias("kid"))
 
 
 def _sql_maps(model: str) -> str:
@@ -138,7 +169,6 @@ def _sql_maps(model: str) -> str:
 
 
 SLOS = {"night": 0.5, "overall": 0.4, "dawn": 0.6}
-TARGETS = ["night", "fog"]
 
 
 @plan("slo_violations", f"SELECT slice, round(map, 9) AS map, threshold FROM {_sql_maps('baseline')} JOIN (VALUES " + ", ".join(f"('{k}', {x!r}::DOUBLE)" for k, x in SLOS.items()) + ") t(slice, threshold) USING (slice) WHERE map < threshold")
@@ -148,14 +178,19 @@ def slo_violations(v: Views):
 
 def _gate(v: Views):
     counts = ap.slice_membership(v.samples()).groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
+    base, cand = (cut(match.greedy_match(v.det(m), v.gt(), THRESHOLDS)) for m in ("baseline", "candidate"))  # maps and bootstrap read them
+    intervals = resampling.deltas(v, base, cand).select("slice", "ci_low")
     # a row a slice each; several checks read them
-    base, cand = (cut(ap.mean_ap(_ap(v, m, THRESHOLDS)).select("slice", "map")) for m in ("baseline", "candidate"))
-    deltas = cand.join(base.withColumnRenamed("map", "before"), "slice").select("slice", (F.col("map") - F.col("before")).alias("delta")).withColumn("ci_low", F.col("delta") - 0.05)
-    gated = cand.join(counts, "slice").withColumn("gated", F.col("n") >= 25)
-    return decisions.gate_checks(deltas, base, gated, TARGETS)
+    npos = match.positives(v.gt()).select("cls", "image_id", "n")
+    before, after = (cut(ap.mean_ap(ap.ap_table(m, npos, ap.slice_membership(v.samples()), THRESHOLDS)).select("slice", "map")) for m in (base, cand))
+    deltas = after.join(before.withColumnRenamed("map", "before"), "slice").select("slice", (F.col("map") - F.col("before")).alias("delta"))
+    deltas = cut(deltas.join(intervals, "slice", "left"))
+    gated = after.join(counts, "slice").withColumn("gated", F.col("n") >= 25)
+    return decisions.gate_checks(deltas, before, gated, TARGETS)
 
 
-SQL_GATE = f"""WITH base AS {_sql_maps("baseline")}, cand AS {_sql_maps("candidate")}, d AS (SELECT slice, c.map - b.map AS delta, c.map - b.map - 0.05e0 AS ci_low FROM cand c JOIN base b USING (slice)),
+SQL_GATE = f"""WITH base AS {_sql_maps("baseline")}, cand AS {_sql_maps("candidate")}, boot AS ({resampling.SQL_DELTA}),
+d AS (SELECT slice, c.map - b.map AS delta, boot.ci_low FROM cand c JOIN base b USING (slice) LEFT JOIN boot USING (slice)),
 t(slice) AS (VALUES ('night'), ('fog')),
 checks AS (SELECT CASE WHEN delta IS NULL THEN 'target:' || slice ELSE 'target:' || slice || ' gain' END AS name, delta AS value, 0.02e0 AS threshold, coalesce(delta >= 0.02e0, false) AS passed FROM t LEFT JOIN d USING (slice)
     UNION ALL SELECT 'target:' || slice || ' CI > 0', ci_low, 0.0e0, ci_low > 0 FROM t JOIN d USING (slice)
