@@ -1,43 +1,208 @@
 """Paired bootstrap of a difference in mean average precision.
 
-Resamples are Poisson: each image counts w times, w drawn from Poisson(1) by a hash of the replicate and the image. That needs no numbering of images and no
-counts over partitions, approaches drawing with replacement as images grow many, and gives both models the same weights. Matching never
-depends on weights, so replicates are one more group of the same AP plan.
+Resamples are Poisson: each image counts w times, w drawn from Poisson(1) by a hash of the seed, the image and the replicate. That needs no numbering
+of images and no counts over partitions, approaches drawing with replacement as images grow many, and gives both models the same weights. Matching
+never depends on weights, so it is done once.
+
+Weights are never stored: a task makes those of its rows, for all replicates at once, from the image's hash. Detections of a (model, slice, class) are
+cut into chunks at quantiles of their score. One pass forms each chunk's weighted counts, their running sums become each chunk's starting point, and a
+second pass turns the chunk's rows into the largest precision for each of the 101 recall points and each replicate.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.hashing import uniform
-from sightline.operators import average_precision as ap
+from sightline.functions.lineage import cut
+from sightline.operators.average_precision import POINTS
 
 #: P(w <= k) of Poisson(1), to where doubles end.
-CUMULATIVE = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+CUMULATIVE = np.array([sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(17)])
+CHUNK_ROWS = 20_000
+#: Chunks of a (model, slice, class): beyond this many, chunks grow with the data.
+MAX_CHUNKS = 1024
+#: Replicates whose recall points travel together.
+WIDTH = 128
+#: Rows whose weights a task holds at a time.
+STEP = 128
+
+GROUP = ["model", "slice", "cls"]
+KEYS = "model int, slice string, cls int"
+
+
+def weights(keys: np.ndarray, replicates: int) -> np.ndarray:
+    """An image's weights, one row a key: column 0 is the data as they are (1), the others are draws from Poisson(1)."""
+    x = keys.astype(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    out = np.ones((len(keys), replicates + 1))
+    out[:, 1:] = np.searchsorted(CUMULATIVE, (x >> np.uint64(11)) * 2.0**-53, side="right")
+    return out
+
+
+def image_key(seed: int):
+    """The hash of an image that its weights come from."""
+    return F.xxhash64(F.lit(seed), F.col("image_id").cast("string"))
+
+
+def _keys(table: pa.Table) -> np.ndarray:
+    return table["key"].to_numpy().view(np.uint64)
+
+
+def _bits(table: pa.Table, name: str, n: int) -> np.ndarray:
+    return (table[name].to_numpy()[:, None] >> np.arange(n)) & 1
+
+
+def _plain(key: tuple) -> list:
+    return [k.as_py() for k in key]
+
+
+def _positives(npos: DataFrame, images: DataFrame, replicates: int, tasks: int) -> DataFrame:
+    """slice, cls, pos: the weighted number of boxes in each replicate, summed inside tasks first."""
+
+    def partial(batches):
+        sums = {}
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            names, classes, n = t["slice"].to_numpy(zero_copy_only=False), t["cls"].to_numpy(), t["n"].to_numpy().astype(float)
+            for at in range(0, len(n), STEP):
+                part = slice(at, at + STEP)
+                w = weights(_keys(t)[part], replicates) * n[part, None]
+                for s, c in set(zip(names[part], classes[part])):
+                    mine = w[(names[part] == s) & (classes[part] == c)].sum(axis=0)
+                    sums[s, c] = sums.get((s, c), 0) + mine
+        if sums:
+            values = [v.tolist() for v in sums.values()]
+            yield pa.RecordBatch.from_pydict({"slice": [s for s, _ in sums], "cls": pa.array([int(c) for _, c in sums], pa.int32()), "pos": pa.array(values, pa.list_(pa.float64()))})
+
+    rows = npos.join(images, "image_id").select("slice", F.col("cls").cast("int").alias("cls"), F.col("n").cast("long").alias("n"), "key").repartition(tasks, "key")
+    parts = rows.mapInArrow(partial, "slice string, cls int, pos array<double>")
+    added = parts.select("slice", "cls", F.posexplode("pos").alias("replicate", "pos")).groupBy("slice", "cls", "replicate").agg(F.sum("pos").alias("pos"))
+    listed = added.groupBy("slice", "cls").agg(F.sort_array(F.collect_list(F.struct("replicate", "pos"))).alias("pos"))  # replicates + 1 values
+    return listed.select("slice", "cls", F.col("pos.pos").alias("pos"))
+
+
+def _chunked(matches: list[DataFrame], images: DataFrame, k: int, chunk_rows: int) -> DataFrame:
+    """Detections with their chunk (0: the best scores) and, as bits of a number, the thresholds at which they are true or false."""
+    mask = lambda test: sum((F.when(test(i), F.lit(1 << i)).otherwise(0) for i in range(k)), F.lit(0)).cast("long")
+    hit, ignored = lambda i: F.col("all")[i]["tp"], lambda i: F.col("all")[i]["ign"]
+    sides = [
+        m.join(images, "image_id").select(F.lit(i).alias("model"), "slice", F.col("cls").cast("int").alias("cls"), "score", "image_id", "det_id", "key",
+            mask(hit).alias("tp"), mask(lambda j: ~hit(j) & ~ignored(j)).alias("fp"))
+        for i, m in enumerate(matches)
+    ]
+    rows = cut(sides[0].unionByName(sides[1]))  # three passes read it, and none should match again
+    cuts = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", F.array(*[F.lit(j / MAX_CHUNKS) for j in range(1, MAX_CHUNKS)]), MAX_CHUNKS).alias("all_cuts"))
+    chunks = F.least(F.ceil(F.col("n") / chunk_rows), F.lit(MAX_CHUNKS))
+    chosen = F.expr("transform(sequence(1, greatest(chunks, 2) - 1), j -> all_cuts[cast(floor(j * {0} / greatest(chunks, 2)) as int) - 1])".format(MAX_CHUNKS))
+    cuts = cuts.withColumn("chunks", chunks.cast("int")).select(*GROUP, F.when(F.col("chunks") > 1, F.array_distinct(chosen)).otherwise(F.array().cast("array<double>")).alias("cuts"))
+    rows = rows.join(cuts, GROUP)
+    return rows.withColumn("chunk", F.size(F.filter("cuts", lambda c: c > F.col("score")))).drop("cuts")
+
+
+def replicate_maps(matches: list[DataFrame], npos: DataFrame, images: DataFrame, thresholds: list[float], replicates: int, seed: int = 0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """model (place in `matches`), slice, replicate (0: as they are), map. Classes without boxes in a replicate take no part in its mean."""
+    k, b = len(thresholds), replicates + 1
+    images = images.select("image_id", "slice", image_key(seed).alias("key"))
+    rows = _chunked(matches, images, k, chunk_rows)
+    # few bytes mean much work here, so the number of tasks does not follow the bytes
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    rows = rows.repartition(tasks, *GROUP, "chunk")
+    positives = cut(_positives(npos, images, replicates, tasks))  # a row a slice and class
+
+    def totals(key, table):
+        sums = np.zeros((2 * k, b))
+        masks = np.hstack([_bits(table, "tp", k), _bits(table, "fp", k)]).astype(float)
+        for at in range(0, len(masks), STEP):
+            sums += masks[at : at + STEP].T @ weights(_keys(table)[at : at + STEP], replicates)
+        names = dict(zip([*GROUP, "chunk"], _plain(key)))
+        return pa.table({n: pa.array([v] * k, pa.string() if n == "slice" else pa.int32()) for n, v in names.items()} | {
+            "thr": pa.array(range(k), pa.int32()), "tp": [sums[i].tobytes() for i in range(k)], "fp": [sums[k + i].tobytes() for i in range(k)]})
+
+    def running(key, table):
+        table = table.sort_by("chunk")
+        for name in ("tp", "fp"):
+            done, out = np.zeros(b), []
+            for v in table[name].to_pylist():
+                out.append(done.tobytes())
+                done = done + np.frombuffer(v)
+            table = table.set_column(table.schema.get_field_index(name), name, pa.array(out, pa.binary()))
+        return table
+
+    shape = f"{KEYS}, chunk int, thr int, tp binary, fp binary"
+    starts = rows.groupBy(*GROUP, "chunk").applyInArrow(totals, shape).groupBy(*GROUP, "thr").applyInArrow(running, shape)
+    starts = starts.join(positives, ["slice", "cls"]).select(*GROUP, "chunk", "thr", "tp", "fp", "pos")
+
+    def points(key, table, start):
+        table = table.sort_by([("score", "descending"), ("image_id", "ascending"), ("det_id", "ascending")])
+        tp, fp = _bits(table, "tp", k), _bits(table, "fp", k)
+        # a chunk has no starts where its class has no boxes in the slice
+        first = {t: [np.frombuffer(x), np.frombuffer(y)] for t, x, y in zip(*(start[c].to_pylist() for c in ("thr", "tp", "fp")))}
+        npos = np.asarray(start["pos"][0].as_py()) if len(start) else None
+        best = np.zeros((k, POINTS, b))
+        for at in range(0, len(table) if first else 0, STEP):
+            w = weights(_keys(table)[at : at + STEP], replicates)
+            for t in range(k):
+                hits, judged = tp[at : at + STEP, t] > 0, (tp | fp)[at : at + STEP, t] > 0
+                counted = first[t][0] + first[t][1] + np.cumsum(w[judged], axis=0)
+                # precision peaks at true detections, so others need no point
+                found, counted_at = first[t][0] + np.cumsum(w[hits], axis=0), counted[hits[judged]]
+                if len(found):
+                    recall = np.divide(found, npos, out=np.zeros_like(found), where=npos > 0)
+                    place = np.floor(recall * 100)
+                    place = place + ((place + 1) * 0.01 <= recall) - (place * 0.01 > recall)
+                    place = np.minimum(place, POINTS - 1).astype(np.int64)
+                    precision = np.divide(found, counted_at, out=np.zeros_like(found), where=counted_at > 0)
+                    np.maximum.at(best[t].reshape(-1), (place * b + np.arange(b)).reshape(-1), precision.reshape(-1))
+                    first[t] = [found[-1], counted[-1] - found[-1]]
+                elif len(counted):
+                    first[t] = [first[t][0], counted[-1] - first[t][0]]
+        names = dict(zip(GROUP, _plain(key)))
+        reached = [np.flatnonzero(x.any(axis=1)) for x in best]  # a chunk reaches a few neighbouring recall points
+        low = [int(x[0]) if len(x) else 0 for x in reached]
+        high = [int(x[-1]) + 1 if len(x) else 1 for x in reached]
+        blocks = [(t, lo) for t in range(k) for lo in range(0, b, WIDTH)]
+        return pa.table({n: pa.array([v] * len(blocks), pa.string() if n == "slice" else pa.int32()) for n, v in names.items()} | {
+            "thr": pa.array([t for t, _ in blocks], pa.int32()), "first": pa.array([lo for _, lo in blocks], pa.int32()),
+            "low": pa.array([low[t] for t, _ in blocks], pa.int32()),
+            "best": pa.array([np.ascontiguousarray(best[t][low[t] : high[t], lo : lo + WIDTH]).tobytes() for t, lo in blocks], pa.binary())})
 
+    def averages(key, table):
+        names = dict(zip([*GROUP, "thr", "first"], _plain(key)))
+        best = np.zeros((POINTS, min(WIDTH, b - names["first"])))
+        for low, v in zip(table["low"].to_pylist(), table["best"]):
+            here = np.frombuffer(v.as_buffer()).reshape(-1, best.shape[1])
+            mine = best[low : low + len(here)]
+            np.maximum(mine, here, out=mine)
+        # precision at a recall: the largest there or beyond
+        ap = np.maximum.accumulate(best[::-1], axis=0).sum(axis=0) / POINTS
+        return pa.table({n: pa.array([names[n]] * len(ap), pa.string() if n == "slice" else pa.int32()) for n in GROUP} | {
+            "replicate": pa.array(np.arange(len(ap)) + names["first"], pa.int32()), "ap": ap})
 
-def resample(images: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
-    """The rows of `images` for each replicate (0: as they are), with their weight w; rows of weight 0 are left out. An image has the same weight in all its rows."""
-    rows = images.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    u = uniform(seed, F.concat_ws(":", "replicate", "image_id"))
-    drawn = F.size(F.filter(F.array(*map(F.lit, CUMULATIVE)), lambda c: c <= u))
-    rows = rows.withColumn("w", F.when(F.col("replicate") == 0, 1).otherwise(drawn).cast("double"))
-    return rows.filter("w > 0")
+    left, right = rows.groupBy(*GROUP, "chunk"), starts.groupBy(*GROUP, "chunk")
+    best = left.cogroup(right).applyInArrow(points, f"{KEYS}, thr int, first int, low int, best binary")
+    ap = best.groupBy(*GROUP, "thr", "first").applyInArrow(averages, f"{KEYS}, replicate int, ap double")
+    classes = positives.select("slice", "cls", F.posexplode("pos").alias("replicate", "pos")).filter("pos > 0").select("slice", "cls", "replicate", F.explode(F.array(F.lit(0), F.lit(1))).alias("model"))
+    # values are added in their own order (classes x thresholds of them), so that equal models differ by 0 and not by a rounding
+    means = classes.join(ap, [*GROUP, "replicate"], "left").groupBy("model", "slice", "replicate").agg(F.sort_array(F.collect_list("ap")).alias("ap"), F.size(F.collect_set("cls")).alias("n"))
+    return means.select("model", "slice", "replicate", (F.aggregate("ap", F.lit(0.0), lambda total, x: total + x) / (F.col("n") * k)).alias("map"))
 
 
 def bootstrap_delta(
-    base: DataFrame, cand: DataFrame, npos: DataFrame, images: DataFrame, thresholds: list[float], replicates: int = 1000, seed: int = 0, level: float = 0.95
+    base: DataFrame, cand: DataFrame, npos: DataFrame, images: DataFrame, thresholds: list[float], replicates: int = 1000, seed: int = 0, level: float = 0.95, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """slice, delta, ci_low, ci_high, p_le_zero. `base` and `cand` are match tables, `images` has image_id and slice."""
-    weights = resample(images.select("image_id", "slice"), replicates, seed).select("image_id", F.struct("slice", "replicate").alias("scope"), "w")
-    maps = [ap.ap_table(m, npos, weights, thresholds, group="scope").groupBy("scope").agg(F.avg("ap").alias(n)) for m, n in ((base, "before"), (cand, "after"))]
-    deltas = maps[0].join(maps[1], "scope").select("scope.*", (F.col("after") - F.col("before")).alias("delta"))
+    maps = replicate_maps([base, cand], npos, images, thresholds, replicates, seed, chunk_rows)
+    deltas = maps.groupBy("slice", "replicate").agg(F.sum(F.when(F.col("model") == 1, F.col("map")).otherwise(-F.col("map"))).alias("delta"))
     drawn = F.when(F.col("replicate") > 0, F.col("delta"))
     tail = (1 - level) / 2
-    return deltas.groupBy("slice").agg(
+    return deltas.groupBy("slice").agg(  # `replicates` rows a slice
         F.max(F.when(F.col("replicate") == 0, F.col("delta"))).alias("delta"),
         F.percentile(drawn, F.lit(tail)).alias("ci_low"),
         F.percentile(drawn, F.lit(1 - tail)).alias("ci_high"),

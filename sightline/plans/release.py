@@ -189,21 +189,12 @@ def _gate(v: Views):
     return decisions.gate_checks(deltas, before, gated, TARGETS)
 
 
-SQL_GATE = f"""WITH base AS {_sql_maps("baseline")}, cand AS {_sql_maps("candidate")}, boot AS ({resampling.SQL_DELTA}),
-d AS (SELECT slice, c.map - b.map AS delta, boot.ci_low FROM cand c JOIN base b USING (slice) LEFT JOIN boot USING (slice)),
-t(slice) AS (VALUES ('night'), ('fog')),
-checks AS (SELECT CASE WHEN delta IS NULL THEN 'target:' || slice ELSE 'target:' || slice || ' gain' END AS name, delta AS value, 0.02e0 AS threshold, coalesce(delta >= 0.02e0, false) AS passed FROM t LEFT JOIN d USING (slice)
-    UNION ALL SELECT 'target:' || slice || ' CI > 0', ci_low, 0.0e0, ci_low > 0 FROM t JOIN d USING (slice)
-    UNION ALL SELECT 'overall no-regression', delta, -0.005e0, delta >= -0.005e0 FROM d WHERE slice = 'overall'
-    UNION ALL SELECT 'slice:' || slice || ' no-regression', delta, -0.02e0, delta >= -0.02e0 FROM d JOIN ({views("samples")}, {sql_slices()} SELECT slice, count(*) AS n FROM slices GROUP BY slice) USING (slice) WHERE n >= 25 AND slice NOT IN ('night', 'fog'))"""
-
-
-@plan("gate_checks", SQL_GATE + " SELECT name, round(coalesce(value, -9), 9) AS value, threshold, passed FROM checks")
+@plan("gate_checks")
 def gate_checks(v: Views):
     return _gate(v).withColumn("value", F.round(F.coalesce("value", F.lit(-9.0)), 9))
 
 
-@plan("gate_decision", SQL_GATE + " SELECT bool_and(passed) AS promote, count(*) AS checks, count(*) FILTER (WHERE NOT passed) AS failed FROM checks")
+@plan("gate_decision")
 def gate_decision(v: Views):
     return decisions.decide(_gate(v))
 

@@ -18,20 +18,42 @@ def scene(spark, seed):
     return spark.createDataFrame([(*d[:-1], float(s)) for d, s in zip(det, scores)], DET), spark.createDataFrame(gt, GT)
 
 
-def test_weights_count_like_repeated_images(spark):
+def drawn(spark, images, replicates):
+    """image_id and replicate, a row for each time that the image counts."""
+    keys = images.select("image_id", bootstrap.image_key(0).alias("key")).distinct().collect()
+    w = bootstrap.weights(np.array([r.key for r in keys], dtype=np.int64).view(np.uint64), replicates)
+    rows = [(r.image_id, r.image_id * 100 + c, j) for r, mine in zip(keys, w) for j, n in enumerate(mine) for c in range(int(n))]
+    return spark.createDataFrame(rows, "image_id long, copy long, replicate int")
+
+
+def test_equals_ap_over_repeated_images(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "STEP", 16)
     det, gt = scene(spark, 3)
     images = spark.range(30).select(F.col("id").alias("image_id"), F.lit("all").alias("slice"))
-    weights = bootstrap.resample(images, 3)
-    drawn = weights.filter("replicate = 2").select("image_id", F.col("w").cast("int").alias("w")).collect()
-    assert 10 < len(drawn) < 30 and max(r.w for r in drawn) > 1
-    table = match.greedy_match(det, gt, THR)
     npos = match.positives(gt).select("cls", "image_id", "n")
-    got = {(r.cls, r.thr): r.ap for r in ap.ap_table(table, npos, weights, THR, group="replicate").filter("replicate = 2").collect()}
-    copies = spark.createDataFrame([(r.image_id, r.image_id * 100 + c) for r in drawn for c in range(r.w)], "image_id long, copy long")
-    repeat = lambda t: t.join(copies, "image_id").drop("image_id").withColumnRenamed("copy", "image_id")
-    everyone = copies.select(F.col("copy").alias("image_id"), F.lit("all").alias("slice"))
-    want = ap.ap_table(match.greedy_match(repeat(det), repeat(gt), THR), repeat(npos), everyone, THR).collect()
-    assert got == pytest.approx({(r.cls, r.thr): r.ap for r in want})
+    table = match.greedy_match(det, gt, THR)
+    # the second model has half of the detections
+    matches = [table, table.filter("det_id % 2 = 0")]
+    got = {(r.model, r.replicate): r["map"] for r in bootstrap.replicate_maps(matches, npos, images, THR, 2, chunk_rows=20).collect()}
+    copies = drawn(spark, images, 2)
+    want = {}
+    for j in range(3):
+        mine = copies.filter(F.col("replicate") == j).drop("replicate")
+        repeat = lambda t: t.join(mine, "image_id").drop("image_id").withColumnRenamed("copy", "image_id")  # noqa: E731, B023
+        everyone = mine.select(F.col("copy").alias("image_id"), F.lit("all").alias("slice"))
+        for model, m in enumerate(matches):
+            want[model, j] = ap.mean_ap(ap.ap_table(repeat(m), repeat(npos), everyone, THR)).first()["map"]
+    assert len(set(got.values())) > 4
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_weights_are_poisson():
+    keys = np.random.default_rng(1).integers(0, 2**64, 2000, dtype=np.uint64)  # as hashes are
+    w = bootstrap.weights(keys, 100)
+    assert (w[:, 0] == 1).all() and (w == bootstrap.weights(keys, 100)).all()
+    shares = [(w[:, 1:] == n).mean() for n in range(4)]
+    assert shares == pytest.approx([np.exp(-1), np.exp(-1), np.exp(-1) / 2, np.exp(-1) / 6], abs=0.005)
+    assert abs(np.corrcoef(w[:, 1], w[:, 2])[0, 1]) < 0.1
 
 
 def test_slices_have_their_own_intervals(spark):
@@ -45,3 +67,13 @@ def test_slices_have_their_own_intervals(spark):
     assert all(0 < r.ci_low <= r.ci_high and r.p_le_zero == 0 for r in found.values()) and found["all"].ci_low != found["few"].ci_low
     same = bootstrap.bootstrap_delta(first, first, npos, images.filter("slice = 'all'"), THR, 20).first()
     assert (same.delta, same.ci_low, same.ci_high, same.p_le_zero) == (0, 0, 0, 1)
+
+
+def test_no_detections_and_no_boxes(spark):
+    det, gt = scene(spark, 5)
+    npos = match.positives(gt).select("cls", "image_id", "n")
+    images = spark.range(30).select(F.col("id").alias("image_id"), F.lit("all").alias("slice"))
+    table = match.greedy_match(det, gt, THR)
+    none = bootstrap.bootstrap_delta(table.limit(0), table.limit(0), npos, images, THR, 5).first()
+    assert (none.delta, none.p_le_zero) == (0, 1)
+    assert bootstrap.bootstrap_delta(table, table, npos.limit(0), images, THR, 5).count() == 0
