@@ -5,12 +5,12 @@ from __future__ import annotations
 
 def _modules() -> list:
     from sightline.llm import (
-        bpe_codec, conversation_trie, html_text, near_duplicates, packing, quality_model, quality_rules, simhash, substring_dedup, token_files, topk, url_filter,
+        bpe_codec, conversation_trie, html_text, near_duplicates, packing, phrases, quality_model, quality_rules, simhash, substring_dedup, token_files, topk, url_filter,
     )
 
     return [
         packing, token_files, quality_rules, html_text, url_filter, bpe_codec, topk, near_duplicates, substring_dedup, quality_model,
-        conversation_trie, simhash,
+        conversation_trie, simhash, phrases,
     ]
 
 

@@ -152,9 +152,9 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 21) -> list[tuple[int, int]]:
 class Words:
     """The words of a run of documents: byte spans, and the count up to each document."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _WS):
         self.data, self.offsets = data, offsets
-        word = ~_WS[data]
+        word = ~space[data]
         first = word.copy()
         if len(data):
             first[1:] &= ~word[:-1]
