@@ -4,7 +4,8 @@ A phrase is a run of up to `LONGEST` words inside a piece of text between `[.,;:
 
 1. Frequent words. Texts lie in a table of pieces (some MB each). Each sends its distinct words with their counts to buckets of word hashes, which answer which words
    are frequent, and whose spelling is to be kept (see exchange.py). A hot word is one entry a piece.
-2. Projection. The pointer of each frequent word's occurrence is its window: the word and up to four more, up to the first infrequent word or the end. Equal
+2. Projection. Pairs of neighbouring frequent words are asked for as well, by 24 bits within their bucket: chance hits keep a pair that could have gone, and drop none.
+   The pointer of each frequent word's occurrence is its window: the word and up to four more, up to the first infrequent word or pair or the end. Equal
    windows of a piece are counted there. Windows go to tasks by ranges of their order, so a task holds the projected occurrences of whole prefixes, and a
    prefix with very many is dealt to several tasks. The ranges come from the windows of a bounded sample of pieces and change no result.
 3. Growth. A task sorts its windows and extends prefixes to the right depth first, a run of rows at a time, as long as they are frequent. Only the prefixes of its
@@ -47,13 +48,21 @@ _BREAK[[*b".,;:!?", 10, 11, 12, 13]] = True
 _GAP = _BREAK.copy()
 _GAP[[9, 32]] = True
 
+_PAIR = np.uint64(0x9FB21C651E98DF25)
+
 _SENT = pa.schema([("bucket", pa.int32()), ("piece", pa.int64()), ("hash", pa.binary()), ("n", pa.binary()), ("lang", pa.string())])
+_SENT_PAIRS = pa.schema([("bucket", pa.int32()), ("piece", pa.int64()), ("low", pa.binary()), ("n", pa.binary())])
 _CUT = pa.schema([("range", pa.int32()), ("windows", pa.binary()), ("h", pa.list_(pa.int64())), ("lang", pa.list_(pa.string())), ("word", pa.list_(pa.string()))])
 _GROWN = pa.schema([("words", pa.list_(pa.int64())), ("a", pa.int64()), ("lang", pa.string()), ("word", pa.string())])
 _CUT_DDL = "range int, windows binary, h array<long>, lang array<string>, word array<string>"
 _GROWN_DDL = "words array<long>, a long, lang string, word string"
 
 
+def either(f, schema: pa.Schema):
+    """A function of both sides of a cogroup, of which an empty one gives no rows."""
+    return lambda left, right: f(left, right) if left.num_rows and right.num_rows else schema.empty_table()
+
+
 def _held(docs: DataFrame, scratch: Scratch, total: int) -> DataFrame:
     """The table of pieces: piece, lang, text."""
     shaped = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNDEFINED)).alias("lang"), "text").filter("text is not null")
@@ -94,8 +103,14 @@ class _Piece:
         raw = self.words.data
         return [self.langs[d] for d in self.doc[at].tolist()], [raw[i:j].tobytes().lower().decode("utf-8", "replace") for i, j in zip(self.words.start[at].tolist(), self.words.end[at].tolist(), strict=True)]
 
-    def windows(self, frequent: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """Different windows, sorted: rows of hashes with zeros after the end, and how often each occurs."""
+    def pairs(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pairs of frequent words begin that no break parts, and their hashes."""
+        often = frequent[self.at]
+        at = np.flatnonzero(often[:-1] & often[1:] & (self.segment[1:] == self.segment[:-1]))
+        return at, mix(self.h[at] * _PAIR + self.h[at + 1])
+
+    def windows(self, frequent: np.ndarray, goes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Different windows, sorted: rows of hashes with zeros after the end, and how often each occurs; `goes` tells for each word whether a window goes on after it."""
         local = np.where(frequent, np.cumsum(frequent), 0)  # numbers of frequent words, in order of their hashes
         word = local[self.at]
         bits = int(local.max(initial=0)).bit_length() or 1
@@ -103,7 +118,8 @@ class _Piece:
         inside, columns, keys = np.ones(len(start), bool), [], []
         for k in range(longest):
             at = np.minimum(start + k, len(word) - 1)
-            inside &= (start + k < len(word)) & (self.segment[at] == self.segment[start]) & (word[at] > 0)
+            if k:
+                inside &= goes[at - 1] & (start + k < len(word))
             columns.append(np.where(inside, word[at], 0))
         # several numbers make up one key
         for at in range(0, longest, 63 // bits):
@@ -117,7 +133,7 @@ class _Piece:
         at = np.flatnonzero(new)
         hashes = np.concatenate([np.zeros(1, np.uint64), self.known[frequent]])
         rows = order[at]
-        return np.stack([hashes[c[rows]] for c in columns], axis=1) if longest else None, np.diff(np.append(at, len(order)))
+        return np.stack([hashes[c[rows]] for c in columns], axis=1), np.diff(np.append(at, len(order)))
 
 
 def _place(windows: np.ndarray, split: np.ndarray) -> int:
@@ -199,33 +215,56 @@ def phrases(docs: DataFrame, scratch: Scratch, least: int = MIN_COUNT, longest:
     totals = scratch.save(sent.filter("bucket < 0").groupBy("lang").agg(F.sum(number).alias("n")).filter("n > 0"), "totals")
     scratch.drop("words")
 
+    def heard(right, known, pairs, planes):
+        """The answers about words, or about pairs, whose buckets have negative numbers."""
+        said = [(-1 - b if pairs else b, x) for b, x in zip(right.column("bucket").to_pylist(), right.column("bits").to_pylist(), strict=True) if (b < 0) == pairs]
+        return exchange.read(known, buckets, [b for b, _ in said], [x for _, x in said], planes)
+
+    held_count = np.dtype("u1" if least < 256 else "<u4")
+
+    def ask_pairs(left, right):
+        found = _Piece(left)
+        _, h = found.pairs((heard(right, found.known, False, 2) & 1).astype(bool))
+        known, times = np.unique(h, return_counts=True)
+        return exchange.cut(found.number, known, buckets, low=exchange.low_bytes(known, 3), n=np.minimum(times, least).astype(held_count))
+
+    def answer_pairs(got):
+        raw, n = got.column("low").to_pylist(), np.frombuffer(b"".join(got.column("n").to_pylist()), held_count)
+        wide = np.zeros((len(n), 4), np.uint8)
+        wide[:, :3] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 3)
+        _, at = np.unique(wide.view("<u4").reshape(-1), return_inverse=True)
+        return exchange.replies(got, np.array([len(x) for x in raw], np.int64) // 3, (np.bincount(at, weights=n) >= least)[at])
+
+    asked = rows.cogroup(told.groupBy("piece")).applyInArrow(either(ask_pairs, _SENT_PAIRS), exchange.sent_schema("low", "n"))
+    pairs = asked.groupBy("bucket").applyInArrow(answer_pairs, exchange.REPLY).withColumn("bucket", -1 - F.col("bucket"))
+    told = told.unionByName(scratch.save(pairs, "pairs"))
+
     def kinds(left, right):
+        """A piece, what is known of its words (1: frequent, 2: spelt here), its windows."""
         found = _Piece(left)
-        said = right.to_pydict()
-        return found, exchange.read(found.known, buckets, said["bucket"], said["bits"], planes=2)
+        kind = heard(right, found.known, False, 2)
+        at, h = found.pairs((kind & 1).astype(bool))
+        known, where = np.unique(h, return_inverse=True)
+        goes = np.zeros(len(found.h), bool)
+        goes[at] = heard(right, known, True, 1)[where]
+        return found, kind, *found.windows((kind & 1).astype(bool), goes, longest)
 
     ranges = int(min(MAX_RANGES, max(exchange.BUCKETS, total // range_bytes)))
     some = told.select("piece").distinct().orderBy(F.xxhash64("piece")).limit(SAMPLED_PIECES)
     each = -(-SAMPLE * ranges // SAMPLED_PIECES)
 
     def sample(left, right):
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"window": pa.array([], pa.binary())})
-        found, kind = kinds(left, right)
-        windows, _ = found.windows((kind & 1).astype(bool), longest)
+        *_, windows, _ = kinds(left, right)
         at = np.unique(np.linspace(0, len(windows) - 1, each).astype(np.int64)) if len(windows) else []
         return pa.table({"window": pa.array([windows[x].astype("<u8").tobytes() for x in at], pa.binary())})
 
     few = held.join(F.broadcast(some), "piece", "left_semi").groupBy("piece").cogroup(told.join(F.broadcast(some), "piece", "left_semi").groupBy("piece"))
-    seen = [np.frombuffer(r.window, "<u8") for r in few.applyInArrow(sample, "window binary").collect()]
+    seen = [np.frombuffer(r.window, "<u8") for r in few.applyInArrow(either(sample, pa.schema([("window", pa.binary())])), "window binary").collect()]
     seen = np.array(sorted(map(tuple, seen)), np.uint64).reshape(-1, longest)
     splits = seen[np.unique(np.arange(1, ranges) * len(seen) // ranges)] if len(seen) else seen
 
     def project(left, right):
-        if not left.num_rows or not right.num_rows:
-            return _CUT.empty_table()
-        found, kind = kinds(left, right)
-        windows, times = found.windows((kind & 1).astype(bool), longest)
+        found, kind, windows, times = kinds(left, right)
         ends = [*(_place(windows, s) for s in splits), len(windows)]
         told = np.flatnonzero(kind == 3)
         langs, words = found.spelling(told)
@@ -248,7 +287,7 @@ def phrases(docs: DataFrame, scratch: Scratch, least: int = MIN_COUNT, longest:
         spelt = [names.pop(w[0], (None, None)) if len(w) == 1 else (None, None) for w, _ in found]
         return pa.table([[w for w, _ in found], [n for _, n in found], [x for x, _ in spelt], [x for _, x in spelt]], schema=_GROWN)
 
-    cut = rows.cogroup(told.groupBy("piece")).applyInArrow(project, _CUT_DDL)
+    cut = rows.cogroup(told.groupBy("piece")).applyInArrow(either(project, _CUT), _CUT_DDL)
     grown = scratch.save(cut.groupBy("range").applyInArrow(extend, _GROWN_DDL), "grown")
     whole = grown.groupBy("words").agg(F.sum("a").alias("a"), F.max("lang").alias("lang"), F.max("word").alias("word")).filter(F.col("a") >= least)
     return scratch.save(whole, "phrases"), totals
