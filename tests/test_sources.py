@@ -3,9 +3,8 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
-from sightline.operators import bootstrap, decisions
+from sightline.operators import decisions
 from sightline.sources import files
 
 
@@ -54,4 +53,3 @@ def test_pairs_need_the_same_images_and_headlines_name_slices_once(spark):
         decisions.require_same_images(a, b)
     maps = spark.createDataFrame([("night", 0.5), ("overall", 0.25), ("fog", 1.0)], "slice string, map double")
     assert decisions.headline(maps, ["overall", "night", "overall", "snowy"]).collect() == [(0.25, 0.5, None)]
-    assert bootstrap.resample(a, 2).filter(F.col("replicate") == 0).count() == 3
