@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.lineage import cut
+from sightline.functions.lineage import stored
 from sightline.functions.vectors import clean, matrix, width
 
 #: Vectors in a tile, about; edges of the tree in a range, about.
@@ -121,22 +121,22 @@ def _edges(held: DataFrame, tiles: int, dim: int) -> DataFrame:
 
 def spanning_tree(edges: DataFrame) -> DataFrame:
     """The least spanning forest of a graph (a, b, w), equal weights ordered by a and b, by rounds of joins."""
-    live, taken = cut(edges.distinct().select("a", "b", "w", F.col("a").alias("la"), F.col("b").alias("lb"))), []
+    live, taken = stored(edges.distinct().select("a", "b", "w", F.col("a").alias("la"), F.col("b").alias("lb"))), []
     while not live.isEmpty():
         both = live.select("a", "b", "w", F.col("la").alias("l"), F.col("lb").alias("o")).unionByName(live.select("a", "b", "w", F.col("lb").alias("l"), F.col("la").alias("o")))
-        best = cut(both.groupBy("l").agg(F.min(F.struct("w", "a", "b", "o")).alias("m")).select("l", "m.*"))
+        best = stored(both.groupBy("l").agg(F.min(F.struct("w", "a", "b", "o")).alias("m")).select("l", "m.*"))
         taken.append(best.select("a", "b", "w").distinct())
         # each component follows its edge; of two that follow each other, the smaller one stays
         back = best.select(F.col("l").alias("o"), F.col("o").alias("oo"))
-        up = cut(best.join(back, "o").select("l", F.when((F.col("oo") == F.col("l")) & (F.col("l") < F.col("o")), F.col("l")).otherwise(F.col("o")).alias("up")))
+        up = stored(best.join(back, "o").select("l", F.when((F.col("oo") == F.col("l")) & (F.col("l") < F.col("o")), F.col("l")).otherwise(F.col("o")).alias("up")))
         while True:
-            after = cut(up.join(up.select(F.col("l").alias("up"), F.col("up").alias("top")), "up").select("l", "up", "top"))
+            after = stored(up.join(up.select(F.col("l").alias("up"), F.col("up").alias("top")), "up").select("l", "up", "top"))
             done = after.filter("up <> top").isEmpty()
             up = after.select("l", F.col("top").alias("up"))
             if done:
                 break
         named = live.join(up.select(F.col("l").alias("la"), F.col("up").alias("ta")), "la").join(up.select(F.col("l").alias("lb"), F.col("up").alias("tb")), "lb")
-        live = cut(named.filter("ta <> tb").select("a", "b", "w", F.col("ta").alias("la"), F.col("tb").alias("lb")))
+        live = stored(named.filter("ta <> tb").select("a", "b", "w", F.col("ta").alias("la"), F.col("tb").alias("lb")))
     return reduce(DataFrame.unionByName, taken) if taken else edges
 
 
@@ -211,7 +211,7 @@ def _clusters(edges: DataFrame, nodes: DataFrame, n: int, least: int, per_range:
     """(node, cluster, w): where rows enter; and (cluster, parent, w, size) of clusters that end."""
     ranges = max(1, -(-(n - 1) // per_range))
     if ranges > 1:
-        edges = cut(edges.repartitionByRange(ranges, "w", "a", "b").withColumn("range", F.spark_partition_id()))
+        edges = stored(edges.repartitionByRange(ranges, "w", "a", "b").withColumn("range", F.spark_partition_id()))
     points = nodes.select("node", F.col("node").alias("label"))
     state = points.select("label", F.lit(1).cast("long").alias("size"), F.lit(None).cast("long").alias("cluster"))
     fell, ended = [], []
@@ -221,14 +221,14 @@ def _clusters(edges: DataFrame, nodes: DataFrame, n: int, least: int, per_range:
             info = points.join(state, "label").select(F.col("node").alias(s), F.col("label").alias(f"l{s}"), F.col("size").alias(f"s{s}"), F.col("cluster").alias(f"c{s}"))
             e = e.join(info, s)
 
-        done = cut(e.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_stage(least, k << 40), _STEP))  # one bounded range of edges
+        done = stored(e.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_stage(least, k << 40), _STEP))  # one bounded range of edges
         fell.append(points.join(done.filter("kind = 1").select("label", "cluster", "w"), "label").select("node", "cluster", "w"))
         ended.append(done.filter("kind = 2").select("cluster", "parent", "w", "size"))
         if k + 1 < ranges:
             moved = done.filter("kind = 0")
-            points = cut(points.join(moved.select("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
-            state = cut(state.join(moved.select("label"), "label", "left_anti").unionByName(moved.select(F.col("to").alias("label"), "size", "cluster").distinct()))
-    return cut(reduce(DataFrame.unionByName, fell)), cut(reduce(DataFrame.unionByName, ended))
+            points = stored(points.join(moved.select("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+            state = stored(state.join(moved.select("label"), "label", "left_anti").unionByName(moved.select(F.col("to").alias("label"), "size", "cluster").distinct()))
+    return stored(reduce(DataFrame.unionByName, fell)), stored(reduce(DataFrame.unionByName, ended))
 
 
 def hdbscan(vectors: DataFrame, min_cluster_size: int = 40, min_samples: int = 10, key: str = "vec_id", column: str = "embedding", tile: int = TILE, per_range: int = EDGES) -> DataFrame:
@@ -242,10 +242,10 @@ def hdbscan(vectors: DataFrame, min_cluster_size: int = 40, min_samples: int = 1
     if n < max(min_cluster_size, 2):
         return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(-1).alias("label"))
     wanted = -(-n // tile)
-    held = cut(_pack(rows, wanted))
+    held = stored(_pack(rows, wanted))
     # a hash may leave a tile empty; no pair then has it
-    with_core = cut(held.join(_cores(held, wanted, dim, min_samples), "tile").select("tile", "x", "core"))
-    edges = cut(_edges(with_core, wanted, dim))
+    with_core = stored(held.join(_cores(held, wanted, dim, min_samples), "tile").select("tile", "x", "core"))
+    edges = stored(_edges(with_core, wanted, dim))
     if wanted > 2:
         edges = spanning_tree(edges)
 
@@ -266,7 +266,7 @@ def hdbscan(vectors: DataFrame, min_cluster_size: int = 40, min_samples: int = 1
         return _table([(k, c) for k, c in choose(got.to_pylist()).items() if c is not None], "cluster long, chosen long")
 
     chosen = known.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(pick, "cluster long, chosen long")  # clusters only
-    labelled = cut(nodes.join(fell.join(chosen, "cluster").select("node", "chosen"), "node", "left"))
+    labelled = stored(nodes.join(fell.join(chosen, "cluster").select("node", "chosen"), "node", "left"))
     numbers = labelled.filter("chosen is not null").groupBy("chosen").agg(F.min(F.struct("vec_id", "node")).alias("first"))
     one = numbers.groupBy().agg(F.sort_array(F.collect_list(F.struct("first", "chosen")))["chosen"].alias("order"))  # clusters only
     named = one.select(F.posexplode("order").alias("label", "chosen"))

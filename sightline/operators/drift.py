@@ -146,3 +146,40 @@ def kid(x: DataFrame, y: DataFrame, dim: int) -> DataFrame:
     )
     own = [F.try_divide(F.col(f"k{s}{s}") - F.col(f"own{s}"), F.col(f"n{s}") * (F.col(f"n{s}") - 1)) for s in (0, 1)]
     return sums.select((own[0] + own[1] - 2 * F.try_divide("k01", F.col("n0") * F.col("n1"))).alias("kid"))
+
+
+#: Subsets are the first rows in the order of (A^(2r+1) * hash + A^(2r+2)) modulo PRIME, so a row is hashed once for all of them.
+PRIME, A = 2_147_483_647, 48_271
+
+
+def subset_orders(subsets: int) -> list[tuple[int, int]]:
+    return [(pow(A, 2 * r + 1, PRIME), pow(A, 2 * r + 2, PRIME)) for r in range(subsets)]
+
+
+def kid_subsets(x: DataFrame, y: DataFrame, subsets: int = 50, size: int = 200) -> DataFrame:
+    """kid and kid_std: mean and deviation, over subsets of `size` rows of each window, of the unbiased discrepancy with the cubic kernel (a . b / dim + 1)^3.
+
+    With fewer rows in a window, subsets have as many of both. Subsets are drawn by hash; only rows that may belong to one leave the scan, some `size` a subset
+    and window, so the cost beyond the scan does not grow with the windows.
+    """
+    rows = _both(x, y)
+    counts = rows.agg(*[F.count_if(F.col("side") == s).alias(f"n{s}") for s in (0, 1)])  # one row
+    counts = counts.withColumn("m", F.least(F.lit(size), "n0", "n1"))
+    pairs = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in subset_orders(subsets)])
+    hashed = F.conv(F.substring(F.sha2(F.col("vec_id").cast("string"), 256), 1, 8), 16, 10).cast("long") % PRIME
+    rows = rows.withColumn("h", hashed).select("*", F.posexplode(pairs).alias("subset", "p")).withColumn("u", (F.col("h") * F.col("p.a") + F.col("p.b")) % PRIME)
+    # six deviations beyond the expected number, so that no subset lacks rows
+    share = (F.col("m") + 6 * F.sqrt("m") + 10) / F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))
+    rows = rows.crossJoin(F.broadcast(counts)).filter(F.col("u") <= share * PRIME).select("subset", "side", "u", "vec_id", "e", "m")
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        m = int(part["m"].iloc[0])
+        part = part.sort_values(["u", "vec_id"])
+        a, b = (np.array(part["e"][part["side"] == s].tolist()[:m], dtype=np.float64) for s in (0, 1))
+        if min(len(a), len(b)) < 2:
+            return pd.DataFrame({"v": pd.Series(dtype=float)})
+        kernel = lambda p, q: (p @ q.T / p.shape[1] + 1) ** 3
+        own = lambda p: (kernel(p, p).sum() - np.trace(kernel(p, p))) / (len(p) * (len(p) - 1))
+        return pd.DataFrame({"v": [own(a) + own(b) - 2 * kernel(a, b).mean()]})
+
+    return rows.groupBy("subset").applyInPandas(one, "v double").agg(F.avg("v").alias("kid"), F.stddev_pop("v").alias("kid_std"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.functions import files
 from sightline.functions.hashing import seeded
 from sightline.functions.lineage import cut
+from sightline.operators.validation import digest
 
 STRATA = ("timeofday", "weather")
 
@@ -99,3 +101,32 @@ def describe(splits: DataFrame, samples: DataFrame, gt: DataFrame) -> DataFrame:
         held = counts.groupBy("split").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias(f"by_{c}"))
         total = total.join(held, "split")
     return total
+
+
+def write_lock(golden: DataFrame, samples: DataFrame, gt: DataFrame, path: str) -> str:
+    """Locks a golden set (image_id): its images, with a digest of their labels that `read_lock` holds the data against. A lock is written once."""
+    spark = golden.sparkSession
+    ids = golden.select("image_id").distinct()
+    value = _digest(ids, samples, gt)
+    staged = files.staging(path)
+    ids.withColumn("digest", F.lit(value)).write.parquet(staged)
+    if not files.publish(spark, staged, f"{path}/lock"):
+        raise ValueError(f"{path} holds a lock already")
+    return value
+
+
+def read_lock(samples: DataFrame, gt: DataFrame, path: str) -> DataFrame:
+    """The images of a lock, for `make_splits`. Locked images that are missing, and labels that are not those that were locked, raise."""
+    lock = samples.sparkSession.read.parquet(f"{path}/lock")
+    ids = lock.select("image_id")
+    if not ids.join(samples, "image_id", "left_anti").isEmpty():
+        raise ValueError("images of the locked golden set are missing from the data")
+    told = [r.digest for r in lock.select("digest").distinct().collect()]  # one value
+    if told != [_digest(ids, samples, gt)]:
+        raise ValueError("labels of the locked golden set have changed")
+    return ids
+
+
+def _digest(ids: DataFrame, samples: DataFrame, gt: DataFrame) -> str:
+    mine = lambda t: t.join(ids, "image_id", "left_semi")
+    return digest(mine(samples), mine(gt)).first().digest

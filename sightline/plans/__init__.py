@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from sightline.plans import data, errors, evaluation, failures, files, release, resampling
+    from sightline.plans import clustering, data, errors, evaluation, failures, files, release, resampling
 
-    return [evaluation, errors, data, failures, files, release, resampling]
+    return [evaluation, errors, data, failures, files, release, resampling, clustering]
 
 
 def queries() -> dict:
