@@ -9,14 +9,14 @@ value read. That bounds each candidate's score from below and above, for all que
     lower = (x if read, else the list's far end) . q+ and q- likewise
 
 Reading stops for a query when no outsider's upper bound reaches the k-th lower bound; what is left is resolved to full scores.
-Bounds and scores are integers that the arithmetic used holds exactly.
+Bounds and scores are integers that the arithmetic used holds exactly; where doubles cannot, blocks are scored in whole numbers of any size, without bounds.
 
 Queries are a stated set, cut into blocks of at most `QUERY_BLOCK` rows that are sent to every candidate block;
 the best k of each pair of blocks meet by query.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; only vectors of equal length
 meet; a query's own rows (all of its vec_id) are no candidates for it; repeated candidate rows each count; ties go
-to the smaller vec_id; an empty table gives no rows; other columns are left out.
+to the smaller vec_id; a score beyond 64 bits counts as the nearest long; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -38,17 +38,21 @@ QUERY_STEP = 50
 BLOCK, QUERY_BLOCK = 4_096, 1_024
 #: Depths at which bounds are compared, as shares of a list.
 DEPTHS = (0.25, 0.5, 0.75)
+#: The largest finite component, and the ends of a long.
+LARGEST, LONG = 1.7976931348623157e308, (-(2**63), 2**63 - 1)
 
 
 def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and the integer components of the vectors that take part."""
+    """vec_id and the integer components (as doubles) of the vectors that take part."""
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     some = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & whole)
-    return some.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    # doubles of 2^53 and more are whole numbers already
+    times = lambda x: F.greatest(F.least(x.cast("double") * scale, F.lit(LARGEST)), F.lit(-LARGEST))
+    return some.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.when(F.abs(times(x)) < 2.0**53, F.floor(times(x)).cast("double")).otherwise(times(x))).alias("v"))
 
 
 def _matrix(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, "<i8").reshape(n, -1)
+    return np.frombuffer(blob, "<f8").reshape(n, -1)
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -71,7 +75,7 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
                 x = v.values.to_numpy()
                 ids, parts = held.setdefault(len(x), ([], []))
                 ids.append(vec_id)
-                parts.append(x.astype("<i8").tobytes())
+                parts.append(x.astype("<f8").tobytes())
                 if len(ids) == size:
                     yield out(len(x))
         for dim in list(held):
@@ -80,11 +84,13 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     return rows.mapInArrow(run, f"dim int, {name}_block long, {name}_n int, {name}_ids binary, {name}_matrix binary")
 
 
-def top_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, depths=DEPTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query row, candidate row and score of the best k candidates of each query, by score, then vec_id."""
+def top_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, depths=DEPTHS, clip: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, candidate row and score of the best k candidates of each query, by score (with `clip`, cut to a long), then vec_id."""
     largest = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1]
     if largest >= 2.0**53:  # beyond doubles: whole integers, no bounds
-        exact = q.astype(object) @ c.T.astype(object)
+        whole = lambda x: np.array([[int(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
+        exact = whole(q) @ whole(c).T
+        exact = np.clip(exact, *LONG) if clip else exact
         rows, cols, scores = [], [], []
         for i in range(len(q)):
             own = np.flatnonzero(c_ids != q_ids[i])
@@ -118,7 +124,7 @@ def top_of_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
     scores = np.empty(len(row), np.int64)
     for a in range(0, len(row), 100_000):
         b = a + 100_000
-        scores[a:b] = np.einsum("ij,ij->i", q[row[a:b]], c[cand[a:b]])
+        scores[a:b] = np.einsum("ij,ij->i", q[row[a:b]], c[cand[a:b]]).astype(np.int64)  # exact below 2^53
     order = np.lexsort((c_ids[cand], -scores, row))
     row, cand, scores = row[order], cand[order], scores[order]
     rank = np.arange(len(row)) - np.searchsorted(row, row)
@@ -139,7 +145,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = BL
             for at in range(batch.num_rows):
                 r = {f: batch.column(f)[at].as_py() for f in ("q_n", "q_ids", "q_matrix", "c_n", "c_ids", "c_matrix")}
                 q_ids, c_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["c_ids"], "<i8")
-                row, cand, scores = top_of_block(q_ids, _matrix(r["q_matrix"], r["q_n"]), c_ids, _matrix(r["c_matrix"], r["c_n"]), k)
+                row, cand, scores = top_of_block(q_ids, _matrix(r["q_matrix"], r["q_n"]), c_ids, _matrix(r["c_matrix"], r["c_n"]), k, clip=True)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[row], pa.int64()), pa.array(c_ids[cand], pa.int64()), pa.array(scores.tolist(), pa.int64())], names=["query_id", "vec_id", "score"])
 
     near = pairs.select("q_n", "q_ids", "q_matrix", "c_n", "c_ids", "c_matrix").mapInArrow(run, "query_id long, vec_id long, score long")

@@ -1,5 +1,7 @@
 """Main text, URL verdicts and top-k search."""
 
+import math
+import random
 import time
 
 import numpy as np
@@ -101,3 +103,20 @@ def test_bad_vectors_take_no_part(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v.filter("vec_id % 50 = 0"), v).collect())
     assert got == [(0, 1, 50, 65536), (0, 2, 1, 32768), (50, 1, 0, 65536), (50, 2, 1, 49152)]
     assert topk.top_k(v.limit(0), v).count() == 0
+
+
+def test_large_components_and_ties_across_blocks(spark):
+    r = random.Random(5)
+    rows = [(k, [float(r.choice([0, 1, -1, 1e13, -1e13, 1e18, 3e300, 0.37])) for _ in range(3)], "x", 1) for k in range(120)]
+    rows += [(k, [1.0, 2.0, float(k % 3)], "x", 1) for k in range(120, 160)]  # ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string, rank int")
+    low, high = -(2**63), 2**63 - 1
+    whole = {i: [math.floor(256 * x) for x in e] for i, e, *_ in rows}
+    score = lambda a, b: max(low, min(high, sum(x * y for x, y in zip(whole[a], whole[b], strict=True))))
+    expected = []
+    for q in range(0, 160, 50):
+        best = sorted((-score(q, c), c) for c in whole if c != q)[:5]
+        expected += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    vectors = topk.scaled(df)
+    got = topk.top_k(vectors.filter("vec_id % 50 = 0"), vectors, block=23, query_block=3)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == expected
