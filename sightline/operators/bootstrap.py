@@ -11,6 +11,7 @@ second pass turns the chunk's rows into the largest precision for each of the 10
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -97,7 +98,7 @@ def _chunked(matches: list[DataFrame], images: DataFrame, k: int, chunk_rows: in
             mask(hit).alias("tp"), mask(lambda j: ~hit(j) & ~ignored(j)).alias("fp"))
         for i, m in enumerate(matches)
     ]
-    rows = cut(sides[0].unionByName(sides[1]))  # three passes read it, and none should match again
+    rows = cut(functools.reduce(DataFrame.unionByName, sides))  # three passes read it, and none should match again
     cuts = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", F.array(*[F.lit(j / MAX_CHUNKS) for j in range(1, MAX_CHUNKS)]), MAX_CHUNKS).alias("all_cuts"))
     chunks = F.least(F.ceil(F.col("n") / chunk_rows), F.lit(MAX_CHUNKS))
     chosen = F.expr("transform(sequence(1, greatest(chunks, 2) - 1), j -> all_cuts[cast(floor(j * {0} / greatest(chunks, 2)) as int) - 1])".format(MAX_CHUNKS))
@@ -188,7 +189,7 @@ def replicate_maps(matches: list[DataFrame], npos: DataFrame, images: DataFrame,
     left, right = rows.groupBy(*GROUP, "chunk"), starts.groupBy(*GROUP, "chunk")
     best = left.cogroup(right).applyInArrow(points, f"{KEYS}, thr int, first int, low int, best binary")
     ap = best.groupBy(*GROUP, "thr", "first").applyInArrow(averages, f"{KEYS}, replicate int, ap double")
-    classes = positives.select("slice", "cls", F.posexplode("pos").alias("replicate", "pos")).filter("pos > 0").select("slice", "cls", "replicate", F.explode(F.array(F.lit(0), F.lit(1))).alias("model"))
+    classes = positives.select("slice", "cls", F.posexplode("pos").alias("replicate", "pos")).filter("pos > 0").select("slice", "cls", "replicate", F.explode(F.array(*map(F.lit, range(len(matches))))).alias("model"))
     # values are added in their own order (classes x thresholds of them), so that equal models differ by 0 and not by a rounding
     means = classes.join(ap, [*GROUP, "replicate"], "left").groupBy("model", "slice", "replicate").agg(F.sort_array(F.collect_list("ap")).alias("ap"), F.size(F.collect_set("cls")).alias("n"))
     return means.select("model", "slice", "replicate", (F.aggregate("ap", F.lit(0.0), lambda total, x: total + x) / (F.col("n") * k)).alias("map"))
@@ -208,3 +209,22 @@ def bootstrap_delta(
         F.percentile(drawn, F.lit(1 - tail)).alias("ci_high"),
         F.avg((drawn <= 0).cast("double")).alias("p_le_zero"),
     )
+
+
+def compare(
+    arms: dict[str, DataFrame], baseline: str, npos: DataFrame, images: DataFrame, thresholds: list[float], replicates: int = 1000, seed: int = 0, level: float = 0.95, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """arm, slice, map, delta, ci_low, ci_high, p_le_zero of every arm (a match table each) against one of them.
+
+    All arms and slices are replicated in one pass with the same weights, so their differences are paired; an equal arm differs by 0.
+    """
+    names = [baseline, *(a for a in arms if a != baseline)]
+    maps = replicate_maps([arms[a] for a in names], npos, images, thresholds, replicates, seed, chunk_rows)
+    base = maps.filter("model = 0").select("slice", "replicate", F.col("map").alias("before"))  # a row a slice and replicate
+    named = maps.join(base, ["slice", "replicate"]).withColumns({"arm": F.element_at(F.array(*map(F.lit, names)), F.col("model") + 1), "delta": F.col("map") - F.col("before")})
+    drawn, whole = F.when(F.col("replicate") > 0, F.col("delta")), F.col("replicate") == 0
+    tail = (1 - level) / 2
+    return named.groupBy("arm", "slice").agg(
+        F.max(F.when(whole, F.col("map"))).alias("map"), F.max(F.when(whole, F.col("delta"))).alias("delta"),
+        F.percentile(drawn, F.lit(tail)).alias("ci_low"), F.percentile(drawn, F.lit(1 - tail)).alias("ci_high"), F.avg((drawn <= 0).cast("double")).alias("p_le_zero"),
+    )

@@ -13,7 +13,7 @@ from sightline.operators import bootstrap, match
 from sightline.schema import THRESHOLDS
 from sightline.sources.tables import Views
 
-TARGETS = ["night", "dawn"]
+TARGETS = ["night"]
 REPLICATES = 1000
 
 

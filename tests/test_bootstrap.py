@@ -77,3 +77,20 @@ def test_no_detections_and_no_boxes(spark):
     none = bootstrap.bootstrap_delta(table.limit(0), table.limit(0), npos, images, THR, 5).first()
     assert (none.delta, none.p_le_zero) == (0, 1)
     assert bootstrap.bootstrap_delta(table, table, npos.limit(0), images, THR, 5).count() == 0
+
+
+def test_all_arms_are_compared_in_one_pass(spark):
+    det, gt = scene(spark, 4)
+    images = spark.range(30).select(F.col("id").alias("image_id"), F.explode(F.when(F.col("id") % 3 == 0, F.array(F.lit("all"), F.lit("third"))).otherwise(F.array(F.lit("all")))).alias("slice"))
+    npos = match.positives(gt).select("cls", "image_id", "n")
+    table = match.greedy_match(det, gt, THR)
+    half = table.filter("det_id % 2 = 0")
+    got = {(r.arm, r.slice): r for r in bootstrap.compare({"same": table, "base": table, "half": half}, "base", npos, images, THR, 30).collect()}
+    assert len(got) == 6
+    for s in ("all", "third"):
+        assert (got["same", s].delta, got["same", s].ci_low, got["same", s].ci_high, got["same", s].p_le_zero) == (0, 0, 0, 1)
+        assert got["same", s].map == got["base", s].map > got["half", s].map
+    pair = {r.slice: r for r in bootstrap.bootstrap_delta(table, half, npos, images, THR, 30).collect()}
+    for s, r in pair.items():
+        other = got["half", s]
+        assert (other.delta, other.ci_low, other.ci_high, other.p_le_zero) == pytest.approx((r.delta, r.ci_low, r.ci_high, r.p_le_zero), abs=1e-12)
