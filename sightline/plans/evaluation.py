@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.functions.lineage import cut
+from sightline.functions.lineage import cut, stored
 from sightline.operators import average_precision as ap
 from sightline.operators import match
 from sightline.plans.oracle import IOU, views
@@ -107,7 +107,7 @@ def positives(v: Views):
 
 
 def _ap(v: Views, model: str, thresholds: list[float], weights=None, area: str = "all"):
-    m = match.greedy_match(v.det(model), v.gt(), thresholds, [area])
+    m = stored(match.greedy_match(v.det(model), v.gt(), thresholds, [area]))  # its scores are read for bins and again for ranks
     npos = match.positives(v.gt(), [area]).select("cls", "image_id", "n")
     return ap.ap_table(m, npos, weights if weights is not None else ap.slice_membership(v.samples()), thresholds, area)
 
