@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +97,3 @@ def select_real(pool: DataFrame, allocation: list[dict], n: int) -> DataFrame:
     rest = left.orderBy("pos").limit(n).select("image_id", "pos", F.lit("top-up").alias("why"))
     both = chosen.withColumn("_late", F.lit(0)).unionByName(rest.withColumn("_late", F.lit(1))) if chosen is not None else rest.withColumn("_late", F.lit(0))
     return both.orderBy("_late", "pos").limit(max(n, sum(a["quota"] for a in allocation))).drop("_late", "pos")
-
-
-def candidates_wanted(quota: int, oversample: float) -> int:
-    return math.ceil(quota * oversample)
