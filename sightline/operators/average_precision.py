@@ -1,18 +1,31 @@
 """Average precision over slices, classes and thresholds.
 
-Running sums go by score. A class may hold a large share of all detections, so the order is cut into score bins: totals per
-bin are added up over the (few) bins, and each bin runs its own window from there. Interpolated precision at a recall
-is the largest precision at that recall or beyond, so 101 maxima a group take the place of a reverse scan.
+Running sums go by score. A class may hold a large share of all detections, and a score (a detector's 1.0) a large share of a
+class, so the order by class, score, image and detection is cut into ranges of equal size. Totals of a range by slice are added up over the (few)
+ranges, and each range runs its own sums from there, for all slices and thresholds at once. A detection moves once,
+with its slices in a list and its outcomes in two bit masks, whatever the number of slices.
+
+Only a true positive can raise the precision at a recall, and interpolated precision at a recall is the largest precision at that recall or
+beyond, so 101 maxima a group leave a range and take the place of a reverse scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sightline.functions.lineage import stored
 from sightline.schema import SLICES
 
-BINS = 1024
+#: Detections of a range.
+RANGE = 50_000
 POINTS = 101
 
 
@@ -22,35 +35,86 @@ def slice_membership(samples: DataFrame, slices: dict[str, str] | None = None) -
     return samples.select("image_id", F.explode(F.array_compact(F.array(*named))).alias("slice"))
 
 
-def ap_table(match: DataFrame, npos: DataFrame, weights: DataFrame, thresholds: list[float], area: str = "all", group: str = "slice") -> DataFrame:
-    """group, cls, thr, ap for all classes with ground truth.
+def _mask(flags: Sequence[Column]) -> Column:
+    """A number whose k-th bit is the k-th flag."""
+    return sum((F.when(f, F.lit(1 << k)).otherwise(F.lit(0)) for k, f in enumerate(flags)), F.lit(0)).cast("long")
+
+
+def _bits(masks: pa.ChunkedArray, n: int) -> np.ndarray:
+    return (masks.to_numpy()[:, None] >> np.arange(n)) & 1
+
+
+def _reached(recall: np.ndarray) -> np.ndarray:
+    """The last point of the recall grid (k * 0.01) that a recall reaches."""
+    at = np.floor(recall * 100).astype(np.int64)
+    at += (at + 1) * 0.01 <= recall
+    at -= at * 0.01 > recall
+    return np.minimum(at, POINTS - 1)
+
 
-    `match` as from greedy_match; `npos` has cls, image_id, n; `weights` has image_id, the group and optionally w (1 if absent).
+def _range_maxima(thresholds: Sequence[float], group: str, by: Sequence[str]):
+    """From one range's detections and its groups' totals to the largest precision at each point of recall."""
+    n, names = len(thresholds), [group, *by, "thr", "at", "prec"]
+
+    def run(rows: pa.Table, before: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("score", "descending"), ("image_id", "ascending"), ("det_id", "ascending")])
+        tp, fp = _bits(rows["tp"], n), _bits(rows["fp"], n)
+        members = rows["members"].combine_chunks()
+        row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(members).to_numpy())
+        own = members.flatten()
+        place = pc.fill_null(pc.index_in(own.field("g"), before[group].combine_chunks()), -1).to_numpy()
+        weight = own.field("w").to_numpy()
+        found = []
+        for k in range(before.num_rows):
+            mine = np.flatnonzero(place == k)
+            hits, misses = (x[row[mine]] * weight[mine, None] for x in (tp, fp))
+            total = [before[c][k].as_py() for c in ("b_tp", "b_fp")]
+            hit, miss = total[0] + np.cumsum(hits, 0), total[1] + np.cumsum(misses, 0)
+            for i in range(n):
+                raised = np.flatnonzero(hits[:, i] > 0)
+                if len(raised):
+                    at = _reached(hit[raised, i] / before["npos"][k].as_py())
+                    starts = np.flatnonzero(np.diff(at, prepend=-1))  # recall only grows along the order
+                    best = np.maximum.reduceat(hit[raised, i] / (hit[raised, i] + miss[raised, i]), starts)
+                    found.append((np.full(len(starts), k), np.full(len(starts), thresholds[i]), at[starts], best))
+        k, thr, at, prec = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, t) for t in ("i8", "f8", "i8", "f8"))
+        keys = before.select([group, *by]).take(pa.array(k))
+        return pa.Table.from_arrays([*keys.columns, pa.array(thr), pa.array(at.astype(np.int32)), pa.array(prec)], names=names)
+
+    return run
+
+
+def ap_table(
+    match: DataFrame, npos: DataFrame, weights: DataFrame, thresholds: list[float], area: str = "all", group: str = "slice", by: Sequence[str] = ("cls",)
+) -> DataFrame:
+    """group, the columns of `by`, thr, ap for all classes with ground truth.
+
+    `match` as from greedy_match, and read several times; `npos` has cls, image_id, n; `weights` has image_id, the group and optionally w (1 if
+    absent). Further columns that `match` and `npos` share (a model, a size) may be named in `by`, and are told apart in the same pass.
     """
     if "w" not in weights.columns:
         weights = weights.withColumn("w", F.lit(1.0))
-    keys = [group, "cls"]
+    weights = weights.filter("w > 0").select("image_id", group, F.col("w").cast("double").alias("w"))
+    keys, n = [group, *by], len(thresholds)
     total = npos.join(weights, "image_id").groupBy(*keys).agg(F.sum(F.col("n") * F.col("w")).alias("npos")).filter("npos > 0")
-    k = range(len(thresholds))
-    rows = match.join(weights, "image_id").filter("w > 0").select(
-        *keys, "score", "image_id", "det_id", F.floor(F.col("score") * BINS).cast("int").alias("bin"),
-        *[(F.col("w") * F.col(area)[i]["tp"].cast("int")).alias(f"tp{i}") for i in k],
-        *[(F.col("w") * (~F.col(area)[i]["tp"] & ~F.col(area)[i]["ign"]).cast("int")).alias(f"fp{i}") for i in k],
-    )
-    sums = [f"{x}{i}" for x in ("tp", "fp") for i in k]
-    before = Window.partitionBy(*keys).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-    bins = rows.groupBy(*keys, "bin").agg(*[F.sum(c).alias(c) for c in sums])
-    bins = bins.select(*keys, "bin", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"b_{c}") for c in sums])
-    inside = Window.partitionBy(*keys, "bin").orderBy(F.desc("score"), "image_id", "det_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(bins, [*keys, "bin"]).join(total, keys)
-    rows = rows.select(*keys, "npos", *[F.when(F.col(f"tp{i}") + F.col(f"fp{i}") >= 0, F.col(f"b_{x}{i}") + F.sum(f"{x}{i}").over(inside)).alias(f"c_{x}{i}") for x in ("tp", "fp") for i in k])
-    points = F.array(*[F.struct(F.lit(t).alias("thr"), F.col(f"c_tp{i}").alias("tp"), F.col(f"c_fp{i}").alias("fp")) for i, t in enumerate(thresholds)])
-    rows = rows.select(*keys, "npos", F.explode(points).alias("p")).filter("p.tp + p.fp > 0")
-    rows = rows.select(*keys, F.col("p.thr").alias("thr"), (F.col("p.tp") / F.col("npos")).alias("rec"), (F.col("p.tp") / (F.col("p.tp") + F.col("p.fp"))).alias("prec"))
-    # the last point of the recall grid (i * 0.01) that this recall reaches
-    guess = F.floor(F.col("rec") * 100)
-    at = F.when((guess + 1) * 0.01 <= F.col("rec"), guess + 1).when(guess * 0.01 > F.col("rec"), guess - 1).otherwise(guess)
-    best = rows.groupBy(*keys, "thr", F.least(at, F.lit(POINTS - 1)).cast("int").alias("at")).agg(F.max("prec").alias("prec"))
+    members = weights.groupBy("image_id").agg(F.collect_list(F.struct(F.col(group).alias("g"), "w")).alias("members"))
+    outcome = [F.col(area)[k] for k in range(n)]
+    rows = match.select(*by, "score", "image_id", "det_id", _mask([o["tp"] for o in outcome]).alias("tp"), _mask([~o["tp"] & ~o["ign"] for o in outcome]).alias("fp"))
+    ranges = max(1, math.ceil(match.count() / RANGE))
+    rows = rows.join(members, "image_id").repartitionByRange(ranges, *by, F.desc("score"), "image_id", "det_id")
+    rows = stored(rows.withColumn("_range", F.spark_partition_id()))  # the ranges must not move between the two passes
+
+    sums = lambda c: F.array(*[F.sum(F.when(F.expr(f"getbit({c}, {k})") == 1, F.col("m.w")).otherwise(0.0)) for k in range(n)])
+    parts = rows.select(*by, "_range", "tp", "fp", F.explode("members").alias("m")).groupBy(*by, "_range", F.col("m.g").alias(group)).agg(sums("tp").alias("s_tp"), sums("fp").alias("s_fp"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    added = lambda c: F.array(*[F.coalesce(F.sum(F.col(c)[k]).over(earlier), F.lit(0.0)) for k in range(n)])
+    before = parts.select(*keys, "_range", added("s_tp").alias("b_tp"), added("s_fp").alias("b_fp")).join(total.withColumn("npos", F.col("npos").cast("double")), keys)
+    before = before.toDF(*before.columns)  # columns of its own, as both sides come from the same rows
+
+    types = {f.name: f.dataType for f in [*weights.schema, *rows.schema]}
+    schema = T.StructType([T.StructField(c, types[c]) for c in keys] + [T.StructField("thr", T.DoubleType()), T.StructField("at", T.IntegerType()), T.StructField("prec", T.DoubleType())])
+    maxima = rows.groupBy(*by, "_range").cogroup(before.groupBy(*by, "_range")).applyInArrow(_range_maxima(thresholds, group, by), schema)
+    best = maxima.groupBy(*keys, "thr", "at").agg(F.max("prec").alias("prec"))
     # each maximum holds for all points from the one after the next lower maximum's reach: a descending running maximum over at most 101 rows
     down = Window.partitionBy(*keys, "thr").orderBy(F.desc("at"))
     best = best.withColumns({"env": F.max("prec").over(down), "lower": F.coalesce(F.lead("at").over(down), F.lit(-1))})
@@ -59,7 +123,7 @@ def ap_table(match: DataFrame, npos: DataFrame, weights: DataFrame, thresholds:
     return all_thr.join(ap, [*keys, "thr"], "left").select(*keys, "thr", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
-def mean_ap(table: DataFrame, group: str = "slice") -> DataFrame:
-    """map, map50 and map75 of each group: means over classes with ground truth."""
+def mean_ap(table: DataFrame, *groups: str) -> DataFrame:
+    """map, map50 and map75 of each group (slice, if none is named): means over classes with ground truth."""
     at = lambda t: F.avg(F.when(F.abs(F.col("thr") - t) < 1e-9, F.col("ap")))
-    return table.groupBy(group).agg(F.avg("ap").alias("map"), at(0.5).alias("map50"), at(0.75).alias("map75"))
+    return table.groupBy(*(groups or ["slice"])).agg(F.avg("ap").alias("map"), at(0.5).alias("map50"), at(0.75).alias("map75"))

@@ -6,20 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.hashing import prefix
+from sightline.functions.lineage import stored
 from sightline.operators import tide
 
 MIN_SIDE = 2.0
 MAX_ERRORS, TP_SAMPLE = 6_000, 3_000
 
 
-def with_boxes(found: DataFrame, det: DataFrame, gt: DataFrame) -> DataFrame:
-    """Adds each record's own box: the detection's, or the missed ground truth's."""
-    box = lambda df, key: df.select("image_id", F.col(key).alias("own"), "x1", "y1", "x2", "y2")
-    made = found.filter("kind <> 'miss'").withColumn("own", F.col("det_id")).join(box(det, "det_id"), ["image_id", "own"])
-    missed = found.filter("kind = 'miss'").withColumn("own", F.col("box_id")).join(box(gt, "box_id"), ["image_id", "own"])
-    return made.unionByName(missed)
-
-
 def hash_order(seed: int, *keys: str) -> Column:
     """A uniform order of rows that does not depend on partitions: by hash, then by key."""
     return F.struct(prefix(F.concat_ws(":", F.lit(str(seed)), *keys)).alias("h"), *keys)
@@ -35,8 +28,8 @@ def mine(samples: DataFrame, det: DataFrame, gt: DataFrame, conf: float = 0.25,
 
     Errors weigh 1. A true positive weighs the inverse of the share that was sampled; capped errors are not reweighted.
     """
-    found = with_boxes(tide.records(samples, det, gt, conf), det, gt)
-    found = found.filter((F.col("kind") != "dupe") & (F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) >= MIN_SIDE))
+    found = tide.records(samples, det, gt, conf).withColumn("own", F.coalesce("det_id", "box_id"))
+    found = stored(found.filter((F.col("kind") != "dupe") & (F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) >= MIN_SIDE)))  # read for errors, true positives and their number
     errors = capped(found.filter("kind <> 'tp'"), max_errors, seed, "image_id", "kind", "own").withColumn("weight", F.lit(1.0))
     tps = found.filter("kind = 'tp'")
     total = tps.agg(F.count(F.lit(1)).alias("n_tp"))

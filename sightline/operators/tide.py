@@ -15,7 +15,11 @@ KINDS = ["tp", "dupe", "cls", "loc", "both", "bkg", "miss"]
 
 
 def records(samples: DataFrame, det: DataFrame, gt: DataFrame, conf: float = 0.25, t_fg: float = 0.5, t_bg: float = 0.1) -> DataFrame:
-    """image_id, kind, det_id, box_id (of a miss, or the box that cls, loc and both cover), cls, score, iou, gt_cls (-1: none), covered_by."""
+    """image_id, kind, det_id, box_id (of a miss, or the box that cls, loc and both cover), cls, score, iou, gt_cls (-1: none), covered_by,
+    and x1, y1, x2, y2 of the record's own box: the detection's, or the missed ground truth's.
+
+    All detections and boxes of one image are gathered to one row.
+    """
     rows = by_image(det.filter(F.col("score") >= conf), gt, None, samples)
     rows = fixed(fixed(rows, cs=candidates(t_fg)), taken=assign("cs", t_fg))
 
@@ -38,10 +42,11 @@ def records(samples: DataFrame, det: DataFrame, gt: DataFrame, conf: float = 0.2
     rows = fixed(
         rows,
         t=F.expr(
-            f"""transform(kinds, x -> struct(x.kind, x.det_id, x.cls, x.score,
+            f"""transform(kinds, (x, i) -> struct(x.kind, x.det_id, x.cls, x.score,
                 case x.kind when 'tp' then -x.hit_niou when 'dupe' then {si} when 'cls' then {oi} when 'loc' then {si} when 'both' then {oi} else greatest({si}, {oi}) end as iou,
                 case x.kind when 'tp' then x.hit when 'loc' then x.s.box_id when 'cls' then x.o.box_id when 'both' then x.o.box_id end as box_id,
-                case x.kind when 'tp' then x.cls when 'loc' then x.cls when 'cls' then x.o.cls when 'both' then x.o.cls else -1 end as gt_cls))"""
+                case x.kind when 'tp' then x.cls when 'loc' then x.cls when 'cls' then x.o.cls when 'both' then x.o.cls else -1 end as gt_cls,
+                ds[i].x1 as x1, ds[i].y1 as y1, ds[i].x2 as x2, ds[i].y2 as y2))"""
         ),
     )
     found = rows.select("image_id", F.explode("t").alias("x"), F.lit("").alias("covered_by"))
@@ -52,12 +57,12 @@ def records(samples: DataFrame, det: DataFrame, gt: DataFrame, conf: float = 0.2
         "image_id",
         F.struct(
             F.lit("miss").alias("kind"), F.lit(None).cast("long").alias("det_id"), F.col("g.cls").alias("cls"), F.lit(0.0).alias("score"),
-            F.coalesce(F.array_max(F.transform("ds", lambda d: iou(d, F.col("g")))), F.lit(0.0)).alias("iou"), F.col("g.box_id").alias("box_id"), F.col("g.cls").alias("gt_cls"),
+            F.coalesce(F.array_max(F.transform("ds", lambda d: iou(d, F.col("g")))), F.lit(0.0)).alias("iou"), F.col("g.box_id").alias("box_id"), F.col("g.cls").alias("gt_cls"), "g.x1", "g.y1", "g.x2", "g.y2",
         ).alias("x"),
         F.coalesce(F.get(F.filter("cover", lambda c: c["box_id"] == F.col("g.box_id")), F.lit(0))["kind"], F.lit("")).alias("covered_by"),
     )
     both = found.unionByName(missed)
-    return both.select("image_id", "x.kind", "x.det_id", "x.box_id", "x.cls", "x.score", "x.iou", "x.gt_cls", "covered_by")
+    return both.select("image_id", "x.kind", "x.det_id", "x.box_id", "x.cls", "x.score", "x.iou", "x.gt_cls", "covered_by", "x.x1", "x.y1", "x.x2", "x.y2")
 
 
 def summary(found: DataFrame, *groups: str) -> DataFrame:

@@ -52,7 +52,7 @@ def sql_summary(group: str = "") -> str:
 @plan("tide_records", sql_records("noisy") + " SELECT image_id, kind, coalesce(det_id, -1) AS det_id, coalesce(box_id, -1) AS box_id, cls, score, round(iou, 9) AS iou, gt_cls, covered_by FROM records")
 def tide_records(v: Views):
     found = tide.records(v.samples(), v.det("noisy"), v.gt())
-    return found.withColumns({"iou": F.round("iou", 9), "det_id": F.coalesce("det_id", F.lit(-1)), "box_id": F.coalesce("box_id", F.lit(-1))})
+    return found.drop("x1", "y1", "x2", "y2").withColumns({"iou": F.round("iou", 9), "det_id": F.coalesce("det_id", F.lit(-1)), "box_id": F.coalesce("box_id", F.lit(-1))})
 
 
 @plan("tide_summary", sql_records("baseline") + f" SELECT {sql_summary()} FROM records")

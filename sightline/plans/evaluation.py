@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sightline.functions.lineage import cut, stored
+from sightline.functions.lineage import stored
 from sightline.operators import average_precision as ap
 from sightline.operators import match
 from sightline.plans.oracle import IOU, views
@@ -112,6 +112,16 @@ def _ap(v: Views, model: str, thresholds: list[float], weights=None, area: str =
     return ap.ap_table(m, npos, weights if weights is not None else ap.slice_membership(v.samples()), thresholds, area)
 
 
+def _ap_of_models(v: Views, matches: dict):
+    """AP of several models, told apart by the column arm, over all slices in one pass."""
+    npos = match.positives(v.gt()).select("cls", "image_id", "n", F.explode(F.array(*map(F.lit, matches))).alias("arm"))
+    rows = None
+    for arm, m in matches.items():
+        m = m.withColumn("arm", F.lit(arm))
+        rows = m if rows is None else rows.unionByName(m)
+    return ap.ap_table(stored(rows), npos, ap.slice_membership(v.samples()), THRESHOLDS, by=["arm", "cls"])
+
+
 @plan("ap_table", views("samples", "gt", "det_baseline", recursive=True) + f", {sql_slices()}," + sql_match("baseline", THRESHOLDS) + f", {WEIGHTS}," + SQL_AP + " SELECT scope AS slice, cls, thr, round(ap, 9) AS ap FROM ap")
 def ap_table(v: Views):
     return _ap(v, "baseline", THRESHOLDS).withColumn("ap", F.round("ap", 9))
@@ -126,14 +136,11 @@ def map_by_slice(v: Views):
 @plan("map_by_size", views("gt", "det_baseline", recursive=True) + "," + sql_match("baseline", THRESHOLDS, ["small", "medium", "large"]) + ", weights AS (SELECT 'overall' AS scope, o_orderkey AS image_id FROM orders)," + SQL_AP + " SELECT area, round(avg(ap), 9) AS map FROM ap GROUP BY area")
 def map_by_size(v: Views):
     names = ["small", "medium", "large"]
-    m = cut(match.greedy_match(v.det(), v.gt(), THRESHOLDS, names))  # each area reads it
+    m = stored(match.greedy_match(v.det(), v.gt(), THRESHOLDS, names))
+    sized = m.select("image_id", "det_id", "cls", "score", F.inline(F.array(*[F.struct(F.lit(a).alias("area"), F.col(a).alias("result")) for a in names])))
     everyone = v.samples().select("image_id", F.lit("overall").alias("slice"))
-    out = None
-    for name in names:
-        t = ap.ap_table(m, match.positives(v.gt(), [name]).select("cls", "image_id", "n"), everyone, THRESHOLDS, name)
-        t = t.agg(F.round(F.avg("ap"), 9).alias("map")).select(F.lit(name).alias("area"), "map")
-        out = t if out is None else out.unionByName(t)
-    return out
+    t = ap.ap_table(sized, match.positives(v.gt(), names), everyone, THRESHOLDS, "result", by=["area", "cls"])
+    return t.groupBy("area").agg(F.round(F.avg("ap"), 9).alias("map"))
 
 
 @plan("summary_per_class", views("gt", "det_baseline", recursive=True) + "," + sql_match("baseline", THRESHOLDS) + ", weights AS (SELECT 'overall' AS scope, o_orderkey AS image_id FROM orders)," + SQL_AP + " SELECT cls, round(avg(ap), 9) AS ap, CAST(max(npos) AS BIGINT) AS n_gt FROM ap JOIN total USING (scope, area, cls) GROUP BY cls")
@@ -162,8 +169,5 @@ def _sql_arm(model: str) -> str:
 
 @plan("ablation", f"SELECT * FROM {_sql_arm('baseline')} UNION ALL SELECT * FROM {_sql_arm('candidate')}")
 def ablation(v: Views):
-    rows = None
-    for arm in ("baseline", "candidate"):
-        t = ap.mean_ap(_ap(v, arm, THRESHOLDS)).select(F.lit(arm).alias("arm"), "slice", "map")
-        rows = t if rows is None else rows.unionByName(t)
+    rows = ap.mean_ap(_ap_of_models(v, {arm: match.greedy_match(v.det(arm), v.gt(), THRESHOLDS) for arm in ("baseline", "candidate")}), "arm", "slice")
     return rows.groupBy("arm").pivot("slice", ["overall", "day", "night", "dawn"]).agg(F.round(F.first("map"), 9))

@@ -79,6 +79,26 @@ def test_average_precision_agrees_with_a_plain_loop(spark):
         assert got[c] == pytest.approx(np.mean([max(prec[rec >= i * 0.01], default=0) for i in range(101)]), abs=1e-9)
 
 
+def test_ranges_cut_ties_and_keep_models_apart(spark, monkeypatch):
+    monkeypatch.setattr(ap, "RANGE", 9)
+    det, gt = random_scene(6, 15)
+    det = [(*d[:7], round(d[7], 1)) for d in det]  # many equal scores, which a range may cut
+    d, g = frames(spark, det, gt)
+    m = match.greedy_match(d, g, [0.5, 0.75])
+    both = m.withColumn("arm", F.lit("all")).unionByName(m.filter("cls = 0").withColumn("arm", F.lit("one")))
+    npos = match.positives(g).select("cls", "image_id", "n", F.explode(F.array(F.lit("all"), F.lit("one"))).alias("arm"))
+    images = g.select("image_id").union(d.select("image_id")).distinct()
+    weights = images.select("image_id", F.explode(F.array(F.lit(0), F.lit(2))).alias("part")).filter("part = 0 or image_id % 2 = 0")
+    got = {(r.part, r.arm, r.cls, r.thr): r.ap for r in ap.ap_table(both, npos, weights, [0.5, 0.75], group="part", by=["arm", "cls"]).collect()}
+    assert len(got) == 8 * len({b[2] for b in gt})
+    for (part, arm, c, t), value in got.items():
+        mine = lambda x: x[2] == c and (part == 0 or x[0] % 2 == 0)
+        n, hits = sum(map(mine, gt)), plain_match(det, gt, t)
+        tp = np.cumsum([hits[d[0], d[1]][0] for d in sorted(filter(mine, det), key=lambda d: (-d[7], d[0], d[1])) if arm == "all" or c == 0])
+        rec, prec = tp / n, tp / np.arange(1, len(tp) + 1)
+        assert value == pytest.approx(np.mean([max(prec[rec >= i * 0.01], default=0) for i in range(101)]), abs=1e-9)
+
+
 def test_perfect_and_missing_detections(spark):
     gt = [(1, 0, 0, 0.0, 0.0, 10.0, 10.0), (1, 1, 1, 20.0, 20.0, 40.0, 40.0)]
     det = [(1, 0, 0, 0.0, 0.0, 10.0, 10.0, 0.9)]
