@@ -13,7 +13,7 @@ The head ends at its end tag, at the body, or at the first tag or text that no h
 the next block-level tag or at the end of its parent; scripts, styles and comments without end go to the end of the page.
 
 Defined cases: a null or empty page has the empty text; unclosed or stray tags never raise (an element that is still open
-at the end of its parent ends there); text without any markup is one block; repeated rows are extracted each; an
+at the end of its parent ends there); text without any markup is one block; a tag that the end of the page cuts off has no text; repeated rows are extracted each; an
 empty table gives no rows; `extract` keeps other columns unless they are named text or n_chars.
 """
 
@@ -34,7 +34,7 @@ from sightline.llm.common import table
 NAME = "op4_html_text"
 
 #: Elements whose content is no text of the page.
-SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title", "textarea", "select", "button", "datalist")
+SILENT = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "audio", "video", "title", "textarea", "select", "button", "datalist")
 #: Silent elements that never hold one of their own kind.
 FLAT = {"noscript", "iframe", "title", "textarea", "select", "button", "datalist"}
 #: Tags that a head may hold besides silent elements.
@@ -46,7 +46,9 @@ BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fi
 #: Elements that hold the article.
 ARTICLE = {"article", "main"}
 #: Elements that stay within a block.
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msub msup msubsup msqrt mroot mover munder".split())
+#: Headings, whose ids are made from their own words.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class, id or role that mark what is not the article.
 NAMES = re.compile(
@@ -74,9 +76,15 @@ LABELLED_BLOCKS = [
     (90, 0.00, 40, 0.00, 60, 0.00, 0, 0, 1), (45, 0.05, 30, 0.00, 25, 0.10, 0, 0, 1), (30, 0.00, 5, 0.00, 45, 0.00, 0, 0, 1), (18, 0.00, 60, 0.00, 40, 0.00, 0, 0, 1),
     (6, 0.00, 45, 0.00, 50, 0.00, 0, 0, 1), (4, 0.00, 38, 0.00, 44, 0.00, 0, 0, 1), (22, 0.10, 3, 1.00, 60, 0.00, 0, 0, 1), (70, 0.15, 2, 1.00, 3, 1.00, 0, 0, 1),
     (7, 0.00, 4, 1.00, 65, 0.00, 0, 0, 1), (25, 0.00, 70, 0.00, 6, 0.30, 0, 0, 1), (2, 0.00, 2, 1.00, 3, 1.00, 0, 0, 0), (1, 1.00, 1, 1.00, 1, 1.00, 0, 0, 0),
-    (3, 1.00, 2, 1.00, 4, 1.00, 0, 0, 0), (5, 0.60, 6, 1.00, 8, 0.50, 0, 0, 0), (4, 0.00, 5, 0.60, 3, 0.00, 0, 0, 0), (9, 0.00, 30, 0.00, 0, 0.00, 0, 0, 0),
-    (12, 0.20, 8, 0.50, 0, 0.00, 0, 0, 0), (6, 0.00, 7, 0.00, 5, 0.00, 0, 0, 0), (20, 0.70, 15, 0.80, 10, 1.00, 0, 0, 0), (35, 0.80, 50, 0.00, 30, 0.90, 0, 0, 0),
+    (3, 1.00, 2, 1.00, 4, 1.00, 0, 0, 0), (5, 0.60, 6, 1.00, 8, 0.50, 0, 0, 0), (4, 0.00, 5, 0.60, 3, 0.90, 0, 0, 0), (9, 0.00, 30, 0.00, 0, 0.00, 0, 0, 1),
+    (12, 0.20, 8, 0.70, 6, 0.80, 0, 0, 0), (6, 0.00, 7, 0.00, 5, 0.00, 0, 0, 1), (20, 0.70, 15, 0.80, 10, 1.00, 0, 0, 0), (35, 0.80, 50, 0.00, 30, 0.90, 0, 0, 0),
     (8, 1.00, 0, 0.00, 40, 0.00, 0, 0, 0), (3, 0.00, 0, 0.00, 2, 1.00, 0, 0, 0), (40, 0.00, 0, 0.00, 60, 0.00, 1, 0, 0), (80, 0.00, 70, 0.00, 40, 0.00, 1, 0, 0),
+    (3, 0.00, 4, 1.00, 2, 0.80, 0, 0, 0), (11, 0.00, 6, 0.90, 9, 1.00, 0, 0, 0), (2, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1), (20, 0.00, 35, 0.00, 0, 0.00, 0, 0, 1),
+    (5, 0.00, 0, 0.00, 8, 0.00, 0, 0, 1), (8, 0.00, 5, 0.00, 9, 0.00, 0, 0, 1), (9, 0.00, 8, 0.00, 0, 0.00, 0, 0, 1), (14, 0.00, 3, 1.00, 12, 0.00, 0, 0, 1),
+    (7, 0.10, 9, 1.00, 4, 1.00, 0, 0, 0), (6, 0.00, 40, 0.00, 4, 1.00, 0, 0, 1), (15, 0.00, 20, 0.00, 3, 1.00, 0, 0, 1), (2, 0.00, 3, 1.00, 2, 1.00, 0, 0, 0),
+    (60, 0.00, 40, 0.00, 3, 1.00, 1, 0, 0), (25, 0.00, 30, 0.00, 2, 1.00, 1, 1, 0), (80, 0.00, 60, 0.10, 5, 1.00, 1, 0, 0), (30, 0.00, 20, 0.00, 4, 0.90, 1, 0, 0),
+    (70, 0.00, 4, 1.00, 3, 1.00, 1, 0, 0), (5, 0.00, 10, 0.00, 4, 1.00, 0, 1, 1), (30, 0.00, 4, 1.00, 4, 1.00, 0, 1, 1), (12, 0.00, 8, 0.00, 6, 0.90, 0, 1, 1),
+    (3, 0.00, 2, 1.00, 2, 1.00, 0, 1, 1), (9, 0.00, 0, 0.00, 3, 1.00, 0, 1, 1), (60, 0.00, 12, 0.00, 3, 1.00, 0, 1, 1), (8, 0.10, 6, 1.00, 5, 1.00, 0, 1, 1),
     (12, 0.00, 20, 0.00, 5, 0.00, 1, 0, 0), (1, 1.00, 1, 1.00, 1, 1.00, 1, 0, 0), (9, 0.10, 80, 0.00, 0, 0.00, 1, 0, 0), (16, 0.00, 5, 1.00, 70, 0.00, 1, 0, 0),
 ]
 
@@ -111,12 +119,13 @@ def is_content(tree, row) -> bool:
     return bool(tree)
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, telling: tuple[str, ...] = ("class", "id", "role")) -> bool:
+    """Whether an element is hidden, or one of the `telling` attributes names what is no article."""
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = "".join(values)
         if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value.lower() == "true"):
             return True
-        if name.lower() in ("class", "id", "role") and NAMES.search(value):
+        if name.lower() in telling and NAMES.search(value):
             return True
     return False
 
@@ -293,6 +302,8 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
         if cut == len(text):
             break
         tag = page.tag(cut)
+        if not tag and _NAME.match(text, cut):  # the page's end cuts this tag off
+            break
         if not tag:  # a lone sign
             held.append("<")
             at = cut + 1
@@ -317,7 +328,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
                 k = _open_at(stack, name)
                 if k is not None:
                     leave(k)
-            is_marked = name in BOILERPLATE or ("=" in attributes or "hidden" in attributes) and name not in ("html", "body") and _marked(attributes)
+            is_marked = name in BOILERPLATE or ("=" in attributes or "hidden" in attributes) and name not in ("html", "body") and _marked(attributes, *([("class", "role")] if name in HEADINGS else []))
             holds = name in ARTICLE
             stack.append((name, bool(is_marked), holds))
             opened[name] += 1

@@ -1,11 +1,13 @@
 """Main text, URL verdicts and top-k search."""
 
+import itertools
 import math
 import random
 import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.llm import html_text, topk, url_filter
 
@@ -53,6 +55,34 @@ def test_text_ends_a_head():
     assert [b[0] for b in html_text.blocks("<head>stray <meta name=a></head>One")] == ["One"]
 
 
+def _words(n):
+    return " ".join(["word"] * n)
+
+
+@pytest.mark.parametrize(
+    "page,sizes",
+    [
+        ("".join(f"<div>{_words(k)}</div>" for k in (60, 30, 35, 20)), [60, 30, 35, 20]),
+        ("<h1>Head</h1><p>One two three four.<p>Five six seven.", [1, 4, 3]),
+        (f"<article><h2 id='social-impact'>Impact</h2><p>{_words(30)}<h2 id=search>Search</h2><p>{_words(20)} <math><mi>x</mi></math> is</article>", [1, 30, 1, 22]),
+        (f"<ul><li><a href=x>Home</a><li>News<li><a href=x>About us</a></ul><div>{_words(40)}</div><div>{_words(12)}</div><div><a href=x>a b</a></div><div>Top ten</div><div><a href=x>c</a></div>", [40, 12]),
+    ],
+)
+def test_blocks_stay_or_go_by_their_neighbours(page, sizes):
+    assert [len(b.split()) for b in html_text.main_text(page, html_text.train()).split("\n\n")] == sizes
+
+
+def test_the_tree_asks_for_the_links_of_neighbours():
+    def asked(tree):
+        return {html_text.FEATURES[tree[0]]} | asked(tree[2]) | asked(tree[3]) if isinstance(tree, tuple) else set()
+
+    tree = html_text.train()
+    assert {"links", "links_after", "words_before", "marked", "in_article"} <= asked(tree)
+    for words, links, before, after, beside in itertools.product((1, 20, 200), (0, 0.3), (0, 20), (0, 60), (0, 1)):
+        row = (words, links, before, beside, after, beside)
+        assert html_text.is_content(tree, (*row, 0, 1)) and not html_text.is_content(tree, (*row, 1, 0))
+
+
 def test_extract_keeps_columns(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
@@ -79,10 +109,32 @@ def test_rules(spark, url, host, path, rule):
     assert got.verdict == (dict(url_filter.RULES)[rule] if rule else "allow")
 
 
-def test_trees_separate_their_training_urls(spark):
-    labelled = url_filter.labelled_urls(spark)
-    got = url_filter.UrlModel(labelled, trees=3).blocked(labelled).collect()
-    assert np.mean([r.blocked == (r.label == 1) for r in got]) > 0.9
+@pytest.fixture(scope="module")
+def url_model(spark):
+    """Trained without the names whose hash is divisible by three."""
+    labelled = url_filter.labelled_urls(spark).withColumn("held_out", F.pmod(F.xxhash64("name"), F.lit(3)) == 0)
+    return url_filter.UrlModel(labelled.filter("not held_out")), labelled.filter("held_out")
+
+
+def test_trees_judge_names_they_have_not_seen(url_model):
+    model, held_out = url_model
+    got = model.blocked(held_out).collect()
+    assert len(got) > 500 and np.mean([r.blocked == (r.label == 1) for r in got]) > 0.9
+    weight = model.trees.featureImportances.toArray()
+    assert weight.max() < 0.7 and (weight > 0.01).sum() >= 5
+
+
+def test_urls_of_any_kind_are_judged(spark, url_model):
+    long = "http://a.org/" + "x/" * 50_000
+    rows = spark.createDataFrame([(1, long, "h"), (2, None, "h"), (3, "", "h"), (3, "", "h"), (4, "http://b.com/fr/1", None)], "depth long, url string, host string")
+    out = url_filter.judge(rows, url_filter.rules_table(spark), url_model[0])
+    assert out.columns == ["depth", "url", "host", "path", "rule", "verdict"]
+    got = out.collect()
+    assert sorted((r.depth, r.host, r.rule) for r in got if r.rule) == [(1, "a.org", "org/"), (4, "b.com", "com/fr/")]
+    assert len(got) == 5 and len({r.verdict for r in got if not r.host}) == 1
+    assert url_filter.judge(rows.limit(0), url_filter.rules_table(spark), url_model[0]).count() == 0
+    with pytest.raises(ValueError):
+        url_model[0].blocked(rows.withColumnRenamed("depth", "_lex_depth"))
 
 
 @pytest.mark.parametrize("scale", [1.0, 1e6, 1e13])
