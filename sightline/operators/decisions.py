@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.hashing import seeded, uniform
+from sightline.functions.quantiles import quantiles
 
 MIN_TARGET_GAIN, MAX_OVERALL_DROP, MAX_SLICE_DROP = 0.02, 0.005, 0.02
 
@@ -13,7 +14,7 @@ MIN_TARGET_GAIN, MAX_OVERALL_DROP, MAX_SLICE_DROP = 0.02, 0.005, 0.02
 def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """Population stability index of one column over the reference's quantile bins; 0 with fewer than two bins."""
     shares = [k / bins for k in range(bins + 1)]
-    edges = reference.agg(F.array_distinct(F.percentile(column, F.array(*map(F.lit, shares)))).alias("edges"))
+    edges = quantiles(reference, [], column, shares).select(F.array_distinct("quantiles").alias("edges"))
     rows = reference.select(F.col(column).alias("x"), F.lit(0).alias("cur")).unionByName(current.select(F.col(column).alias("x"), F.lit(1).alias("cur")))
     rows = rows.crossJoin(F.broadcast(edges))  # one row
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
@@ -64,8 +65,10 @@ def champion(history: DataFrame) -> DataFrame:
 
 def latency(samples: DataFrame, group: str, column: str, batch: int = 1) -> DataFrame:
     """p50, p90, p99, mean and throughput of each group."""
-    p = lambda q: F.percentile(column, F.lit(q))
-    return samples.groupBy(group).agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"), F.avg(column).alias("mean"), (batch * 1000.0 / F.avg(column)).alias("throughput"), F.count(F.lit(1)).alias("runs"))
+    means = samples.groupBy(F.struct(group).alias("g")).agg(F.avg(column).alias("mean"), (batch * 1000.0 / F.avg(column)).alias("throughput"), F.count(F.lit(1)).alias("runs"))
+    found = quantiles(samples, [group], column, (0.5, 0.9, 0.99)).select(F.struct(group).alias("g"), "quantiles")
+    rows = means.join(found, "g", "left")  # as structs, null groups meet too
+    return rows.select(f"g.{group}", *[F.get("quantiles", F.lit(i)).alias(p) for i, p in enumerate(("p50", "p90", "p99"))], "mean", "throughput", "runs")
 
 
 def trigger(reports: DataFrame) -> DataFrame:

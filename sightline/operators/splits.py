@@ -21,16 +21,22 @@ def group_key(image_id: str):
 def stratified_take(samples: DataFrame, n: int, seed: int, strata: tuple[str, ...] = STRATA) -> DataFrame:
     """Whole groups until at least n images, evenly over strata. A group's stratum is that of its first image.
 
-    Within a stratum groups go by hash; all groups then go by their place there, (i + 0.5) / n. Only one row a group is ranked,
-    and the running size is taken within bins of that place on top of the totals of the bins before.
+    Within a stratum groups go by hash; all groups then go by their place there, (i + 0.5) / n. Only one row a group is ranked, in bins of
+    the hash, so a stratum that holds most groups is many tasks' work; the running size is taken within bins of the place, on top of the bins before.
     """
     if n <= 0:
         return samples.limit(0)
     cells = [F.coalesce(F.col(c), F.lit("?")).alias(c) for c in strata]
     groups = samples.groupBy("group_id").agg(F.min_by(F.struct(*cells), "image_id").alias("cell"), F.count(F.lit(1)).alias("size"))
-    order = Window.partitionBy("cell").orderBy(seeded(seed, F.col("group_id")), "group_id")
-    count = F.count(F.lit(1)).over(Window.partitionBy("cell"))
-    groups = groups.withColumn("place", (F.row_number().over(order) - 0.5) / count).withColumn("bin", F.floor(F.col("place") * 256).cast("int"))
+    # places in a stratum: within bins of the hash, on top of the groups in the bins before
+    groups = groups.withColumn("hash", seeded(seed, F.col("group_id"))).withColumn("slot", F.substring("hash", 1, 2))
+    whole = Window.partitionBy("cell")  # 256 rows a stratum
+    earlier = whole.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = groups.groupBy("cell", "slot").agg(F.count(F.lit(1)).alias("held"))
+    slots = slots.select("cell", "slot", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("above"), F.sum("held").over(whole).alias("count"))
+    order = Window.partitionBy("cell", "slot").orderBy("hash", "group_id")
+    groups = groups.join(F.broadcast(slots), ["cell", "slot"]).withColumn("place", (F.col("above") + F.row_number().over(order) - 0.5) / F.col("count"))
+    groups = groups.drop("hash", "slot", "above", "count").withColumn("bin", F.floor(F.col("place") * 256).cast("int"))
     groups = groups.withColumn("tie", seeded(seed + 1, F.col("group_id")))
     before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows
     bins = groups.groupBy("bin").agg(F.sum("size").alias("in_bin")).select("bin", F.coalesce(F.sum("in_bin").over(before), F.lit(0)).alias("in_bins"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions.decimals import fixed
 from sightline.schema import CLASSES
 
 
@@ -47,11 +48,9 @@ def digest(samples: DataFrame, gt: DataFrame, parts: int = 256) -> DataFrame:
 
 
 def label_lines(samples: DataFrame, gt: DataFrame, decimals: int = 6) -> DataFrame:
-    """image_id and its label text: class, centre and size relative to the image (ties in the last decimal go up), a line a box."""
+    """image_id and its label text: class, centre and size relative to the image (exact halves in the last decimal go to even), a line a box."""
     rows = gt.join(samples.select("image_id", "width", "height"), "image_id")
-    text = F.format_string(
-        "%d" + f" %.{decimals}f" * 4, F.col("cls"), (F.col("x1") + F.col("x2")) / 2 / F.col("width"), (F.col("y1") + F.col("y2")) / 2 / F.col("height"),
-        (F.col("x2") - F.col("x1")) / F.col("width"), (F.col("y2") - F.col("y1")) / F.col("height"),
-    )
+    of = lambda x, side: fixed(F.expr(x) / F.col(side), decimals)
+    text = F.concat_ws(" ", F.col("cls").cast("string"), of("(x1 + x2) / 2", "width"), of("(y1 + y2) / 2", "height"), of("x2 - x1", "width"), of("y2 - y1", "height"))
     held = rows.groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("box_id", text.alias("t")))), lambda x: x["t"]), "\n").alias("labels"))
     return samples.select("image_id").join(held, "image_id", "left").select("image_id", F.coalesce("labels", F.lit("")).alias("labels"))

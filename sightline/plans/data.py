@@ -106,7 +106,7 @@ def digest(v: Views):
     return validation.digest(v.samples(), v.gt())
 
 
-@plan("label_lines", views("samples", "gt") + """ SELECT s.image_id, coalesce(string_agg(printf('%d %.9f %.9f %.9f %.9f', cls, (x1 + x2) / 2 / 1280, (y1 + y2) / 2 / 720, (x2 - x1) / 1280, (y2 - y1) / 720), chr(10) ORDER BY box_id), '') AS labels
+@plan("label_lines", views("samples", "gt") + """ SELECT s.image_id, coalesce(string_agg(printf('%d %.6f %.6f %.6f %.6f', cls, (x1 + x2) / 2 / 1280, (y1 + y2) / 2 / 720, (x2 - x1) / 1280, (y2 - y1) / 720), chr(10) ORDER BY box_id), '') AS labels
 FROM samples s LEFT JOIN gt ON gt.image_id = s.image_id GROUP BY s.image_id""")
 def label_lines(v: Views):
-    return validation.label_lines(v.samples(), v.gt(), 9)  # at nine decimals these coordinates need no rounding
+    return validation.label_lines(v.samples(), v.gt())

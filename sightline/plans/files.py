@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import functions as F
 
-from sightline.functions.lineage import shared_folder
+from sightline.functions.lineage import remove, shared_folder
 from sightline.operators import decisions, modes
 from sightline.plans.data import sql_take
 from sightline.plans.failures import ITEMS, _items
@@ -29,7 +30,9 @@ def plan(name: str, sql: str | None = None):
 
 
 def _folder(v: Views, name: str) -> str:
-    return f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, v.spark, path)
+    return path
 
 
 @plan(
