@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline.functions import files
 from sightline.functions.hashing import seeded
 from sightline.functions.lineage import cut
+from sightline.functions.ordering import numbered
 from sightline.operators.validation import digest
 
 STRATA = ("timeofday", "weather")
@@ -91,6 +92,12 @@ def make_splits(samples: DataFrame, sizes: dict[str, dict[str, int]], seed: int
     return out
 
 
+def canonical(splits: DataFrame, seed: int = 2026) -> DataFrame:
+    """Adds pos, an image's place in its split: the golden set by image, so that paired comparisons line up, and the others by hash."""
+    key = F.when(F.col("split") == "golden", F.lit("")).otherwise(seeded(seed + 40, F.col("image_id")))
+    return numbered(splits, "split", key, "image_id")
+
+
 def check_disjoint(splits: DataFrame, samples: DataFrame) -> DataFrame:
     """Groups that lie in more than one split, with those splits."""
     rows = splits.join(samples.select("image_id", "group_id"), "image_id")

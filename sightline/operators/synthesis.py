@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.hashing import uniform
 from sightline.operators.match import iou
+from sightline.schema import CLASSES, FALLBACK_CONDITIONS, PROMPT_END, PROMPT_RECIPES, PROMPT_SCENES, PROMPT_START, PROMPT_UNWANTED, PROMPT_UNWANTED_IN
 
 MIN_CLIP, MIN_TARGET, MIN_BOX_PASS = 0.22, 0.6, 0.5
 MIN_SIDE, IOU_SOURCE, IOU_GENERATED = 24.0, 0.5, 0.4
@@ -97,3 +98,35 @@ def select_real(pool: DataFrame, allocation: list[dict], n: int) -> DataFrame:
     rest = left.orderBy("pos").limit(n).select("image_id", "pos", F.lit("top-up").alias("why"))
     both = chosen.withColumn("_late", F.lit(0)).unionByName(rest.withColumn("_late", F.lit(1))) if chosen is not None else rest.withColumn("_late", F.lit(0))
     return both.orderBy("_late", "pos").limit(max(n, sum(a["quota"] for a in allocation))).drop("_late", "pos")
+
+
+def _looked_up(values: dict, key: str) -> Column:
+    """The value of a column's key; null for others."""
+    value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    return F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), value(v))]), F.col(key))
+
+
+def prompts(rows: DataFrame, key: Column, seed: int = 1234) -> DataFrame:
+    """Adds prompt and negative_prompt for each row's condition and scene; the recipe is chosen by a hash of the key. A scene without words is a city street.
+
+    A condition without a recipe raises.
+    """
+    recipes = F.coalesce(_looked_up(PROMPT_RECIPES, "condition"), F.raise_error(F.concat(F.lit("no recipe for the condition "), F.coalesce("condition", F.lit("null")))))
+    recipe = F.get(recipes, F.floor(uniform(seed, key) * F.size(recipes)).cast("int"))
+    scene = F.coalesce(_looked_up(PROMPT_SCENES, "scene"), F.lit(PROMPT_SCENES["city_street"]))
+    wanted = F.concat(F.lit(f"{PROMPT_START} "), scene, F.lit(" "), recipe, F.lit(f", {PROMPT_END}"))
+    return rows.withColumns({"prompt": wanted, "negative_prompt": F.concat_ws(", ", F.lit(PROMPT_UNWANTED), _looked_up(PROMPT_UNWANTED_IN, "condition"))})
+
+
+def fallback_targets(violations: DataFrame) -> DataFrame:
+    """Targets from slices (a column slice) below their service level, for conditions that images can be made for: cars and pedestrians, with one excess error each."""
+    rows = violations.filter(F.col("slice").isin(*FALLBACK_CONDITIONS))
+    classes = F.array(*[F.lit(CLASSES.index(c)) for c in ("car", "pedestrian")])
+    name = F.concat(F.lit("SLO slice "), "slice", F.lit(" (fallback)"))
+    return rows.select(F.lit(None).cast("int").alias("cluster"), _looked_up(FALLBACK_CONDITIONS, "slice").alias("condition"), classes.alias("classes"), F.lit(1.0).alias("excess_errors"), name.alias("name"))
+
+
+def targets_or_fallback(targets: DataFrame, violations: DataFrame) -> DataFrame:
+    """The targets, or, where there is none, those of the violated slices. Both have cluster, condition, classes, excess_errors, name."""
+    one = targets.limit(1).select(F.lit(True).alias("_any"))
+    return targets.unionByName(fallback_targets(violations).join(F.broadcast(one), F.col("_any"), "left_anti"))

@@ -67,6 +67,11 @@ def make_splits(v: Views):
     return _splits(v)
 
 
+@plan("canonical_splits", sql_splits() + f""" SELECT image_id, split, row_number() OVER (PARTITION BY split ORDER BY CASE WHEN split = 'golden' THEN '' ELSE substr(sha256('{SEED + 40}:' || image_id), 1, 16) END, image_id) - 1 AS pos FROM splits""")
+def canonical_splits(v: Views):
+    return splits.canonical(_splits(v), SEED).select("image_id", "split", "pos")
+
+
 @plan("check_disjoint", sql_splits() + " SELECT group_id, count(DISTINCT split) AS n FROM splits JOIN samples USING (image_id) GROUP BY group_id HAVING count(DISTINCT split) > 1")
 def check_disjoint(v: Views):
     return splits.check_disjoint(_splits(v), v.samples()).select("group_id", F.size("splits").cast("long").alias("n"))

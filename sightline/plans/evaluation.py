@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sightline.functions.decimals import fixed
 from sightline.functions.lineage import stored
 from sightline.operators import average_precision as ap
-from sightline.operators import match
+from sightline.operators import match, report
 from sightline.plans.oracle import IOU, views
 from sightline.schema import AREAS, GATED_IMAGES, SLICES, THRESHOLDS
 from sightline.sources.tables import Views
@@ -162,6 +163,23 @@ def eval_gated(v: Views):
     return out.join(images, "slice").join(boxes, "slice").withColumn("gated", F.col("n_images") >= GATED_IMAGES)
 
 
+_SIZES = [a for a in AREAS if a != "all"]
+
+
+@plan("evaluation", views("samples", "gt", "det_baseline", recursive=True) + f", {sql_slices()}," + sql_match("baseline", THRESHOLDS, list(AREAS)) + f", {WEIGHTS}," + SQL_AP + f""",
+m AS (SELECT scope AS slice, round(avg(ap) FILTER (WHERE area = 'all'), 9) AS map, round(avg(ap) FILTER (WHERE area = 'all' AND thr = 0.5e0), 9) AS map50, round(avg(ap) FILTER (WHERE area = 'all' AND thr = 0.75e0), 9) AS map75,
+    {", ".join(f"round(avg(ap) FILTER (WHERE area = '{a}'), 9) AS map_{a}" for a in _SIZES)} FROM ap GROUP BY scope),
+k AS (SELECT scope AS slice, cls, avg(ap) AS ap FROM ap WHERE area = 'all' GROUP BY scope, cls),
+p AS (SELECT slice, string_agg(printf('%d:%.6f', cls, ap), ',' ORDER BY cls) AS per_class FROM k GROUP BY slice),
+c AS (SELECT slice, count(*) AS n_images FROM slices GROUP BY slice), b AS (SELECT slice, count(*) AS n_gt FROM slices JOIN gt USING (image_id) GROUP BY slice)
+SELECT slice, map, map50, map75, {", ".join(f"map_{a}" for a in _SIZES)}, per_class, n_images, n_gt, n_images >= {GATED_IMAGES} AS gated FROM m JOIN p USING (slice) JOIN c USING (slice) JOIN b USING (slice)""")
+def evaluation(v: Views):
+    """The whole summary of every slice, a row each, from one match and one pass over all areas."""
+    rows = report.summary(v.det(), v.gt(), ap.slice_membership(v.samples()))
+    line = F.array_join(F.transform("per_class", lambda e: F.concat(e["cls"].cast("string"), F.lit(":"), fixed(e["ap"]))), ",")
+    return rows.withColumns({c: F.round(c, 9) for c in rows.columns if c.startswith("map")} | {"per_class": line})
+
+
 def _sql_arm(model: str) -> str:
     own = views("samples", "gt", f"det_{model}", recursive=True) + f", {sql_slices()}," + sql_match(model, THRESHOLDS) + f", {WEIGHTS}," + SQL_AP
     return f"(SELECT '{model}' AS arm, " + ", ".join(f"round(avg(ap) FILTER (WHERE scope = '{x}'), 9) AS {x}" for x in ("overall", "day", "night", "dawn")) + f" FROM ({own} SELECT * FROM ap))"

@@ -13,7 +13,7 @@ from sightline.plans.data import sql_take
 from sightline.plans.failures import ITEMS, _items
 from sightline.plans.oracle import views
 from sightline.schema import CLASSES, LABELS
-from sightline.sources import files
+from sightline.sources import files, publishing
 from sightline.sources.tables import Views
 
 QUERIES, SQL = {}, {}
@@ -132,3 +132,26 @@ def replay_sample(v: Views):
 def trigger(v: Views):
     rows = v.table("events").select("event_id", (F.col("value") > 50).alias("drifted"), (F.col("event_type") == "error").alias("violated"), (F.col("event_id") % 97 == 0).alias("forced"))
     return decisions.trigger(rows).select("event_id", F.array_join("reasons", ",").alias("reasons"), "triggered")
+
+
+@plan(
+    "published_run",
+    """WITH t AS (SELECT 'eval/' || event_type || '.json' AS file, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY event_type
+UNION ALL SELECT 'status.json', count(*), round(sum(value), 6) FROM events)
+SELECT *, '<workspace>/runs/' || file AS path, CASE WHEN file <> 'status.json' THEN 'best.pt' END AS weights, false AS with_pid FROM t""",
+)
+def published_run(v: Views):
+    """A run's evaluations by type of event and its status are written with a private note, published, and read back."""
+    run, target, home = _folder(v, "run"), _folder(v, "published"), "/home/someone/work space"
+    total = [F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 6).alias("total")]
+    found = v.table("events").groupBy(F.concat(F.lit("eval/"), "event_type", F.lit(".json")).alias("file")).agg(*total)
+    whole = v.table("events").agg(*total).select(F.lit("status.json").alias("file"), "events", "total")
+    path, model = F.concat(F.lit(f"{home}/runs/"), "file").alias("path"), F.struct(F.lit(f"{home}/weights/best.pt").alias("weights")).alias("model")
+    texts = found.select("file", F.to_json(F.struct("events", "total", path, model)).alias("text"))
+    texts = texts.unionByName(whole.select("file", F.to_json(F.struct(F.lit(4711).alias("pid"), "events", "total", path)).alias("text")))
+    texts = texts.unionByName(v.spark.range(1).select(F.lit("notes/private.json").alias("file"), F.lit("{}").alias("text")))
+    publishing.write_texts(texts, run)
+    publishing.publish(v.spark, run, target, {home: "<workspace>"})
+    schema = "events long, total double, path string, model struct<weights: string>"
+    rows = publishing.read_texts(v.spark, target).select("file", F.from_json("text", schema).alias("r"), F.contains("text", F.lit("pid")).alias("with_pid"))
+    return rows.select("file", "r.events", "r.total", "r.path", F.col("r.model.weights").alias("weights"), "with_pid")

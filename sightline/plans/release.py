@@ -11,7 +11,7 @@ from sightline.plans import resampling
 from sightline.plans.evaluation import SQL_AP, WEIGHTS, _ap, _ap_of_models, sql_match, sql_slices
 from sightline.plans.oracle import IOU, views
 from sightline.plans.resampling import TARGETS
-from sightline.schema import THRESHOLDS
+from sightline.schema import CLASSES, CONDITIONS, FALLBACK_CONDITIONS, PROMPT_END, PROMPT_RECIPES, PROMPT_SCENES, PROMPT_START, PROMPT_UNWANTED, PROMPT_UNWANTED_IN, THRESHOLDS
 from sightline.sources.tables import Views
 
 QUERIES, SQL = {}, {}
@@ -29,6 +29,10 @@ def plan(name: str, sql: str | None = None):
     return add
 
 
+def _sql_pick(column: str, values: dict) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {x!r}" for k, x in values.items()) + " END"
+
+
 def _targets(v: Views):
     rows = [F.struct(F.lit(t).alias("target"), F.lit(c).alias("condition"), F.lit(e).alias("excess_errors"), F.array(*map(F.lit, k)).alias("classes")) for t, c, e, k in ALLOC]
     return v.spark.range(1).select(F.inline(F.array(*rows)))
@@ -176,6 +180,23 @@ def slo_violations(v: Views):
     return decisions.slo_violations(ap.mean_ap(_ap(v, "baseline", THRESHOLDS)), SLOS).withColumn("map", F.round("map", 9))
 
 
+@plan("fallback_targets", f"""SELECT {_sql_pick("slice", FALLBACK_CONDITIONS)} AS condition, '{CLASSES.index("car")},{CLASSES.index("pedestrian")}' AS classes, 1.0e0 AS excess_errors,
+    'SLO slice ' || slice || ' (fallback)' AS name FROM ({SQL["slo_violations"]}) WHERE slice IN {tuple(FALLBACK_CONDITIONS)}""")
+def fallback_targets(v: Views):
+    none = v.spark.createDataFrame([], "cluster int, condition string, classes array<int>, excess_errors double, name string")
+    found = synthesis.targets_or_fallback(none, decisions.slo_violations(ap.mean_ap(_ap(v, "baseline", THRESHOLDS)), SLOS))
+    return found.select("condition", F.array_join(F.transform("classes", lambda c: c.cast("string")), ",").alias("classes"), "excess_errors", "name")
+
+
+@plan("prompts", views("samples") + f""", r AS (SELECT image_id, scene, {CONDITIONS}[image_id % {len(CONDITIONS)} + 1] AS condition, CAST(('0x' || substr(sha256('1234:' || image_id), 1, 8)) AS BIGINT) / 4294967296.0e0 AS u FROM samples),
+w AS (SELECT *, {_sql_pick("condition", PROMPT_RECIPES)} AS recipes FROM r)
+SELECT image_id, condition, '{PROMPT_START} ' || coalesce({_sql_pick("scene", PROMPT_SCENES)}, 'city street') || ' ' || recipes[CAST(floor(u * len(recipes)) AS INTEGER) + 1] || ', {PROMPT_END}' AS prompt,
+    '{PROMPT_UNWANTED}, ' || {_sql_pick("condition", PROMPT_UNWANTED_IN)} AS negative_prompt FROM w""")
+def prompts(v: Views):
+    condition = F.element_at(F.array(*map(F.lit, CONDITIONS)), (F.col("image_id") % len(CONDITIONS) + 1).cast("int"))
+    return synthesis.prompts(v.samples().withColumn("condition", condition), F.col("image_id")).select("image_id", "condition", "prompt", "negative_prompt")
+
+
 def _gate(v: Views):
     counts = ap.slice_membership(v.samples()).groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
     base, cand = (cut(match.greedy_match(v.det(m), v.gt(), THRESHOLDS)) for m in ("baseline", "candidate"))  # maps and bootstrap read them

@@ -53,6 +53,45 @@ CONDITION_ATTRS = {
     "snow": {"weather": "snowy"},
     "fog": {"weather": "foggy"},
 }
+# What prompts are put together from: a start, scenes, recipes of a condition, an end, and what is not wanted.
+PROMPT_START, PROMPT_END = "a realistic dashcam photo of a", "photorealistic, 4k, sharp focus, natural colors"
+PROMPT_SCENES = {
+    "city_street": "city street",
+    "highway": "highway",
+    "residential": "residential street",
+    "parking_lot": "parking lot",
+    "tunnel": "tunnel",
+    "gas_stations": "gas station",
+}
+PROMPT_RECIPES = {
+    "night": [
+        "at night, dark sky, street lights, glowing car headlights and red tail lights",
+        "at night, dimly lit, sodium street lamps, light reflections on the road",
+        "late at night, very dark, only headlights and shop lights illuminate the street",
+    ],
+    "dusk": [
+        "at dusk, twilight sky, low orange sun, long shadows, headlights on",
+        "at dawn, soft blue light, low contrast, street lights still on",
+    ],
+    "rain": [
+        "in heavy rain, wet reflective asphalt, raindrops on the windshield, grey sky",
+        "on a rainy evening, puddles, blurry reflections, spray from cars",
+    ],
+    "snow": ["in winter, snow on the road and sidewalks, falling snow, overcast", "during a snowstorm, snow-covered cars, white sky"],
+    "fog": ["in dense fog, hazy, low visibility, washed-out colors"],
+    "glare": ["at night with strong oncoming headlight glare, lens flare, bright light streaks"],
+}
+PROMPT_UNWANTED = "cartoon, painting, illustration, cgi, render, anime, deformed, lowres, text, watermark, logo, frame"
+PROMPT_UNWANTED_IN = {
+    "night": "daylight, sunny, blue sky, bright day",
+    "dusk": "midday, harsh noon sun",
+    "rain": "dry road, sunny",
+    "snow": "summer, green trees",
+    "fog": "clear sky, crisp",
+    "glare": "daylight, sunny",
+}
+# Slices that may stand in for targets, with the condition that images are made for.
+FALLBACK_CONDITIONS = {"night": "night", "dawn": "dusk", "rainy": "rain", "snowy": "snow"}
 
 BOX = T.StructType(
     [T.StructField("cls", T.IntegerType())]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.functions.files import exists
 from sightline.operators.splits import stratified_take
 from sightline.schema import CLASSES, LABELS, SAMPLE, TIMES_OF_DAY
 
@@ -111,6 +112,13 @@ def read_predictions(spark: SparkSession, path: str, model: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("model") == model).drop("model")
 
 
+def arm_extra(spark: SparkSession, path: str, arm: str, schema: T.StructType) -> DataFrame:
+    """The extra training samples of one arm, from a table partitioned by arm; none, if there is no such table or arm (a plain fine-tuning has none)."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("arm", T.StringType())])).parquet(path).filter(F.col("arm") == arm).drop("arm")
+
+
 def write_splits(splits: DataFrame, path: str) -> None:
     splits.write.mode("overwrite").partitionBy("split").parquet(path)
 

@@ -8,7 +8,7 @@ import pytest
 from sightline import plans
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["slice_counts", "match_area", "ap_table", "tide_records", "mining_weights", "stratified_take", "digest", "label_lines", "failure_modes", "allocate", "candidate_plan", "box_survival", "psi", "kid", "mmd2_observed", "registry_champion", "latency_stats", "monitor_windows", "manifest_round_trip", "nested_records", "predictions_round_trip", "split_scan", "cluster_counts", "cluster_examples", "cluster_means", "latest_runs", "drift_sample", "replay_sample", "trigger", "kid_subsets", "resumed_accept"]
+NAMES = ["slice_counts", "match_area", "ap_table", "tide_records", "mining_weights", "stratified_take", "digest", "label_lines", "failure_modes", "allocate", "candidate_plan", "box_survival", "psi", "kid", "mmd2_observed", "registry_champion", "latency_stats", "monitor_windows", "manifest_round_trip", "nested_records", "predictions_round_trip", "split_scan", "cluster_counts", "cluster_examples", "cluster_means", "latest_runs", "drift_sample", "replay_sample", "trigger", "kid_subsets", "resumed_accept", "published_run", "prompts", "canonical_splits", "evaluation", "fallback_targets"]
 
 
 @pytest.fixture(scope="module")
