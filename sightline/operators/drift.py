@@ -7,7 +7,6 @@ unequal lengths raise. A distance that lacks pairs (a window of fewer than two r
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -21,6 +20,10 @@ BLOCK = 256
 #: Values in a row of partial moments.
 CHUNK = 4096
 
+#: Odd steps of the keys, and the shifts and odd factors of the rounds that mix them in.
+SEED_STEP, REPLICATE_STEP = 48_271, 2_654_435_769
+MIX = ((16, 0x7FEB352D), (15, 0x846CA68B))
+
 _SUMS = ["sxx", "nxx", "syy", "nyy", "sxy", "nxy"]
 
 
@@ -56,24 +59,37 @@ def inverse_median(blocks: DataFrame) -> DataFrame:
     return medians.agg((1 / F.greatest(F.percentile("median", F.lit(0.5)), F.lit(1e-12))).alias("gamma"))
 
 
+def row_hash(vec_id: Column) -> Column:
+    """32 bits of a row's hash, as a long."""
+    return F.conv(F.substring(F.sha2(vec_id.cast("string"), 256), 1, 8), 16, 10).cast("long")
+
+
+def mixed(hashes: np.ndarray, seed: int, replicate: int) -> np.ndarray:
+    """32-bit hashes put in another order for each replicate: a key joins them and two rounds of shifts and products, each one to one, spread it."""
+    x = hashes ^ np.uint32((seed * SEED_STEP + replicate * REPLICATE_STEP) % 2**32)
+    for shift, factor in MIX:
+        x = (x ^ (x >> np.uint32(shift))) * np.uint32(factor)
+    return x ^ (x >> np.uint32(16))
+
+
 def _kernel_sums(blocks: DataFrame, gamma: float | None, permutations: int, seed: int) -> DataFrame:
     """replicate (0: the sides as they are) with sums of the kernel and numbers of pairs, within x, within y and across, over all blocks."""
 
     def sums(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["vec_id", "side"])
         k = np.exp(-rows["gamma"].iloc[0] * _distances(rows))
-        side, ids = rows["side"].to_numpy(), rows["vec_id"].tolist()
+        side, hashes = rows["side"].to_numpy(), rows["h"].to_numpy().astype(np.uint32)
         y = np.ones((len(rows), permutations + 1))
         y[:, 0] = side
         for r in range(1, permutations + 1):
-            hashes = np.frombuffer(b"".join(sha256(f"{seed}:{r}:{i}".encode()).digest()[:8] for i in ids), dtype=">u8")
-            y[np.argsort(hashes, kind="stable")[: (side == 0).sum()], r] = 0
+            y[np.argsort(mixed(hashes, seed, r), kind="stable")[: (side == 0).sum()], r] = 0
         x, own = 1 - y, np.diag(k)
         to_y, to_x = k @ y, k @ x
         nx, ny = x.sum(0), y.sum(0)
         values = [(x * to_x).sum(0) - own @ x, nx * (nx - 1), (y * to_y).sum(0) - own @ y, ny * (ny - 1), (x * to_y).sum(0), nx * ny]
         return pd.DataFrame({"replicate": np.arange(permutations + 1)} | dict(zip(_SUMS, values)))
 
+    blocks = blocks.withColumn("h", row_hash(F.col("vec_id")))  # one hash a row serves all permutations
     with_gamma = blocks.withColumn("gamma", F.lit(float(gamma))) if gamma else blocks.crossJoin(F.broadcast(inverse_median(blocks)))  # one row
     found = with_gamma.groupBy("block").applyInPandas(sums, "replicate int, " + ", ".join(f"{c} double" for c in _SUMS))
     return found.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in _SUMS])
@@ -166,8 +182,7 @@ def kid_subsets(x: DataFrame, y: DataFrame, subsets: int = 50, size: int = 200)
     counts = rows.agg(*[F.count_if(F.col("side") == s).alias(f"n{s}") for s in (0, 1)])  # one row
     counts = counts.withColumn("m", F.least(F.lit(size), "n0", "n1"))
     pairs = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in subset_orders(subsets)])
-    hashed = F.conv(F.substring(F.sha2(F.col("vec_id").cast("string"), 256), 1, 8), 16, 10).cast("long") % PRIME
-    rows = rows.withColumn("h", hashed).select("*", F.posexplode(pairs).alias("subset", "p")).withColumn("u", (F.col("h") * F.col("p.a") + F.col("p.b")) % PRIME)
+    rows = rows.withColumn("h", row_hash(F.col("vec_id")) % PRIME).select("*", F.posexplode(pairs).alias("subset", "p")).withColumn("u", (F.col("h") * F.col("p.a") + F.col("p.b")) % PRIME)
     # six deviations beyond the expected number, so that no subset lacks rows
     share = (F.col("m") + 6 * F.sqrt("m") + 10) / F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))
     rows = rows.crossJoin(F.broadcast(counts)).filter(F.col("u") <= share * PRIME).select("subset", "side", "u", "vec_id", "e", "m")

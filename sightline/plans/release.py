@@ -141,15 +141,26 @@ def mmd2_observed(v: Views):
     return drift.mmd2(*_windows(v)).select(F.round("mmd2", 9).alias("mmd2"))
 
 
+def _sql_xor(x: str, shift: int) -> str:
+    return f"xor({x}, {x} >> {shift}::UBIGINT)"
+
+
+def _sql_round(x: str, shift: int, factor: int) -> str:
+    return f"({_sql_xor(x, shift)} * {factor}::UBIGINT) & 4294967295::UBIGINT"
+
+
 PERMUTATIONS = 500
 SQL_MMD_TEST = SQL_MMD[: SQL_MMD.index("p AS (")] + f"""
 p AS MATERIALIZED (SELECT block, a.vec_id AS va, b.vec_id AS vb, {_D2} AS d2 FROM z a JOIN z b USING (block) WHERE a.vec_id < b.vec_id),
 g AS (SELECT 1 / greatest(median(m), 1e-12) AS gamma FROM (SELECT median(d2) AS m FROM p GROUP BY block)),
 k2 AS MATERIALIZED (SELECT va, vb, exp(-gamma * d2) AS v FROM p, g),
 n AS (SELECT block, count(*) FILTER (WHERE NOT cur) AS nx FROM z GROUP BY block),
+m0 AS (SELECT r, block, vec_id, cur, xor(CAST(('0x' || substr(sha256(CAST(vec_id AS VARCHAR)), 1, 8)) AS UBIGINT), CAST((r * {drift.REPLICATE_STEP}) % 4294967296 AS UBIGINT)) AS x0
+    FROM z, range(0, {PERMUTATIONS + 1}) t(r)),
+m1 AS (SELECT *, {_sql_round("x0", *drift.MIX[0])} AS x1 FROM m0), m2 AS (SELECT *, {_sql_round("x1", *drift.MIX[1])} AS x2 FROM m1),
 lab AS MATERIALIZED (SELECT r, vec_id, CASE WHEN r = 0 THEN cur::INT
-    ELSE (row_number() OVER (PARTITION BY r, block ORDER BY substr(sha256('0:' || r || ':' || vec_id), 1, 16), vec_id) > nx)::INT END AS c
-    FROM z JOIN n USING (block), range(0, {PERMUTATIONS + 1}) t(r)),
+    ELSE (row_number() OVER (PARTITION BY r, block ORDER BY {_sql_xor("x2", 16)}, vec_id) > nx)::INT END AS c
+    FROM m2 JOIN n USING (block)),
 s AS (SELECT r, a.c + b.c AS kind, avg(v) AS m FROM k2 JOIN lab a ON a.vec_id = va JOIN lab b USING (r) WHERE b.vec_id = vb GROUP BY r, a.c + b.c),
 t AS (SELECT r, sum(CASE WHEN kind = 1 THEN -2 * m ELSE m END) AS v FROM s GROUP BY r),
 o AS (SELECT v AS obs FROM t WHERE r = 0)

@@ -60,6 +60,32 @@ def test_permutations_tell_drift_from_none(spark, windows):
     assert halves.p_value > 0.01 and abs(halves.null_mean) < 0.02
 
 
+def test_permutations_are_those_of_the_mixed_hashes(spark, windows):
+    import hashlib
+
+    x, y, dx, dy = windows
+    ids, z = [*range(60), *range(1000, 1040)], np.vstack([x, y])
+    hashes = np.array([int(hashlib.sha256(str(i).encode()).hexdigest()[:8], 16) for i in ids], np.uint32)
+    rbf = lambda a, b: np.exp(-0.3 * ((a[:, None] - b[None]) ** 2).sum(2))
+    null = []
+    for r in range(1, 41):
+        order = np.argsort(drift.mixed(hashes, 5, r), kind="stable")
+        null.append(kernel_distance(z[order[:60]], z[order[60:]], rbf))
+    got = drift.mmd_test(dx, dy, 40, 0.3, seed=5).first()
+    observed = kernel_distance(x, y, rbf)
+    assert (got.mmd2, got.null_mean, got.null_p95) == (pytest.approx(observed, abs=1e-9), pytest.approx(np.mean(null), abs=1e-9), pytest.approx(np.quantile(null, 0.95), abs=1e-9))
+    assert got.p_value == pytest.approx((1 + sum(v >= observed for v in null)) / 41)
+
+
+def test_mixed_orders_are_like_drawn_ones():
+    hashes = np.random.default_rng(1).integers(0, 2**32, 200, dtype=np.uint32)
+    places = np.array([np.argsort(np.argsort(drift.mixed(hashes, 0, r))) for r in range(1, 501)])
+    # places of a row over permutations are even, and those of one permutation do not follow the next one's
+    assert abs(places.mean(0) - 99.5).max() < 15 and len(np.unique(places, axis=0)) == 500
+    assert max(abs(np.corrcoef(places[r], places[r + 1])[0, 1]) for r in range(499)) < 0.3
+    assert len(set(drift.mixed(np.arange(100_000, dtype=np.uint32), 3, 9).tolist())) == 100_000
+
+
 def test_edge_cases(spark, windows):
     x, _, dx, dy = windows
     none = frame(spark, [])
