@@ -38,16 +38,16 @@ def summary(det: DataFrame, gt: DataFrame, members: DataFrame) -> DataFrame:
     return rows.select("slice", *[c for c in maps.columns if c != "slice"], "n_images", "n_gt", "gated")
 
 
-def errors(samples: DataFrame, det: DataFrame, gt: DataFrame) -> DataFrame:
+def errors(samples: DataFrame, det: DataFrame, gt: DataFrame, conf: float = 0.25) -> DataFrame:
     """Error counts of all images (slice overall) and of each time of day, in one aggregate over the records."""
     times = {"overall": "true"} | {t: f"timeofday = '{t}'" for t in TIMES}
-    found = tide.records(samples, det, gt).join(average_precision.slice_membership(samples, times), "image_id")
+    found = tide.records(samples, det, gt, conf).join(average_precision.slice_membership(samples, times), "image_id")
     return tide.summary(found, "slice")
 
 
-def document(samples: DataFrame, det: DataFrame, gt: DataFrame) -> DataFrame:
+def document(samples: DataFrame, det: DataFrame, gt: DataFrame, conf: float = 0.25) -> DataFrame:
     """The summary of every slice, with the error counts (a struct `errors`) of those that have them."""
     rows = summary(det, gt, average_precision.slice_membership(samples))
-    counted = errors(samples, det, gt)
+    counted = errors(samples, det, gt, conf)
     held = counted.select("slice", F.struct(*[c for c in counted.columns if c != "slice"]).alias("errors"))
     return rows.join(held, "slice", "left")
