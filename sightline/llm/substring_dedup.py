@@ -82,7 +82,7 @@ class Piece:
         """Live document, place and both hashes of all windows that hold an anchor found elsewhere, in ascending order of places."""
         h = self.anchor_hashes()
         known, where, times = np.unique(h, return_inverse=True, return_counts=True)
-        again = ((exchange.read(known, buckets, *self.anchors, planes=1) > 0) | (times > 1))[where]
+        again = ((exchange.read(known, buckets, *self.anchors, planes=2) > 0) | (times > 1))[where]
         out, done = [], 0
         for a, words, at, doc in self.runs():
             hit = again[done : done + len(at)]

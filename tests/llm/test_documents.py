@@ -147,6 +147,15 @@ def test_substrings_agree_with_a_plain_scan(spark, docs, seed):
     assert substring_dedup.dedup(docs([])).count() == 0 == near_duplicates.join(docs([])).count()
 
 
+@pytest.mark.parametrize("holders", [3, 6, 20])
+def test_a_passage_goes_however_many_pieces_hold_it(spark, docs, monkeypatch, holders):
+    monkeypatch.setattr(substring_dedup.exchange, "PIECE_BYTES", 600)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(120)) + " " + passage) for i in range(holders)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup(docs(rows)).collect()}
+    assert got == {i: 60 if i else 0 for i in range(holders)}
+
+
 def test_rules_on_edge_cases(spark, docs):
     rows = [(1, None), (2, ""), (3, "a b"), (4, "# # x\n# # x\n\n" + "w " * 4), (5, " ".join(f"word{k}" for k in range(30)))]
     got = {r.doc_id: r for r in quality_rules.judge(docs(rows)).collect()}
