@@ -6,10 +6,12 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space that stands between white space (or at the end) belongs to a run that must stay whole.
 _RUN = re.compile(r"\s (?:\s|\Z)")
-#: Cached words a process, and bytes of them and their ids; beyond these the cache starts anew.
+#: Cached words a process, and bytes of them and their ids; beyond half of these the newer half of the cache becomes the older.
 CACHE, CACHE_BYTES = 700_000, 32 << 20
 
 
@@ -23,7 +25,8 @@ class ByteEncoder:
     """Encodes as the tokenizers library does, each distinct space-led word once.
 
     The pre-tokenizer of the vocabulary always cuts before a space that a non-space
-    follows, so the pieces between such cuts are encoded alone with the same ids. Texts with longer runs
+    follows, so the pieces between such cuts are encoded alone with the same ids. Arrow splits a batch and numbers its
+    distinct words, and numpy lays their ids out. Texts with longer runs
     of white space go to the library whole.
     """
 
@@ -42,6 +45,7 @@ class ByteEncoder:
         self.held = 0
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -50,25 +54,58 @@ class ByteEncoder:
         """The ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
         texts = [t or "" for t in texts]
         whole = [i for i, t in enumerate(texts) if _RUN.search(t)]
-        odd = set(whole)
-        words = [None if i in odd else t.split(" ") for i, t in enumerate(texts)]
-        if len(self.later) + len(self.first) > CACHE or self.held > CACHE_BYTES:
-            self.first.clear()
-            self.later.clear()
-            self.held = 0
-        seen = [w for w in words if w is not None]
-        self._learn(self.first, list({w[0] for w in seen} - self.first.keys()), "")
-        new: set[str] = set()
-        for w in seen:
-            new.update(w[1:])
-        new -= self.later.keys()
+        long = dict(zip(whole, self._bytes([texts[i] for i in whole]), strict=True)) if whole else {}
+        out = [long.get(i, b"") for i in range(len(texts))]
+        plain = [i for i in range(len(texts)) if i not in long]
+        if not plain:
+            return out
+        if len(self.later) + len(self.first) > CACHE // 2 or self.held > CACHE_BYTES // 2:
+            self.first, self.later, self.before, self.held = {}, {}, self.later, 0
+        split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+        bounds, words = split.offsets.to_numpy(), split.flatten()
+        starts = bounds[:-1]
+        openers = words.take(pa.array(starts)).to_pylist()
+        self._learn(self.first, list(set(openers) - self.first.keys()), "")
+        coded = words.dictionary_encode()
+        of, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        inner = np.ones(len(of), bool)
+        inner[starts] = False
+        used = np.flatnonzero(np.bincount(of[inner], minlength=len(known))).tolist()
+        parts = [b""] * len(known)
+        for k, ids in zip(used, self._later([known[k] for k in used]), strict=True):
+            parts[k] = ids
+        # each document's first word stands behind the others
+        of[starts] = len(known) + np.arange(len(plain))
+        parts += [self.first[w] for w in openers]
+        n = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        at, counts = (np.cumsum(n) - n)[of], n[of]
+        ends = np.cumsum(counts)
+        ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(at - (ends - counts), counts) + np.arange(int(ends[-1]))].tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[bounds]).tolist()
+        for k, i in enumerate(plain):
+            out[i] = ids[cuts[k] : cuts[k + 1]]
+        return out
+
+    def _later(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words behind a space; those in the older half of the cache move to the newer."""
+        out = list(map(self.later.get, words))
+        gone = [k for k, ids in enumerate(out) if ids is None]
+        new = []
+        for k in gone:
+            word = words[k]
+            ids = self.before.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                self.later[word] = ids
+                self.held += len(word) + len(ids)
         led = [w for w in new if w and not w[0].isspace()]
         self._learn(self.later, [w for w in new if not w or w[0].isspace()], " ")
         for at in range(0, len(led), 20_000):
             self._learn_joined(led[at : at + 20_000])
-        long = dict(zip(whole, self._bytes([texts[i] for i in whole]), strict=True)) if whole else {}
-        first, later = self.first, self.later
-        return [long[i] if w is None else first[w[0]] + b"".join([later[x] for x in w[1:]]) for i, w in enumerate(words)]
+        for k in gone:
+            out[k] = self.later[words[k]]
+        return out
 
     def _learn(self, cache: dict[str, bytes], words: list[str], lead: str) -> None:
         for at in range(0, len(words), 20_000):
