@@ -82,7 +82,7 @@ def _positives(npos: DataFrame, images: DataFrame, replicates: int, tasks: int)
             values = [v.tolist() for v in sums.values()]
             yield pa.RecordBatch.from_pydict({"slice": [s for s, _ in sums], "cls": pa.array([int(c) for _, c in sums], pa.int32()), "pos": pa.array(values, pa.list_(pa.float64()))})
 
-    rows = npos.join(images, "image_id").select("slice", F.col("cls").cast("int").alias("cls"), F.col("n").cast("long").alias("n"), "key").repartition(tasks, "key")
+    rows = npos.join(images.hint("merge"), "image_id").select("slice", F.col("cls").cast("int").alias("cls"), F.col("n").cast("long").alias("n"), "key").repartition(tasks, "key")
     parts = rows.mapInArrow(partial, "slice string, cls int, pos array<double>")
     added = parts.select("slice", "cls", F.posexplode("pos").alias("replicate", "pos")).groupBy("slice", "cls", "replicate").agg(F.sum("pos").alias("pos"))
     listed = added.groupBy("slice", "cls").agg(F.sort_array(F.collect_list(F.struct("replicate", "pos"))).alias("pos"))  # replicates + 1 values
@@ -94,7 +94,7 @@ def _chunked(matches: list[DataFrame], images: DataFrame, k: int, chunk_rows: in
     mask = lambda test: sum((F.when(test(i), F.lit(1 << i)).otherwise(0) for i in range(k)), F.lit(0)).cast("long")
     hit, ignored = lambda i: F.col("all")[i]["tp"], lambda i: F.col("all")[i]["ign"]
     sides = [
-        m.join(images, "image_id").select(F.lit(i).alias("model"), "slice", F.col("cls").cast("int").alias("cls"), "score", "image_id", "det_id", "key",
+        m.join(images.hint("merge"), "image_id").select(F.lit(i).alias("model"), "slice", F.col("cls").cast("int").alias("cls"), "score", "image_id", "det_id", "key",
             mask(hit).alias("tp"), mask(lambda j: ~hit(j) & ~ignored(j)).alias("fp"))
         for i, m in enumerate(matches)
     ]

@@ -99,6 +99,16 @@ def test_ranges_cut_ties_and_keep_models_apart(spark, monkeypatch):
         assert value == pytest.approx(np.mean([max(prec[rec >= i * 0.01], default=0) for i in range(101)]), abs=1e-9)
 
 
+def test_detections_are_not_broadcast(spark, monkeypatch):
+    plans, store = [], ap.stored
+    monkeypatch.setattr(ap, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df))
+    det, gt = frames(spark, *random_scene(3))
+    images = spark.createDataFrame([(i, "all") for i in range(30)], "image_id long, slice string")
+    matched = store(match.greedy_match(det, gt, [0.5]))
+    ap.ap_table(matched, match.positives(gt).select("cls", "image_id", "n"), images, [0.5])
+    assert len(plans) == 1 and "BroadcastHashJoin" not in plans[0] and "SortMergeJoin" in plans[0]
+
+
 def test_perfect_and_missing_detections(spark):
     gt = [(1, 0, 0, 0.0, 0.0, 10.0, 10.0), (1, 1, 1, 20.0, 20.0, 40.0, 40.0)]
     det = [(1, 0, 0, 0.0, 0.0, 10.0, 10.0, 0.9)]
