@@ -73,12 +73,18 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 def pack(items: DataFrame, length: str, capacity: int = CAPACITY, slack: int = SLACK, made_by=None, schema: T.StructType | None = None) -> DataFrame:
     """Adds sequence_id, sequence_offset and sequence_length to items of 1 to `capacity` tokens.
 
+    An item keeps its place in its bin beside it, and gets a new one when bins are packed together.
+
     With `made_by`, the rows of `items` become items of `schema` by that function of Arrow batches, in the tasks of the first round.
     """
     spark = items.sparkSession
     scratch = Scratch(spark, "packing")
     fields = T.StructType([T.StructField(f.name, f.dataType, True) for f in (schema or items.schema).fields])
-    binned = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("fill", T.IntegerType()), T.StructField("items", T.ArrayType(fields))])
+    place = "place"
+    while place in fields.names:
+        place += "_"
+    placed = T.StructType(fields.fields + [T.StructField(place, T.LongType())])
+    binned = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("fill", T.IntegerType()), T.StructField("items", T.ArrayType(placed))])
 
     def round_of(number: int, nested: bool):
         def run(batches):
@@ -115,10 +121,14 @@ def pack(items: DataFrame, length: str, capacity: int = CAPACITY, slack: int = S
             fill = np.bincount(bins, weights=fills[order], minlength=n).astype(np.int32)
             size = np.bincount(bins, weights=counts[order], minlength=n).astype(np.int64)
             first = np.concatenate([[0], np.cumsum(size)])
+            lengths = flat.field(length).to_numpy(zero_copy_only=False).astype(np.int64)[take]
+            at = np.cumsum(lengths) - lengths - np.repeat(np.cumsum(fill, dtype=np.int64) - fill, size)
             ids = (number << 56) + (TaskContext.get().partitionId() << 32) + made + np.arange(n, dtype=np.int64)
             for a in range(0, n, ROWS):
                 b = min(n, a + ROWS)
-                part = flat.take(pa.array(take[first[a] : first[b]]))
+                own = slice(first[a], first[b])
+                columns = flat.take(pa.array(take[own])).flatten()[: len(fields)]
+                part = pa.StructArray.from_arrays([*columns, pa.array(at[own])], names=placed.names)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(fill[a:b]), list_array(part, size[a:b])], names=["sequence_id", "fill", "items"])
 
         return run
@@ -141,23 +151,12 @@ def pack(items: DataFrame, length: str, capacity: int = CAPACITY, slack: int = S
     bins = done[0]
     for more in done[1:]:
         bins = bins.unionByName(more)
-    placed = T.StructType(fields.fields + [T.StructField("sequence_id", T.LongType()), T.StructField("sequence_offset", T.LongType()), T.StructField("sequence_length", T.LongType())])
-
-    def flatten(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held, fill = batch.column(2), batch.column(1).to_numpy().astype(np.int64)
-            for a in range(0, batch.num_rows, ROWS):
-                part, own = held.slice(a, ROWS), fill[a : a + ROWS]
-                counts = np.diff(part.offsets.to_numpy())
-                flat, of = part.flatten(), np.repeat(np.arange(len(counts)), counts)
-                size = flat.field(length).to_numpy(zero_copy_only=False).astype(np.int64)
-                before = np.cumsum(size) - size
-                at = before - np.repeat(np.cumsum(own) - own, counts)
-                yield pa.RecordBatch.from_arrays([*flat.flatten(), batch.column(0).slice(a, ROWS).take(pa.array(of)), pa.array(at), pa.array(own[of])], names=placed.names)
-
-    return bins.mapInArrow(flatten, placed)
+    # items leave their bins in Spark: whole bins need not pass through Arrow again
+    n = len(fields)
+    flat = bins.select("sequence_id", "fill", F.inline("items")).toDF(*[f"c{k}" for k in range(n + 3)])
+    order = [*range(2, n + 2), 0, n + 2, 1]
+    names = [*fields.names, "sequence_id", "sequence_offset", "sequence_length"]
+    return flat.select(*[F.col(f"c{k}").cast("long").alias(name) if k < 2 else F.col(f"c{k}").alias(name) for k, name in zip(order, names, strict=True)])
 
 
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool):

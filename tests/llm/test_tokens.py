@@ -84,3 +84,16 @@ def test_packing_goes_on_over_rounds_of_several_tasks(spark, monkeypatch):
         assert x.sequence_offset == bins.get(x.sequence_id, 0)
         bins[x.sequence_id] = x.sequence_offset + x.size
     assert max(bins.values()) <= 1000 and len(bins) <= 1.1 * sum(sizes) / 1000
+
+
+def test_whole_bins_leave_without_arrow(spark, docs):
+    rows = [(i, " ".join(f"w{k}" for k in range(1 + i % 7))) for i in range(40)]
+    packed = packing.pack_documents(docs(rows), capacity=16, with_ids=True)
+    assert "MapInArrow" not in packed._jdf.queryExecution().executedPlan().toString()
+    ends, seen = {}, 0
+    for r in sorted(packed.collect(), key=lambda r: (r.sequence_id, r.sequence_offset)):
+        assert r.sequence_offset == ends.get(r.sequence_id, 0) and len(r.ids) == 4 * r.length
+        ends[r.sequence_id] = r.sequence_offset + r.length
+        assert ends[r.sequence_id] <= r.sequence_length <= 16
+        seen += 1
+    assert seen >= 40
