@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.lineage import cut
 from sightline.operators.average_precision import POINTS
+from sightline.operators.match import masks
 
 #: P(w <= k) of Poisson(1), to where doubles end.
 CUMULATIVE = np.array([sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(17)])
@@ -91,12 +92,10 @@ def _positives(npos: DataFrame, images: DataFrame, replicates: int, tasks: int)
 
 def _chunked(matches: list[DataFrame], images: DataFrame, k: int, chunk_rows: int) -> DataFrame:
     """Detections with their chunk (0: the best scores) and, as bits of a number, the thresholds at which they are true or false."""
-    mask = lambda test: sum((F.when(test(i), F.lit(1 << i)).otherwise(0) for i in range(k)), F.lit(0)).cast("long")
-    hit, ignored = lambda i: F.col("all")[i]["tp"], lambda i: F.col("all")[i]["ign"]
     sides = [
         m.join(images.hint("merge"), "image_id").select(F.lit(i).alias("model"), "slice", F.col("cls").cast("int").alias("cls"), "score", "image_id", "det_id", "key",
-            mask(hit).alias("tp"), mask(lambda j: ~hit(j) & ~ignored(j)).alias("fp"))
-        for i, m in enumerate(matches)
+            tp.alias("tp"), fp.alias("fp"))
+        for i, (m, (tp, fp)) in enumerate((m, masks(m, "all", k)) for m in matches)
     ]
     rows = cut(functools.reduce(DataFrame.unionByName, sides))  # three passes read it, and none should match again
     cuts = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", F.array(*[F.lit(j / MAX_CHUNKS) for j in range(1, MAX_CHUNKS)]), MAX_CHUNKS).alias("all_cuts"))

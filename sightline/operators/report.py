@@ -20,7 +20,7 @@ def summary(det: DataFrame, gt: DataFrame, members: DataFrame) -> DataFrame:
     no number (null) and no classes.
     """
     areas = list(AREAS)
-    found = stored(match.greedy_match(det, gt, THRESHOLDS, areas))  # read for ranges and again inside them
+    found = stored(match.match_masks(det, gt, THRESHOLDS, areas))  # read for ranges and again inside them
     sized = found.select("image_id", "det_id", "cls", "score", F.inline(F.array(*[F.struct(F.lit(a).alias("area"), F.col(a).alias("result")) for a in areas])))
     table = average_precision.ap_table(sized, match.positives(gt, areas), members, THRESHOLDS, "result", by=["area", "cls"])
     # one row a slice, area and class, so classes and means come from one small aggregate

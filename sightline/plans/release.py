@@ -210,7 +210,7 @@ def prompts(v: Views):
 
 def _gate(v: Views):
     counts = ap.slice_membership(v.samples()).groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
-    base, cand = (cut(match.greedy_match(v.det(m), v.gt(), THRESHOLDS)) for m in ("baseline", "candidate"))  # maps and bootstrap read them
+    base, cand = (cut(match.match_masks(v.det(m), v.gt(), THRESHOLDS)) for m in ("baseline", "candidate"))  # maps and bootstrap read them
     intervals = resampling.deltas(v, base, cand).select("slice", "ci_low")
     maps = cut(ap.mean_ap(_ap_of_models(v, {"baseline": base, "candidate": cand}), "arm", "slice"))  # a row a model and slice; several checks read it
     before, after = (maps.filter(F.col("arm") == arm).select("slice", "map") for arm in ("baseline", "candidate"))

@@ -26,7 +26,7 @@ def deltas(v: Views, base: DataFrame, cand: DataFrame) -> DataFrame:
 
 def _bootstrap(spark, sf_dir):
     v = Views(spark, sf_dir)
-    out = deltas(v, *(match.greedy_match(v.det(m), v.gt(), THRESHOLDS) for m in ("baseline", "candidate")))
+    out = deltas(v, *(match.match_masks(v.det(m), v.gt(), THRESHOLDS) for m in ("baseline", "candidate")))
     return out.select("slice", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
 
 

@@ -52,7 +52,7 @@ def _intervals(t: Tables, folder: str, s: dict, spark: SparkSession) -> list[boo
     def make() -> DataFrame:
         npos = match.positives(t.gt).select("cls", "image_id", "n")
         images = average_precision.slice_membership(t.samples).filter(F.col("slice").isin(*s["gate.targets"], "overall"))
-        found = [stored(match.greedy_match(t.det[m], t.gt, THRESHOLDS)) for m in MODELS]
+        found = [stored(match.match_masks(t.det[m], t.gt, THRESHOLDS)) for m in MODELS]
         return bootstrap.bootstrap_delta(*found, npos, images, THRESHOLDS, s["gate.replicates"], s["gate.seed"], s["gate.level"])
 
     return [_once(f"{folder}/intervals", make, spark)]

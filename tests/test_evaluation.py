@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sightline.functions import partitions
 from sightline.operators import average_precision as ap
 from sightline.operators import match, tide
+from sightline.sources.tables import Views
 
 DET = "image_id long, det_id long, cls int, x1 double, y1 double, x2 double, y2 double, score double"
 GT = "image_id long, box_id long, cls int, x1 double, y1 double, x2 double, y2 double"
@@ -62,6 +64,30 @@ def test_greedy_match_agrees_with_a_plain_loop(spark, seed, area):
         assert {(r.image_id, r.det_id): (r[area][k].tp, r[area][k].ign) for r in got} == expected
 
 
+def test_crowds_are_walked_and_lone_pairs_are_not_told_apart(spark):
+    """Boxes that many detections share, box ids that are equal modulo 64, lone pairs beside them, and sizes."""
+    rng = np.random.default_rng(4)
+    det, gt = [], []
+    for i in range(12):
+        for k in range(5):
+            x, y = (float(rng.integers(0, 12)), 20.0) if i < 6 else (200.0 * k, 20.0)
+            gt.append((i, 64 * k, int(i % 3 == 0 and k % 2), x, y, x + 30 + 10 * k, y + 40))
+            for j in range(2 if i % 2 else 1):
+                det.append((i, 2 * k + j, int(i % 3 == 0 and k % 2), x + j, y - 1, x + 29 + 10 * k, y + 41, float(rng.integers(0, 6)) / 6))
+    thresholds = [0.5, 0.7, 0.95]
+    got = match.match_masks(*frames(spark, det, gt), thresholds, ["all", "small", "medium"]).collect()
+    for area in ("all", "small", "medium"):
+        for k, t in enumerate(thresholds):
+            assert {(r.image_id, r.det_id): (bool(r[area].tp >> k & 1), bool(r[area].ign >> k & 1)) for r in got} == plain_match(det, gt, t, *match.AREAS[area])
+
+
+def test_tasks_follow_the_rows_of_boxes(spark, monkeypatch):
+    monkeypatch.setattr(partitions, "ROWS", 500)
+    v = Views(spark, "/root/testdata/sf0.001")
+    n = -(-v.table("lineitem").count() // 500)
+    assert n > 4 and [f.rdd.getNumPartitions() for f in (v.gt(), v.det(), v.det("noisy"), match.match_masks(v.det(), v.gt()))] == [n] * 4
+
+
 def table(spark, det, gt, weights=None):
     d, g = frames(spark, det, gt)
     weights = weights if weights is not None else d.select("image_id").union(g.select("image_id")).distinct().withColumn("slice", F.lit("all"))
