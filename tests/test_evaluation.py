@@ -169,3 +169,9 @@ def test_duplicates_and_uncovered_misses(spark):
     samples = spark.createDataFrame([(1, 1, 200, 200, "day", "clear", "highway"), (2, 1, 200, 200, "day", "clear", "highway")], SAMPLES)
     s = tide.summary(tide.records(samples, d, g)).first()
     assert (s.tp, s.dupe, s.miss, s.miss_uncovered, s.precision, s.recall) == (1, 1, 1, 1, 0.5, 0.5)
+
+
+def test_images_are_walked_once_for_detections_and_misses(spark):
+    v = Views(spark, "/root/testdata/sf0.001")
+    plan = tide.records(v.samples(), v.det("noisy"), v.gt())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and plan.count("parquet") == 5  # images; detections, their images' status and false ones; boxes
