@@ -27,6 +27,6 @@ def fixed(x: Column, decimals: int = 6) -> Column:
     up = F.when(half & (error != 0), error > 0).when(half, below % 2 == 1).otherwise(twice - 2 * below > 1)
     n = below + up.cast("long")
     # the sign of a negative number stays, also where nothing else of it does; the text of -0.0 begins with it too
-    sign = F.when((x < 0) | (x.cast("string") == "-0.0"), "-").otherwise("")
+    sign = F.when((x < 0) | ((x == 0) & (x.cast("string") == "-0.0")), "-").otherwise("")
     text = F.concat(sign, F.floor(n / unit).cast("string"), F.lit("."), F.lpad((n % unit).cast("string"), decimals, "0"))
     return F.when(a < 1e9, text).otherwise(F.format_string(f"%.{decimals}f", x))

@@ -52,5 +52,7 @@ def label_lines(samples: DataFrame, gt: DataFrame, decimals: int = 6) -> DataFra
     rows = gt.join(samples.select("image_id", "width", "height"), "image_id")
     of = lambda x, side: fixed(F.expr(x) / F.col(side), decimals)
     text = F.concat_ws(" ", F.col("cls").cast("string"), of("(x1 + x2) / 2", "width"), of("(y1 + y2) / 2", "height"), of("x2 - x1", "width"), of("y2 - y1", "height"))
-    held = rows.groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("box_id", text.alias("t")))), lambda x: x["t"]), "\n").alias("labels"))
+    # text is made before the groups: inside an aggregate Spark would work out each repeated part of it again
+    rows = rows.select("image_id", "box_id", text.alias("t"))
+    held = rows.groupBy("image_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("box_id", "t"))), lambda x: x["t"]), "\n").alias("labels"))
     return samples.select("image_id").join(held, "image_id", "left").select("image_id", F.coalesce("labels", F.lit("")).alias("labels"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import partitions
 from sightline.operators import average_precision as ap
-from sightline.operators import match, tide
+from sightline.operators import match, tide, validation
 from sightline.sources.tables import Views
 
 DET = "image_id long, det_id long, cls int, x1 double, y1 double, x2 double, y2 double, score double"
@@ -175,3 +175,10 @@ def test_images_are_walked_once_for_detections_and_misses(spark):
     v = Views(spark, "/root/testdata/sf0.001")
     plan = tide.records(v.samples(), v.det("noisy"), v.gt())._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 2 and plan.count("parquet") == 5  # images; detections, their images' status and false ones; boxes
+
+
+def test_label_text_is_made_before_the_groups(spark):
+    v = Views(spark, "/root/testdata/sf0.001")
+    plan = validation.label_lines(v.samples(), v.gt())._jdf.queryExecution().optimizedPlan().toString()
+    gathers = next(line for line in plan.splitlines() if "collect_list" in line)
+    assert "floor" not in gathers.lower()
