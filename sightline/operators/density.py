@@ -1,8 +1,10 @@
 """Density clusters of vectors, exactly and without all pairs in one task.
 
-1. Tiles of at most some `TILE` vectors are compared pair by pair of tiles. A row's distance to its `min_samples`-th nearest row, itself included, is its core distance.
-2. Two rows are as far apart as the largest of their distance and both core distances. Each pair of tiles gives the least spanning tree of its rows: every edge of
-   the whole tree lies in one of these, so the tree of their union is the whole tree. Rounds of joins find it: each component takes its shortest edge out.
+1. Rows are dealt to blocks. Each block meets all others, and keeps the `KEPT` nearest rows of each of its rows, itself included. The `min_samples`-th distance is a
+   row's core distance. Most pairs are dismissed by one matrix product; only those that may be nearer than the nearest so far are measured.
+2. Two rows are as far apart as the largest of their distance and both core distances. The least spanning tree grows by rounds in which each component but the largest
+   takes its shortest edge out. The kept neighbours name a candidate; it is certain if all rows beyond the kept ones are farther. Only rows for which they might be
+   nearer, mostly few, are compared with all rows again.
 3. Clusters grow along the tree's edges in their order, a bounded range of edges at a time. A component below `min_cluster_size` rows is no cluster; when it reaches
    that size or meets a cluster, its rows enter there, and when two clusters meet, both end in a new one.
 4. A cluster's stability is the sum over its rows of the range of inverse distances in which they belong to it. Clusters are chosen that are more stable than all below
@@ -23,9 +25,13 @@ from pyspark.sql import functions as F
 from sightline.functions.lineage import stored
 from sightline.functions.vectors import clean, matrix, width
 
-#: Vectors in a tile, about; edges of the tree in a range, about.
-TILE, EDGES = 1024, 200_000
+#: Vectors in a tile, about (the tree of two tiles needs no rounds); tiles of a block; edges of the tree in a range, about.
+TILE, BLOCK, EDGES = 1024, 8, 200_000
+#: Nearest rows that are kept of each row, at least; blocks that a group meets in one task, at most; rows compared with rows at a time.
+KEPT, RUN, PART = 32, 64, (512, 2048)
 TINY = 1e-150
+#: One product of two parts, used again by each task's process.
+_ROOM = np.empty(PART[0] * PART[1])
 
 _EDGES = "a long, b long, w double"
 _STEP = "kind int, label long, to long, size long, cluster long, parent long, w double"
@@ -58,32 +64,113 @@ def _pack(rows: DataFrame, tiles: int) -> DataFrame:
     return dealt.groupBy("tile").applyInArrow(pack, "tile long, ids binary, x binary")
 
 
-def _paired(held: DataFrame, tiles: int, own: bool) -> DataFrame:
-    """All columns of the tiles i and j > i (also of i = j, if `own`), as l_* and r_*."""
-    numbers = held.select(F.col("tile").alias("i"))
-    pairs = numbers.select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("j")).filter("i <= j" if own else "i < j")
-    side = lambda c, s: held.select(F.col("tile").alias(c), *[F.col(x).alias(f"{s}_{x}") for x in held.columns if x != "tile"])
-    return pairs.join(side("j", "r"), "j").join(side("i", "l"), "i")
+def _blocks(rows: DataFrame, n: int, size: int) -> tuple[DataFrame, int]:
+    """Rows (node, e and numbers) in blocks of some `size`, their columns as bytes, and the number of blocks."""
+    names, many = [c for c in rows.columns if c not in ("node", "e")], max(1, -(-n // size))
 
-
-def _cores(held: DataFrame, tiles: int, dim: int, samples: int) -> DataFrame:
-    """tile and core: the core distances of its rows, in order."""
-
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                l, m = (np.frombuffer(r[c]).reshape(-1, dim) for c in ("l_x", "r_x"))  # noqa: E741
-                d = np.stack([_from_one(m, x) for x in l])
-                sides = [(r["i"], d)] if r["i"] == r["j"] else [(r["i"], d), (r["j"], d.T)]
-                for tile, near in sides:
-                    near = np.partition(near, min(samples, near.shape[1]) - 1, axis=1)[:, :samples]
-                    lists = pa.array(list(near), pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([tile] * len(near), pa.int64()), pa.array(range(len(near)), pa.int32()), lists], names=["tile", "at", "near"])
-
-    near = _paired(held.select("tile", "x"), tiles, True).select("i", "j", "l_x", "r_x").mapInArrow(run, "tile long, at int, near array<double>")
-    every = F.sort_array(F.flatten(F.collect_list("near")))  # `min_samples` numbers from each tile
-    core = near.groupBy("tile", "at").agg(every.alias("near")).select("tile", "at", F.col("near")[F.least(F.lit(samples), F.size("near")) - 1].alias("core"))
-    return core.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("at", "core")))["core"].alias("core"))
+    def pack(got: pa.Table) -> pa.Table:
+        columns = [got["node"].to_numpy().tobytes(), matrix(got["e"].combine_chunks()).tobytes(), *[got[c].to_numpy().tobytes() for c in names]]
+        return pa.table([got["block"][:1], *[pa.array([c], pa.binary()) for c in columns]], names=["block", "node", "e", *names])
+
+    ddl = ", ".join(["block long", *[f"{c} binary" for c in ("node", "e", *names)]])
+    return stored(rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(many))).groupBy("block").applyInArrow(pack, ddl)), many
+
+
+def _met(queries: DataFrame, groups: int, blocks: DataFrame, many: int, run, ddl: str) -> DataFrame:
+    """`run` over each group of queries and each run of blocks: group and run with what it returns."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    length = max(1, min(RUN, groups * many // (4 * cores)))
+    runs = -(-many // length)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.withColumnRenamed("block", "group").select("*", every(runs).alias("run"))
+    right = blocks.withColumn("run", F.floor(F.col("block") / length)).select("*", every(groups).alias("group"))
+    right = right.toDF(*right.columns)  # columns of its own, as both sides may come from the same rows
+    # few bytes mean much work here, so the number of tasks does not follow the bytes
+    dealt = [side.repartition(groups * runs, "group", "run").groupBy("group", "run") for side in (left, right)]
+    return dealt[0].cogroup(dealt[1]).applyInArrow(run, ddl)
+
+
+def _product(l: np.ndarray, bound: np.ndarray, m: np.ndarray) -> np.ndarray:  # noqa: E741
+    """Squared distances less the squared bound of each row of l, and less what rounding may add to them; valid until the next call."""
+    ll, mm = (l * l).sum(axis=1), (m * m).sum(axis=1)
+    slack = 8 * (l.shape[1] + 6) * np.finfo(float).eps * (ll.max() + mm.max())
+    one = np.ones((len(m), 1))
+    out = _ROOM[: len(l) * len(m)].reshape(len(l), len(m)) if len(l) * len(m) <= len(_ROOM) else None
+    return np.matmul(np.hstack([-2 * l, (ll - bound * bound - slack)[:, None], np.ones((len(l), 1))]), np.hstack([m, one, mm[:, None]]).T, out=out)
+
+
+def _near(l: np.ndarray, bound: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: E741
+    """Rows of l and of m whose distance is at most the bound of the row of l, and the distance."""
+    near = np.zeros(-(-len(l) * len(m) // 8) * 8, bool)
+    np.logical_not(_product(l, bound, m).reshape(-1) > 0, out=near[: len(l) * len(m)])
+    some = np.flatnonzero(near.view(np.uint64))  # eight pairs at a time, as most are far
+    found = (some[:, None] * 8 + np.arange(8))[near.reshape(-1, 8)[some]]
+    at, to = np.divmod(found, len(m))
+    d = _from_one(l[at], m[to])
+    held = d <= bound[at]
+    return at[held], to[held], d[held]
+
+
+def _least(at: np.ndarray, d: np.ndarray, node: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k least (d, node) of each of n rows, in order; places beyond have an infinite distance and the node -1."""
+    order = np.lexsort((node, d, at))
+    at, d, node = at[order], d[order], node[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    some = place < k
+    best, nodes = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
+    best[at[some], place[some]], nodes[at[some], place[some]] = d[some], node[some]
+    return best, nodes
+
+
+def _parts(blob: bytes, dim: int, size: int):
+    x = np.frombuffer(blob).reshape(-1, dim)
+    return [(a, x[a : a + size]) for a in range(0, len(x), size)]
+
+
+def _nearest(rows: DataFrame, n: int, dim: int, k: int, size: int) -> DataFrame:
+    """node, near (list of d and node, nearest first): the k nearest rows of each row, itself included, fewer where there are fewer."""
+    shape = "group long, node binary, d binary, near binary"
+
+    def run(own: pa.Table, others: pa.Table) -> pa.Table:
+        if not own.num_rows or not others.num_rows:  # a hash may leave a block empty
+            return _table([], shape)
+        nodes, others = own["node"][0].as_py(), others.select(["node", "e"]).to_pylist()
+        found = []
+        for _, x in _parts(own["e"][0].as_py(), dim, PART[0]):
+            best, near = np.full((len(x), k), np.inf), np.full((len(x), k), -1, np.int64)
+            for o in others:
+                names = np.frombuffer(o["node"], np.int64)
+                for b, y in _parts(o["e"], dim, PART[1]):
+                    bound = best[:, -1]
+                    if np.isinf(bound).any() and len(y) > k:  # the first rows give a bound for all others
+                        square = np.partition(_product(x, np.zeros(len(x)), y), k - 1, axis=1)[:, k - 1]
+                        widened = np.sqrt(np.maximum(square, 0) + 16 * (dim + 6) * np.finfo(float).eps * ((x * x).sum(axis=1).max() + (y * y).sum(axis=1).max()))
+                        bound = np.minimum(bound, np.where(np.isfinite(widened), widened, np.inf))
+                    at, to, d = _near(x, bound, y)
+                    if len(at):
+                        touched, row = np.unique(at, return_inverse=True)
+                        old = np.isfinite(best[touched])
+                        merged = _least(
+                            np.concatenate([np.nonzero(old)[0], row]), np.concatenate([best[touched][old], d]), np.concatenate([near[touched][old], names[b + to]]), len(touched), k)
+                        best[touched], near[touched] = merged
+            found.append((best, near))
+        best, near = (np.concatenate(c) for c in zip(*found))
+        return _table([(own["group"][0].as_py(), nodes, best.tobytes(), near.tobytes())], shape)
+
+    def merge(got: pa.Table) -> pa.Table:
+        nodes = got["node"][0].as_py()
+        many = len(nodes) // 8
+        d, near = (np.hstack([np.frombuffer(v, kind).reshape(many, k) for v in got[c].to_pylist()]) for c, kind in (("d", np.float64), ("near", np.int64)))
+        some = near >= 0
+        best, near = _least(np.nonzero(some)[0], d[some], near[some], many, k)
+        some = near >= 0
+        entries = pa.StructArray.from_arrays([pa.array(best[some]), pa.array(near[some])], names=["d", "node"])
+        bounds = pa.array(np.concatenate([[0], np.cumsum(some.sum(axis=1))]).astype(np.int32))
+        return pa.table([pa.array(np.frombuffer(nodes, np.int64)), pa.ListArray.from_arrays(bounds, entries)], names=["node", "near"])
+
+    blocks, many = _blocks(rows, n, size)
+    lists = _met(blocks, many, blocks.select("block", "node", "e"), many, run, shape)
+    return lists.groupBy("group").applyInArrow(merge, "node long, near array<struct<d: double, node: long>>")
 
 
 def tree(x: np.ndarray, core: np.ndarray, node: np.ndarray) -> list[tuple[int, int, float]]:
@@ -104,40 +191,114 @@ def tree(x: np.ndarray, core: np.ndarray, node: np.ndarray) -> list[tuple[int, i
     return out
 
 
-def _edges(held: DataFrame, tiles: int, dim: int) -> DataFrame:
-    """The edges of the trees of all pairs of tiles."""
+def _small_tree(held: DataFrame, dim: int, samples: int) -> DataFrame:
+    """The tree of two tiles at most."""
 
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                sides = ["l"] if r["i"] == r["j"] else ["l", "r"]
-                x = np.concatenate([np.frombuffer(r[f"{s}_x"]).reshape(-1, dim) for s in sides])
-                core = np.concatenate([np.array(r[f"{s}_core"]) for s in sides])
-                node = np.concatenate([(r["ij"["lr".index(s)]] << 32) + np.arange(len(r[f"{s}_core"])) for s in sides])
-                yield from _table(tree(x, core, node), _EDGES).to_batches()
-
-    return _paired(held, tiles, tiles == 1).mapInArrow(run, _EDGES)
-
-
-def spanning_tree(edges: DataFrame) -> DataFrame:
-    """The least spanning forest of a graph (a, b, w), equal weights ordered by a and b, by rounds of joins."""
-    live, taken = stored(edges.distinct().select("a", "b", "w", F.col("a").alias("la"), F.col("b").alias("lb"))), []
-    while not live.isEmpty():
+    def run(got: pa.Table) -> pa.Table:
+        tiles = sorted(got.to_pylist(), key=lambda r: r["tile"])
+        x = np.concatenate([np.frombuffer(r["x"]).reshape(-1, dim) for r in tiles])
+        node = np.concatenate([(r["tile"] << 32) + np.arange(len(r["x"]) // (8 * dim)) for r in tiles])
+        core = np.array([np.partition(_from_one(x, v), min(samples, len(x)) - 1)[min(samples, len(x)) - 1] for v in x])
+        return _table(tree(x, core, node), _EDGES)
+
+    return held.select("tile", "x").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, _EDGES)
+
+
+def _searched(active: DataFrame, n_active: int, points: DataFrame, n: int, dim: int, size: int) -> DataFrame:
+    """l, w, a, b, o: the shortest edges out of components l, of weight u or less, that start at the active rows (node, e, core, l, u); a few for each component."""
+    shape = "l long, w double, a long, b long, o long"
+
+    def run(own: pa.Table, others: pa.Table) -> pa.Table:
+        if not own.num_rows or not others.num_rows:
+            return _table([], shape)
+        q, found = own.to_pylist()[0], []
+        cols = lambda r: (np.frombuffer(r["node"], np.int64), np.frombuffer(r["e"]).reshape(-1, dim), np.frombuffer(r["core"]), np.frombuffer(r["l"], np.int64))
+        names, x, core, label = cols(q)
+        labels, of = np.unique(label, return_inverse=True)
+        best = np.full(len(labels), np.inf)
+        np.minimum.at(best, of, np.frombuffer(q["u"]))
+        for other in others.to_pylist():
+            to_names, y, to_core, to_label = cols(other)
+            for a in range(0, len(x), PART[0]):
+                mine = slice(a, a + PART[0])
+                for b in range(0, len(y), PART[1]):
+                    bound = best[of[mine]]
+                    theirs = b + np.flatnonzero(to_core[b : b + PART[1]] <= bound.max())
+                    if not len(theirs):
+                        continue
+                    if np.isinf(bound).any():  # any row outside gives a bound
+                        for k in np.flatnonzero(np.isinf(bound)):
+                            out = theirs[to_label[theirs] != label[a + k]]
+                            if len(out):
+                                w = np.maximum(np.maximum(_from_one(y[out], x[a + k]), to_core[out]), core[a + k]).min()
+                                best[of[a + k]] = min(best[of[a + k]], w)
+                        bound = best[of[mine]]
+                    at, to, d = _near(x[mine], bound, y[theirs])
+                    at, to = a + at, theirs[to]
+                    w = np.maximum(np.maximum(d, core[at]), to_core[to])
+                    held = (label[at] != to_label[to]) & (w <= best[of[at]])
+                    at, to, w = at[held], to[held], w[held]
+                    if len(at):
+                        low, high = np.minimum(names[at], to_names[to]), np.maximum(names[at], to_names[to])
+                        order = np.lexsort((high, low, w, of[at]))
+                        first = order[np.unique(of[at][order], return_index=True)[1]]
+                        best[of[at[first]]] = w[first]
+                        found += zip(label[at[first]].tolist(), w[first].tolist(), low[first].tolist(), high[first].tolist(), to_label[to[first]].tolist())
+        least: dict[int, tuple] = {}
+        for row in found:
+            if row[0] not in least or row < least[row[0]]:
+                least[row[0]] = row
+        return _table(list(least.values()), shape)
+
+    groups, many = _blocks(active, n_active, size)
+    blocks, all_blocks = _blocks(points, n, size)
+    return _met(groups, many, blocks, all_blocks, run, shape)
+
+
+def _spanning_tree(rows: DataFrame, n: int, dim: int, samples: int, tile: int) -> DataFrame:
+    """The least spanning tree of all rows (node, e), equal weights ordered by a and b."""
+    size = lambda n: min(BLOCK * tile, max(tile, n // 24))
+    kept = max(KEPT, samples)
+    near = stored(_nearest(rows, n, dim, kept, size(n)))
+    # beyond the kept rows, none is nearer than `reach`
+    reach = F.when(F.size("near") < kept, float("inf")).otherwise(F.col("near")[kept - 1]["d"])
+    core = near.select("node", F.col("near")[min(samples, n) - 1]["d"].alias("core"), reach.alias("reach"))
+    points = stored(rows.join(core, "node").withColumn("l", F.col("node")))
+    pairs = near.select(F.col("node").alias("p"), F.inline("near")).withColumnRenamed("node", "q").filter("p <> q")
+    sides = [points.select(F.col("node").alias(s), F.col("core").alias(f"core_{s}")) for s in "pq"]
+    edges = pairs.join(sides[0], "p").join(sides[1], "q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.greatest("d", "core_p", "core_q").alias("w"))
+    live = stored(edges.distinct().select("a", "b", "w", F.col("a").alias("la"), F.col("b").alias("lb")))
+    taken = []
+    while True:
+        components = stored(points.groupBy("l").agg(F.count(F.lit(1)).alias("n")))
+        top = components.agg(F.max(F.struct("n", -F.col("l"))).alias("m"), F.count(F.lit(1)).alias("left")).first()
+        if top.left == 1:
+            return reduce(DataFrame.unionByName, taken)
+        largest = -top.m[1]
         both = live.select("a", "b", "w", F.col("la").alias("l"), F.col("lb").alias("o")).unionByName(live.select("a", "b", "w", F.col("lb").alias("l"), F.col("la").alias("o")))
-        best = stored(both.groupBy("l").agg(F.min(F.struct("w", "a", "b", "o")).alias("m")).select("l", "m.*"))
+        pick = lambda some: some.groupBy("l").agg(F.min(F.struct("w", "a", "b", "o")).alias("m")).select("l", "m.*")
+        near_best = stored(pick(both.filter(F.col("l") != largest)))
+        bound = F.coalesce("w", F.lit(float("inf")))
+        active = points.filter(F.col("l") != largest).join(near_best.select("l", "w"), "l", "left").filter(F.col("reach") <= bound)
+        active = stored(active.select("node", "e", "core", "l", bound.alias("u")))
+        n_active = active.count()
+        best = near_best
+        if n_active:
+            best = stored(pick(near_best.unionByName(_searched(active, n_active, points.select("node", "e", "core", "l"), n, dim, size(n_active)).select(near_best.columns))))
         taken.append(best.select("a", "b", "w").distinct())
-        # each component follows its edge; of two that follow each other, the smaller one stays
+        # each component follows its edge; of two that follow each other, the smaller one stays, and so does the largest of all
         back = best.select(F.col("l").alias("o"), F.col("o").alias("oo"))
-        up = stored(best.join(back, "o").select("l", F.when((F.col("oo") == F.col("l")) & (F.col("l") < F.col("o")), F.col("l")).otherwise(F.col("o")).alias("up")))
+        up = best.join(back, "o", "left").select("l", F.when((F.col("oo") == F.col("l")) & (F.col("l") < F.col("o")), F.col("l")).otherwise(F.col("o")).alias("up"))
+        up = stored(up.unionByName(components.filter(F.col("l") == largest).select("l", F.col("l").alias("up"))))
         while True:
             after = stored(up.join(up.select(F.col("l").alias("up"), F.col("up").alias("top")), "up").select("l", "up", "top"))
             done = after.filter("up <> top").isEmpty()
             up = after.select("l", F.col("top").alias("up"))
             if done:
                 break
+        points = stored(points.join(up, "l").drop("l").withColumnRenamed("up", "l"))
         named = live.join(up.select(F.col("l").alias("la"), F.col("up").alias("ta")), "la").join(up.select(F.col("l").alias("lb"), F.col("up").alias("tb")), "lb")
         live = stored(named.filter("ta <> tb").select("a", "b", "w", F.col("ta").alias("la"), F.col("tb").alias("lb")))
-    return reduce(DataFrame.unionByName, taken) if taken else edges
 
 
 def grow(edges: list[dict], least: int, first: int) -> list[tuple]:
@@ -243,19 +404,17 @@ def hdbscan(vectors: DataFrame, min_cluster_size: int = 40, min_samples: int = 1
         return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(-1).alias("label"))
     wanted = -(-n // tile)
     held = stored(_pack(rows, wanted))
-    # a hash may leave a tile empty; no pair then has it
-    with_core = stored(held.join(_cores(held, wanted, dim, min_samples), "tile").select("tile", "x", "core"))
-    edges = stored(_edges(with_core, wanted, dim))
-    if wanted > 2:
-        edges = spanning_tree(edges)
 
     def name(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array((r["tile"] << 32) + np.arange(len(ids))), pa.array(ids)], names=["node", "vec_id"])
+                ids, x = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["x"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * dim), pa.array(x))
+                yield pa.RecordBatch.from_arrays([pa.array((r["tile"] << 32) + np.arange(len(ids))), pa.array(ids), lists], names=["node", "vec_id", "e"])
 
-    nodes = held.select("tile", "ids").mapInArrow(name, "node long, vec_id long")
+    named = stored(held.select("tile", "ids", "x").mapInArrow(name, "node long, vec_id long, e array<double>"))
+    edges = _small_tree(held, dim, min_samples) if wanted <= 2 else _spanning_tree(named.select("node", "e"), n, dim, min_samples, tile)
+    edges, nodes = stored(edges), named.select("node", "vec_id")
     fell, ended = _clusters(edges, nodes, n, min_cluster_size, per_range)
     # the cluster of all rows ends nowhere
     sums = fell.groupBy("cluster").agg(F.sum(1 / F.greatest("w", F.lit(TINY))).alias("fall"), F.count(F.lit(1)).alias("rows"))
@@ -269,5 +428,5 @@ def hdbscan(vectors: DataFrame, min_cluster_size: int = 40, min_samples: int = 1
     labelled = stored(nodes.join(fell.join(chosen, "cluster").select("node", "chosen"), "node", "left"))
     numbers = labelled.filter("chosen is not null").groupBy("chosen").agg(F.min(F.struct("vec_id", "node")).alias("first"))
     one = numbers.groupBy().agg(F.sort_array(F.collect_list(F.struct("first", "chosen")))["chosen"].alias("order"))  # clusters only
-    named = one.select(F.posexplode("order").alias("label", "chosen"))
-    return labelled.join(named, "chosen", "left").select("vec_id", F.coalesce("label", F.lit(-1)).alias("label"))
+    numbered = one.select(F.posexplode("order").alias("label", "chosen"))
+    return labelled.join(numbered, "chosen", "left").select("vec_id", F.coalesce("label", F.lit(-1)).alias("label"))

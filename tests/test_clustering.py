@@ -83,6 +83,30 @@ def test_clusters_agree_with_a_plain_walk(spark, seed, sizes, noise, least, samp
     assert len(sizes) == 1 or max(labels) >= 1
 
 
+def test_rounds_compare_few_rows_again_and_each_nearest_row_is_found(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    x = np.vstack([blobs(9, [90, 60], 3, noise=40), r.normal(size=(1, 3)).repeat(45, axis=0)])  # more copies than rows that are kept
+    searched, search = [], density._searched
+    monkeypatch.setattr(density, "KEPT", 8)
+    monkeypatch.setattr(density, "PART", (16, 32))
+    monkeypatch.setattr(density, "_searched", lambda some, n, *rest: searched.append(n) or search(some, n, *rest))
+    rows = frame(spark, x).selectExpr("vec_id as node", "embedding as e")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for q in density._nearest(rows, len(x), 3, 8, 50).collect():
+        assert [(n.d, n.node) for n in q.near] == sorted(zip(d[q.node].tolist(), range(len(x))))[:8]
+    got = sorted((e.w, e.a, e.b) for e in density._spanning_tree(rows, len(x), 3, 5, 30).collect())
+    core = np.sort(d, axis=1)[:, 4]
+    w = np.maximum(np.maximum(d, core[:, None]), core[None])
+    of, want = list(range(len(x))), []
+    for e in sorted((float(w[i, j]), i, j) for i in range(len(x)) for j in range(i + 1, len(x))):
+        a, b = of[e[1]], of[e[2]]
+        if a != b:
+            want.append(e)
+            of = [a if k == b else k for k in of]
+    assert got == want
+    assert searched and sum(searched) < 2 * len(x)
+
+
 def test_small_and_odd_tables_of_vectors(spark):
     x = blobs(4, [6], 2)
     assert {r.label for r in density.hdbscan(frame(spark, x), 7, 2).collect()} == {-1}
