@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import Scratch, table
-from sightline.llm.tokens import encoder, vocabulary
+from sightline.llm.tokens import encoder, runs, vocabulary
 
 NAME = "op2_token_files"
 END_ID = 2
@@ -96,8 +96,8 @@ def _coded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         kind, total = _kind(len(own.size), end_id), np.zeros(1 << 16, np.int64)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for a in range(0, batch.num_rows, 500):
-                coded = [x + end for x in own.encode(texts.slice(a, 500).to_pylist())]
+            for a, rows in runs(texts):
+                coded = [x + end for x in own.encode(texts.slice(a, rows).to_pylist())]
                 n = np.array([len(x) for x in coded], np.int64) // 4
                 flat = np.frombuffer(b"".join(coded), "<u4")
                 got = np.bincount(flat)
@@ -106,7 +106,7 @@ def _coded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 total[: len(got)] += got
                 offsets = (np.concatenate([[0], np.cumsum(n)]) * np.dtype(kind).itemsize).astype(np.int64)
                 packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.astype(kind).tobytes())])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, 500), pa.array(n), packed.cast(pa.binary())], names=["doc_id", "n", "coded"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, rows), pa.array(n), packed.cast(pa.binary())], names=["doc_id", "n", "coded"])
         used = np.flatnonzero(total)
         counts = np.stack([used, total[used]]).astype("<i8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([counts], pa.binary())], names=["doc_id", "n", "coded"])

@@ -15,6 +15,17 @@ _RUN = re.compile(r"\s (?:\s|\Z)")
 CACHE, CACHE_BYTES = 700_000, 32 << 20
 
 
+def runs(texts: pa.Array, rows: int = 2000, size: int = 8 << 20):
+    """(start, length) of runs of texts that are encoded together: many, as common words are then looked up once, but of bounded bytes unless one text is longer."""
+    bytes_of = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(bytes_of, dtype=np.int64), 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        n = max(1, min(rows, int(np.searchsorted(ends, before + size, "right")) - at))
+        yield at, n
+        at += n
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -67,7 +78,7 @@ class ByteEncoder:
         openers = words.take(pa.array(starts)).to_pylist()
         self._learn(self.first, list(set(openers) - self.first.keys()), "")
         coded = words.dictionary_encode()
-        of, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        of, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # a fraction of the time of to_pylist
         inner = np.ones(len(of), bool)
         inner[starts] = False
         used = np.flatnonzero(np.bincount(of[inner], minlength=len(known))).tolist()
@@ -90,21 +101,23 @@ class ByteEncoder:
         """The ids of distinct words behind a space; those in the older half of the cache move to the newer."""
         out = list(map(self.later.get, words))
         gone = [k for k, ids in enumerate(out) if ids is None]
-        new = []
-        for k in gone:
-            word = words[k]
-            ids = self.before.get(word)
-            if ids is None:
-                new.append(word)
-            else:
-                self.later[word] = ids
-                self.held += len(word) + len(ids)
-        led = [w for w in new if w and not w[0].isspace()]
-        self._learn(self.later, [w for w in new if not w or w[0].isspace()], " ")
-        for at in range(0, len(led), 20_000):
-            self._learn_joined(led[at : at + 20_000])
-        for k in gone:
-            out[k] = self.later[words[k]]
+        if not gone:
+            return out
+        missing = [words[k] for k in gone]
+        old = list(map(self.before.get, missing))
+        moved = {w: ids for w, ids in zip(missing, old) if ids is not None}
+        self.later.update(moved)
+        self.held += sum(map(len, moved)) + sum(map(len, moved.values()))
+        new = [w for w, ids in zip(missing, old) if ids is None]
+        odd = [w for w in new if w[:1].isspace() or not w]
+        self._learn(self.later, odd, " ")
+        if odd:
+            left = set(odd)
+            new = [w for w in new if w not in left]
+        for at in range(0, len(new), 20_000):
+            self._learn_joined(new[at : at + 20_000])
+        for k, ids in zip(gone, map(self.later.__getitem__, missing)):
+            out[k] = ids
         return out
 
     def _learn(self, cache: dict[str, bytes], words: list[str], lead: str) -> None:
@@ -118,13 +131,11 @@ class ByteEncoder:
         """Space-led words, many to a text: each is cut off at its bytes."""
         texts = [" " + " ".join(words[a : a + run]) for a in range(0, len(words), run)]
         ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
-        cuts = np.searchsorted(np.cumsum(self.size[ids]), ends, "left") + 1
-        raw, at = ids.tobytes(), 0
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + 1)
+        cuts = (4 * (np.searchsorted(np.cumsum(self.size[ids]), ends, "left") + 1)).tolist()
+        raw = ids.tobytes()
         self.held += len(raw) + int(ends[-1])
-        for word, cut in zip(words, (4 * cuts).tolist(), strict=True):
-            self.later[word] = raw[at:cut]
-            at = cut
+        self.later.update(zip(words, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}

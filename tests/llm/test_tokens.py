@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,8 +11,8 @@ from hypothesis import strategies as st
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from sightline.llm import bpe_codec, packing, token_files  # noqa: E402
-from sightline.llm.tokens import encoder, vocabulary  # noqa: E402
+from sightline.llm import bpe_codec, packing, token_files, tokens  # noqa: E402
+from sightline.llm.tokens import ByteEncoder, encoder, runs, vocabulary  # noqa: E402
 
 ODD = [None, "", " ", "  ", "a", " a", "a ", "a  b", "a \n b", "a\n \n b", "x<|endoftext|> y", "don't 'S", "İ ΣΑΣ ẞ é é", "日本 \u3000 \x1c \x85x", "word " * 3000, "a" * 5000]
 
@@ -27,6 +28,23 @@ def test_cached_words_encode_as_the_library_does(text):
     assert np.frombuffer(encoder(path).encode([text])[0], "<u4").tolist() == tokenizer("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
 
 
+def test_runs_hold_every_text_and_bounded_bytes():
+    texts = pa.array(["a" * n for n in (3, 0, 30, 4, 4, 4)] + [None, "b"])
+    got = list(runs(texts, 3, 10))
+    assert [a for a, _ in got] == [0, 2, 3, 5] and sum(n for _, n in got) == len(texts) and list(runs(texts.slice(0, 0))) == []
+
+
+def test_words_of_the_older_half_of_the_cache_are_learned_once(monkeypatch):
+    own, texts, learned = ByteEncoder(vocabulary("byte_bpe_50k.json")), ["x one two  \t three", "x one four", "x \u3000five one"], []
+    learn = own._learn_joined
+    monkeypatch.setattr(tokens, "CACHE", 2)
+    monkeypatch.setattr(own, "_learn_joined", lambda words: learned.extend(words) or learn(words))
+    library = tokenizer("byte_bpe_50k.json")
+    for text in texts:
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert learned.count("one") == 1
+
+
 def test_prefix_codec_is_the_library_s():
     own, library = bpe_codec.PrefixEncoder(vocabulary("word_bpe_49k.json")), tokenizer("word_bpe_49k.json")
     for text in ODD:
