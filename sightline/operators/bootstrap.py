@@ -25,6 +25,9 @@ from sightline.operators.match import masks
 
 #: P(w <= k) of Poisson(1), to where doubles end.
 CUMULATIVE = np.array([sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(17)])
+#: The draw of each value of a hash's first 16 bits, and those that hold a bound, so that further bits decide.
+_EDGES = np.searchsorted(CUMULATIVE, np.arange((1 << 16) + 1) * 2.0**-16, side="right")
+DRAWN, SPLIT = _EDGES[:-1].astype(np.uint8), _EDGES[:-1] != _EDGES[1:]
 CHUNK_ROWS = 20_000
 #: Chunks of a (model, slice, class): beyond this many, chunks grow with the data.
 MAX_CHUNKS = 1024
@@ -40,11 +43,17 @@ KEYS = "model int, slice string, cls int"
 def weights(keys: np.ndarray, replicates: int) -> np.ndarray:
     """An image's weights, one row a key: column 0 is the data as they are (1), the others are draws from Poisson(1)."""
     x = keys.astype(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    room = np.empty_like(x)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    x ^= x >> np.uint64(31)
+        x ^= np.right_shift(x, np.uint64(shift), out=room)
+        x *= np.uint64(factor)
+    x ^= np.right_shift(x, np.uint64(31), out=room)
     out = np.ones((len(keys), replicates + 1))
-    out[:, 1:] = np.searchsorted(CUMULATIVE, (x >> np.uint64(11)) * 2.0**-53, side="right")
+    first = (x >> np.uint64(48)).astype(np.uint16)
+    drawn = DRAWN[first]
+    split = np.nonzero(SPLIT[first])
+    drawn[split] = np.searchsorted(CUMULATIVE, (x[split] >> np.uint64(11)) * 2.0**-53, side="right")
+    out[:, 1:] = drawn
     return out
 
 
@@ -65,6 +74,33 @@ def _plain(key: tuple) -> list:
     return [k.as_py() for k in key]
 
 
+def reached(found: np.ndarray, npos: np.ndarray) -> np.ndarray:
+    """The last point of the recall grid that each count of true detections reaches."""
+    recall = np.divide(found, npos, out=np.zeros_like(found), where=npos > 0)
+    place = np.floor(recall * 100)
+    place = place + ((place + 1) * 0.01 <= recall) - (place * 0.01 > recall)
+    return np.minimum(place, POINTS - 1).astype(np.int64)
+
+
+def raise_best(best: np.ndarray, npos: np.ndarray, found: np.ndarray, precision: np.ndarray) -> None:
+    """Raises best (points x replicates) to the precisions (rows x replicates) at the points that the rows reach.
+
+    Counts only grow along the rows, so a few neighbouring points hold all: rows of a point lie together, and each point takes one maximum.
+    """
+    low, high = reached(found[0], npos), reached(found[-1], npos)
+    replicates = np.arange(len(npos))
+    one = low == high
+    if one.any():
+        best[low[one], replicates[one]] = np.maximum(best[low[one], replicates[one]], precision[:, one].max(axis=0))
+    if not one.all():
+        several = np.flatnonzero(~one)
+        place = reached(found[:, several], npos[several]).T
+        key = (place + several[:, None] * POINTS).reshape(-1)
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        replicate, point = np.divmod(key[starts], POINTS)
+        best[point, replicate] = np.maximum(best[point, replicate], np.maximum.reduceat(precision[:, several].T.reshape(-1), starts))
+
+
 def _positives(npos: DataFrame, images: DataFrame, replicates: int, tasks: int) -> DataFrame:
     """slice, cls, pos: the weighted number of boxes in each replicate, summed inside tasks first."""
 
@@ -148,21 +184,25 @@ def replicate_maps(matches: list[DataFrame], npos: DataFrame, images: DataFrame,
         best = np.zeros((k, POINTS, b))
         for at in range(0, len(table) if first else 0, STEP):
             w = weights(_keys(table)[at : at + STEP], replicates)
+            before = None
             for t in range(k):
                 hits, judged = tp[at : at + STEP, t] > 0, (tp | fp)[at : at + STEP, t] > 0
-                counted = first[t][0] + first[t][1] + np.cumsum(w[judged], axis=0)
-                # precision peaks at true detections, so others need no point
-                found, counted_at = first[t][0] + np.cumsum(w[hits], axis=0), counted[hits[judged]]
-                if len(found):
-                    recall = np.divide(found, npos, out=np.zeros_like(found), where=npos > 0)
-                    place = np.floor(recall * 100)
-                    place = place + ((place + 1) * 0.01 <= recall) - (place * 0.01 > recall)
-                    place = np.minimum(place, POINTS - 1).astype(np.int64)
-                    precision = np.divide(found, counted_at, out=np.zeros_like(found), where=counted_at > 0)
-                    np.maximum.at(best[t].reshape(-1), (place * b + np.arange(b)).reshape(-1), precision.reshape(-1))
-                    first[t] = [found[-1], counted[-1] - found[-1]]
-                elif len(counted):
-                    first[t] = [first[t][0], counted[-1] - first[t][0]]
+                if before is None or (judged != before).any():  # most thresholds judge the same rows
+                    before, added = judged, np.cumsum(w[judged], axis=0)
+                if not len(added):
+                    continue
+                true, false = first[t]
+                if hits.any():
+                    # precision peaks at true detections, so others need no point
+                    found = np.cumsum(w[hits], axis=0)
+                    found += true
+                    counted = added[hits[judged]]
+                    counted += true + false
+                    precision = np.divide(found, counted, out=np.zeros_like(found), where=counted > 0)
+                    raise_best(best[t], npos, found, precision)
+                    first[t] = [found[-1], true + false + added[-1] - found[-1]]
+                else:
+                    first[t] = [true, false + added[-1]]
         names = dict(zip(GROUP, _plain(key)))
         reached = [np.flatnonzero(x.any(axis=1)) for x in best]  # a chunk reaches a few neighbouring recall points
         low = [int(x[0]) if len(x) else 0 for x in reached]

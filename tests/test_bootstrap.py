@@ -56,6 +56,23 @@ def test_weights_are_poisson():
     assert abs(np.corrcoef(w[:, 1], w[:, 2])[0, 1]) < 0.1
 
 
+def test_draws_equal_a_search_and_points_take_their_largest_precision():
+    keys = np.random.default_rng(2).integers(0, 2**64, 500, dtype=np.uint64)
+    x = keys[:, None] + np.arange(1, 301, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    drawn = np.searchsorted(bootstrap.CUMULATIVE, (x >> np.uint64(11)) * 2.0**-53, side="right")
+    assert (bootstrap.weights(keys, 300)[:, 1:] == drawn).all() and bootstrap.SPLIT.sum() < 20
+    for rows in (3, 200):
+        found, npos = np.cumsum(drawn[:rows].astype(float), axis=0), np.where(np.arange(300) % 50 == 0, 0.0, 150.0 + np.arange(300) % 9)
+        precision = np.random.default_rng(3).random(found.shape)
+        best, want = np.full((bootstrap.POINTS, 300), 0.2), np.full((bootstrap.POINTS, 300), 0.2)
+        bootstrap.raise_best(best, npos, found, precision)
+        np.maximum.at(want, (bootstrap.reached(found, npos), np.arange(300)), precision)
+        assert (best == want).all()
+
+
 def test_slices_have_their_own_intervals(spark):
     det, gt = scene(spark, 5)
     better = gt.select("image_id", F.col("box_id").alias("det_id"), "cls", "x1", "y1", "x2", "y2", F.lit(0.9).alias("score"))
