@@ -28,14 +28,14 @@ def allocate(targets: DataFrame, count: int) -> DataFrame:
 def rank_sources(gt: DataFrame, targets: DataFrame, n: int, seed: int = 1234) -> DataFrame:
     """target, image_id, rank (from 0): the n images with most boxes of the target's classes, ties by a hash uniform.
 
-    Every image is scored; the rank window keeps n rows a task and target (Spark limits groups before the shuffle).
+    Every image is scored; the filter is on the row number itself, so that Spark limits each task to n rows a target before the shuffle.
     """
     held = gt.groupBy("image_id").agg(F.collect_list("cls").alias("cls"))
     rows = held.crossJoin(F.broadcast(targets.select("target", "classes")))  # some targets, by the allocation
     tie = uniform(seed, F.concat_ws(":", "target", "image_id"))
     score = F.size(F.filter("cls", lambda c: F.array_contains("classes", c))) + tie
     order = Window.partitionBy("target").orderBy(F.desc("score"), "image_id")
-    return rows.select("target", "image_id", score.alias("score")).withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < n)
+    return rows.select("target", "image_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).withColumn("rank", F.col("rank") - 1)
 
 
 def plan_candidates(allocation: DataFrame, ranked: DataFrame, oversample: float = 2.0, seed: int = 1234) -> DataFrame:

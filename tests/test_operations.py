@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import files
-from sightline.operators import decisions, drift, journal, registry, splits
+from sightline.operators import decisions, drift, journal, registry, splits, synthesis
 from tests.test_drift import frame, kernel_distance
 
 ALLOCATION = [(0, 5), (1, 3), (2, 4), (3, 0)]
@@ -139,3 +139,12 @@ def test_subset_distances_agree_with_numpy(spark):
     got = drift.kid_subsets(frame(spark, x).repartition(4), frame(spark, y, 1000), 7, 20).first()
     assert (got.kid, got.kid_std) == (pytest.approx(np.mean(values), abs=1e-9), pytest.approx(np.std(values), abs=1e-9))
     assert drift.kid_subsets(frame(spark, x), frame(spark, []), 7).first().kid is None
+
+
+def test_sources_are_limited_before_they_are_shuffled(spark):
+    gt = spark.range(4000).selectExpr("id div 4 as image_id", "id as box_id", "cast(id % 8 as int) as cls")
+    targets = spark.sql("select 0 as target, array(1, 2) as classes union all select 1, array(5)")
+    ranked = synthesis.rank_sources(gt, targets, 5)
+    assert "WindowGroupLimit" in ranked._jdf.queryExecution().executedPlan().toString()
+    got = {(r.target, r["rank"]) for r in ranked.collect()}
+    assert got == {(t, k) for t in (0, 1) for k in range(5)}
