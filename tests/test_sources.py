@@ -5,7 +5,7 @@ import json
 import pytest
 
 from sightline.operators import decisions
-from sightline.sources import files
+from sightline.sources import files, tables
 
 
 def line(k, **more):
@@ -53,3 +53,16 @@ def test_pairs_need_the_same_images_and_headlines_name_slices_once(spark):
         decisions.require_same_images(a, b)
     maps = spark.createDataFrame([("night", 0.5), ("overall", 0.25), ("fog", 1.0)], "slice string, map double")
     assert decisions.headline(maps, ["overall", "night", "overall", "snowy"]).collect() == [(0.25, 0.5, None)]
+
+
+def test_views_read_small_splits_unless_a_size_is_set(spark):
+    name = "spark.sql.files.maxPartitionBytes"
+    spark.conf.unset(name)
+    tables.Views(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(name)) == tables.SPLIT
+    spark.conf.set(name, "5000000")
+    tables.Views(spark, "/root/testdata/sf0.001")
+    try:
+        assert spark.conf.get(name) == "5000000"
+    finally:
+        spark.conf.unset(name)
