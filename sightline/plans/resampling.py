@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators import average_precision as ap
 from sightline.operators import bootstrap, match
-from sightline.schema import THRESHOLDS
+from sightline.schema import SLICES, THRESHOLDS
 from sightline.sources.tables import Views
 
 TARGETS = ["night"]
@@ -26,7 +26,8 @@ def deltas(v: Views, base: DataFrame, cand: DataFrame) -> DataFrame:
 
 def _bootstrap(spark, sf_dir):
     v = Views(spark, sf_dir)
-    out = deltas(v, *(match.match_masks(v.det(m), v.gt(), THRESHOLDS) for m in ("baseline", "candidate")))
+    targeted = " or ".join(f"({SLICES[t]})" for t in TARGETS)  # matching stays inside an image, so the images of the targets are enough
+    out = deltas(v, *(match.match_masks(v.det(m, targeted), v.gt(), THRESHOLDS) for m in ("baseline", "candidate")))
     return out.select("slice", *[F.round(c, 9).alias(c) for c in out.columns[1:]])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators import average_precision as ap
 from sightline.operators import bootstrap, match
+from sightline.sources.tables import Views
 from tests.test_evaluation import DET, GT, random_scene
 
 THR = [0.5, 0.75]
@@ -111,3 +112,49 @@ def test_all_arms_are_compared_in_one_pass(spark):
     for s, r in pair.items():
         other = got["half", s]
         assert (other.delta, other.ci_low, other.ci_high, other.p_le_zero) == pytest.approx((r.delta, r.ci_low, r.ci_high, r.p_le_zero), abs=1e-12)
+
+
+def largest(best):
+    return np.maximum.accumulate(best[:, ::-1], axis=1)[:, ::-1]
+
+
+@pytest.mark.parametrize("rows, before, alike", [(700, 0, True), (4_000, 50, False), (4_000, 400_000, True), (3_001, 20_000, False)])
+def test_blocks_left_out_could_not_raise_a_precision(rows, before, alike):
+    rng, replicates, k = np.random.default_rng(rows + before), 20, 3
+    keys, u = rng.integers(0, 2**64, rows, dtype=np.uint64), rng.random(rows)
+    tp = np.array([u < 0.6 - 0.1 * t - 0.2 * np.arange(rows) / (before + rows) for t in range(k)]).astype(int)
+    judged = np.ones_like(tp) if alike else tp | (rng.random(tp.shape) < 0.9)
+    true = np.floor(before * (0.6 - 0.1 * np.arange(k)))[:, None] + np.zeros(replicates + 1)
+    every = np.full_like(true, before)
+    npos = np.floor((before + rows) * 0.7) + rng.integers(-9, 9, replicates + 1)
+    npos[:2] = 0, 5
+    known, want = np.zeros((2, k, bootstrap.POINTS, replicates + 1))
+    w = bootstrap.weights(keys, replicates)
+    for t in range(k):
+        found, counted = true[t] + np.cumsum(w * tp[t][:, None], axis=0), every[t] + np.cumsum(w * judged[t][:, None], axis=0)
+        start = np.divide(true[t], every[t], out=np.zeros(replicates + 1), where=every[t] > 0)  # the end of the chunk before has it
+        known[t, bootstrap.reached(true[t], npos), np.arange(replicates + 1)] = start
+        want[t] = known[t]
+        bootstrap.raise_best(want[t], npos, found, np.divide(found, counted, out=np.zeros_like(found), where=counted > 0))
+    walked = bootstrap.raise_chunk(known, npos, keys, tp, judged, true.copy(), every.copy(), np.zeros_like(true))
+    assert (largest(known) == largest(want)).all()
+    if before > 10 * rows:  # bounds are close to the precision here
+        assert walked < 0.6 * k * (replicates + 1) * -(-rows // bootstrap.STEP)
+
+
+def test_chunks_of_many_scores_follow_the_cuts(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "STEP", 8)
+    monkeypatch.setattr(bootstrap, "HELD", 1)
+    det, gt = scene(spark, 3)
+    images = spark.range(30).select(F.col("id").alias("image_id"), F.lit("all").alias("slice"))
+    npos, table = match.positives(gt).select("cls", "image_id", "n"), match.greedy_match(det, gt, THR)
+    maps = [{(r.model, r.replicate): r["map"] for r in bootstrap.replicate_maps([table], npos, images, THR, 20, chunk_rows=n).collect()} for n in (7, 10_000)]
+    assert len(maps[0]) == 21 and maps[0] == maps[1]
+
+
+def test_detections_of_some_images_are_those_of_all(spark):
+    v = Views(spark, "/root/testdata/sf0.001")
+    night = v.samples().filter("timeofday = 'night'").select("image_id")
+    for model in ("baseline", "candidate", "noisy"):
+        some, every = v.det(model, "timeofday = 'night'"), v.det(model).join(night, "image_id", "left_semi")
+        assert some.count() == every.count() > 0 and some.exceptAll(every).count() == 0
