@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.functions import partitions
-from sightline.functions.lineage import cut
+from sightline.functions.lineage import cut, stored
 from sightline.operators.average_precision import POINTS
 from sightline.operators.match import masks
 
@@ -267,7 +267,7 @@ def _chunked(matches: list[DataFrame], images: DataFrame, k: int, chunk_rows: in
             tp.alias("tp"), fp.alias("fp"))
         for i, (m, (tp, fp)) in enumerate((m, masks(m, "all", k)) for m in matches)
     ]
-    rows = cut(functools.reduce(DataFrame.unionByName, sides).filter("cls is not null"))  # three passes read it, and none should match again
+    rows = stored(functools.reduce(DataFrame.unionByName, sides).filter("cls is not null"))  # several passes read it, and none should match again
     cuts = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", F.array(*[F.lit(j / MAX_CHUNKS) for j in range(1, MAX_CHUNKS)]), MAX_CHUNKS).alias("all_cuts"))
     chunks = F.least(F.ceil(F.col("n") / chunk_rows), F.lit(MAX_CHUNKS))
     chosen = F.expr("transform(sequence(1, greatest(chunks, 2) - 1), j -> all_cuts[cast(floor(j * {0} / greatest(chunks, 2)) as int) - 1])".format(MAX_CHUNKS))

@@ -8,7 +8,7 @@ from sightline.functions.lineage import cut
 from sightline.operators import average_precision as ap
 from sightline.operators import decisions, drift, match, synthesis
 from sightline.plans import resampling
-from sightline.plans.evaluation import SQL_AP, WEIGHTS, _ap, _ap_of_models, sql_match, sql_slices
+from sightline.plans.evaluation import SQL_AP, WEIGHTS, _ap, _ap_of_models, _matches_of_models, sql_match, sql_slices
 from sightline.plans.oracle import IOU, views
 from sightline.plans.resampling import TARGETS
 from sightline.schema import CLASSES, CONDITIONS, FALLBACK_CONDITIONS, PROMPT_END, PROMPT_RECIPES, PROMPT_SCENES, PROMPT_START, PROMPT_UNWANTED, PROMPT_UNWANTED_IN, THRESHOLDS
@@ -210,9 +210,10 @@ def prompts(v: Views):
 
 def _gate(v: Views):
     counts = ap.slice_membership(v.samples()).groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
-    base, cand = (cut(match.match_masks(v.det(m), v.gt(), THRESHOLDS)) for m in ("baseline", "candidate"))  # maps and bootstrap read them
-    intervals = resampling.deltas(v, base, cand).select("slice", "ci_low")
-    maps = cut(ap.mean_ap(_ap_of_models(v, {"baseline": base, "candidate": cand}), "arm", "slice"))  # a row a model and slice; several checks read it
+    weights = ap.slice_membership(v.dealt_samples())
+    matches = _matches_of_models(v, weights, ("baseline", "candidate"))  # maps and bootstrap read them
+    intervals = resampling.deltas(v, *matches.values()).select("slice", "ci_low")
+    maps = cut(ap.mean_ap(_ap_of_models(v, weights, matches), "arm", "slice"))  # a row a model and slice; several checks read it
     before, after = (maps.filter(F.col("arm") == arm).select("slice", "map") for arm in ("baseline", "candidate"))
     deltas = after.join(before.withColumnRenamed("map", "before"), "slice").select("slice", (F.col("map") - F.col("before")).alias("delta"))
     deltas = cut(deltas.join(intervals, "slice", "left"))

@@ -19,7 +19,7 @@ REPLICATES = 1000
 
 def deltas(v: Views, base: DataFrame, cand: DataFrame) -> DataFrame:
     """bootstrap_delta of two match tables on the target slices."""
-    npos = match.positives(v.gt()).select("cls", "image_id", "n")
+    npos = match.counted(v.gt()).select("cls", "image_id", "n")
     images = ap.slice_membership(v.samples()).filter(F.col("slice").isin(TARGETS))
     return bootstrap.bootstrap_delta(base, cand, npos, images, THRESHOLDS, REPLICATES)
 

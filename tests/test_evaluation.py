@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from sightline.functions import partitions
 from sightline.operators import average_precision as ap
 from sightline.operators import match, tide, validation
+from sightline.plans import evaluation
+from sightline.schema import THRESHOLDS
 from sightline.sources.tables import Views
 
 DET = "image_id long, det_id long, cls int, x1 double, y1 double, x2 double, y2 double, score double"
@@ -213,3 +215,14 @@ def test_groups_joined_before_the_match_give_the_same_table(spark):
     late = ap.ap_table(match.match_masks(d, g, [0.5]), match.positives(g), weights, [0.5])
     early = ap.ap_table(match.match_masks(d, g, [0.5], images=ap.members(weights)), match.counted(g), weights, [0.5])
     assert sorted(late.collect()) == sorted(early.collect()) and early.count() == 9
+
+
+def test_models_are_joined_to_their_slices_where_they_are_matched(spark):
+    v = Views(spark, "/root/testdata/sf0.001")
+    weights = ap.slice_membership(v.dealt_samples())
+    matches = evaluation._matches_of_models(v, weights, ("baseline", "candidate"))
+    assert all("members" in m.columns and "Relation" in m._jdf.queryExecution().optimizedPlan().toString() for m in matches.values())  # stored, and not matched again
+    both = evaluation._ap_of_models(v, weights, matches).collect()
+    alone = evaluation._ap(v, "candidate", THRESHOLDS).collect()
+    assert len(both) == 2 * len(alone) > 0
+    assert {(r.slice, r.cls, r.thr): r.ap for r in both if r.arm == "candidate"} == {(r.slice, r.cls, r.thr): r.ap for r in alone}
