@@ -20,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -260,14 +260,16 @@ def _positives(npos: DataFrame, images: DataFrame, replicates: int, tasks: int)
     return listed.select("slice", "cls", F.col("pos.pos").alias("pos"))
 
 
-def _chunked(matches: list[DataFrame], images: DataFrame, k: int, chunk_rows: int) -> tuple[DataFrame, int]:
+def _chunked(matches: list[DataFrame], images: DataFrame, key: Column, k: int, chunk_rows: int) -> tuple[DataFrame, int]:
     """Detections with their chunk (0: the best scores) and, as bits of a number, the thresholds at which they are true or false; and how many there are."""
+    known_slices = all("slice" in m.columns for m in matches)
     sides = [
-        m.join(images.hint("merge"), "image_id").select(F.lit(i).alias("model"), "slice", F.col("cls").cast("int").alias("cls"), "score", "image_id", "det_id", "key",
+        (m.withColumn("key", key) if known_slices else m.drop("slice").join(images.hint("merge"), "image_id")).select(F.lit(i).alias("model"), "slice", F.col("cls").cast("int").alias("cls"), "score", "image_id", "det_id", "key",
             tp.alias("tp"), fp.alias("fp"))
         for i, (m, (tp, fp)) in enumerate((m, masks(m, "all", k)) for m in matches)
     ]
-    rows = stored(functools.reduce(DataFrame.unionByName, sides).filter("cls is not null"))  # several passes read it, and none should match again
+    rows = functools.reduce(DataFrame.unionByName, sides).filter("cls is not null")
+    rows = rows if known_slices else stored(rows)  # several passes read it, and none should match or join again
     cuts = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", F.array(*[F.lit(j / MAX_CHUNKS) for j in range(1, MAX_CHUNKS)]), MAX_CHUNKS).alias("all_cuts"))
     chunks = F.least(F.ceil(F.col("n") / chunk_rows), F.lit(MAX_CHUNKS))
     chosen = F.expr("transform(sequence(1, greatest(chunks, 2) - 1), j -> all_cuts[cast(floor(j * {0} / greatest(chunks, 2)) as int) - 1])".format(MAX_CHUNKS))
@@ -290,10 +292,14 @@ def _chunked(matches: list[DataFrame], images: DataFrame, k: int, chunk_rows: in
 
 
 def replicate_maps(matches: list[DataFrame], npos: DataFrame, images: DataFrame, thresholds: list[float], replicates: int, seed: int = 0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """model (place in `matches`), slice, replicate (0: as they are), map. Classes without boxes in a replicate take no part in its mean."""
+    """model (place in `matches`), slice, replicate (0: as they are), map. Classes without boxes in a replicate take no part in its mean.
+
+    Match tables that all have the column slice (a row for each slice of `images` that a detection's image is in) are not joined to their images here. They are
+    read several times, so they should be stored.
+    """
     k, b = len(thresholds), replicates + 1
     images = images.select("image_id", "slice", image_key(seed).alias("key"))
-    rows, n = _chunked(matches, images, k, chunk_rows)
+    rows, n = _chunked(matches, images, image_key(seed), k, chunk_rows)
     # few bytes mean much work here, so the number of tasks does not follow the bytes
     tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism, partitions.tasks(rows, n))
     rows = rows.repartition(tasks, *GROUP, "chunk")

@@ -211,8 +211,8 @@ def prompts(v: Views):
 def _gate(v: Views):
     counts = ap.slice_membership(v.samples()).groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
     weights = ap.slice_membership(v.dealt_samples())
-    matches = _matches_of_models(v, weights, ("baseline", "candidate"))  # maps and bootstrap read them
-    intervals = resampling.deltas(v, *matches.values()).select("slice", "ci_low")
+    matches = _matches_of_models(v, weights, ("baseline", "candidate"), TARGETS)  # maps and bootstrap read them
+    intervals = resampling.deltas(v, *(ap.by_mark(m, TARGETS) for m in matches.values())).select("slice", "ci_low")
     maps = cut(ap.mean_ap(_ap_of_models(v, weights, matches), "arm", "slice"))  # a row a model and slice; several checks read it
     before, after = (maps.filter(F.col("arm") == arm).select("slice", "map") for arm in ("baseline", "candidate"))
     deltas = after.join(before.withColumnRenamed("map", "before"), "slice").select("slice", (F.col("map") - F.col("before")).alias("delta"))

@@ -158,3 +158,16 @@ def test_detections_of_some_images_are_those_of_all(spark):
     for model in ("baseline", "candidate", "noisy"):
         some, every = v.det(model, "timeofday = 'night'"), v.det(model).join(night, "image_id", "left_semi")
         assert some.count() == every.count() > 0 and some.exceptAll(every).count() == 0
+
+
+def test_matches_that_know_their_slices_are_not_joined_again(spark):
+    det, gt = scene(spark, 6)
+    names = ["few", "all"]
+    images = spark.range(30).select(F.col("id").alias("image_id"), F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("id") < 15, "few"), F.when(F.col("id") < 9, "other")))).alias("slice"))
+    marked = match.match_masks(det, gt, THR, images=ap.members(images, marked=names))
+    wanted = images.filter(F.col("slice").isin(names))
+    npos = match.positives(gt).select("cls", "image_id", "n")
+    joined, known = (sorted(bootstrap.replicate_maps([m, m.filter("det_id % 2 = 0")], npos, wanted, THR, 5).collect()) for m in (match.match_masks(det, gt, THR), ap.by_mark(marked, names)))
+    assert joined == known and {r.slice for r in known} == set(names)
+    # the maps of all slices read the same table
+    assert sorted(ap.ap_table(marked, npos, images, THR).collect()) == sorted(ap.ap_table(match.match_masks(det, gt, THR), npos, images, THR).collect())
